@@ -9,10 +9,11 @@ from pyspark.sql import types as T
 from reviewmill.schema import MAX_TOKENS, MIN_TOKENS
 
 # Unicode whitespace as a regex class body; the JVM's `\s` covers less.
-WS = (
-    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+WS_NOT_SPACE = (
+    r"\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
+WS = " " + WS_NOT_SPACE
 HTML_TAG = "<[^>]+>"
 URL = rf"(?i)https?://[^{WS}]+|www\.[^{WS}]+"
 # A keyword is a Cyrillic or Latin word of three or more letters or hyphens.
@@ -39,8 +40,11 @@ def strip_urls(text: Column) -> Column:
 
 
 def collapse_ws(text: Column) -> Column:
-    """Every whitespace run becomes one space; none at either end."""
-    return F.trim(F.regexp_replace(text, f"[{WS}]+", " "))
+    """Every whitespace run becomes one space; none at either end.
+
+    Single spaces, nearly all runs, are not matched and so not rewritten.
+    """
+    return F.trim(F.regexp_replace(text, f"(?: [{WS}]|[{WS_NOT_SPACE}])[{WS}]*", " "))
 
 
 def truncate_tokens(text: Column, limit: int = MAX_TOKENS) -> Column:
@@ -54,18 +58,24 @@ def clean_text(text: Column) -> Column:
     return truncate_tokens(collapse_ws(F.lower(plain)))
 
 
-def clean_token_count(clean: Column) -> Column:
-    """Token count of an already collapsed text; 0 when empty."""
-    return F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, " ")))
-
-
 def token_count(text: Column) -> Column:
-    """Token count of a raw text; null counts as empty."""
-    return clean_token_count(collapse_ws(F.coalesce(text, F.lit(""))))
+    """Number of whitespace-separated tokens of a raw text; null counts as empty."""
+    parts = F.split(F.coalesce(text, F.lit("")), f"[{WS}]+")
+    return F.size(F.filter(parts, lambda part: part != ""))
 
 
 def has_enough_tokens(clean: Column, least: int = MIN_TOKENS) -> Column:
-    return clean_token_count(clean) >= least
+    """Whether a single-space separated text has `least` tokens; reads no further than that."""
+    return clean.rlike(f"^(?:[^ ]+ ){{{least - 1}}}[^ ]")
+
+
+def computed_once(value: Column) -> Column:
+    """A column that filters on it will not compute again.
+
+    Catalyst pushes a filter below a projection by repeating the expression in
+    it, but it cannot move one below the generator that this makes.
+    """
+    return F.explode(F.array(value))
 
 
 def is_not_blank(text: Column) -> Column:

@@ -12,9 +12,13 @@ from reviewmill.operators.skew import salted_join
 from reviewmill.schema import BATCH_SIZE, MARKETPLACE, REVIEW_UPDATE_COLUMNS, REVIEWS
 
 
+def _with_clean_text(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text_clean", tx.computed_once(tx.clean_text(F.col("text"))))
+
+
 def cleaned(raw: DataFrame) -> DataFrame:
     """NUL-free rows with `text_clean`; texts under three tokens are dropped."""
-    rows = tx.strip_nul(raw).withColumn("text_clean", tx.clean_text(F.col("text")))
+    rows = _with_clean_text(tx.strip_nul(raw))
     return rows.where(tx.has_enough_tokens(F.col("text_clean")))
 
 
@@ -129,7 +133,7 @@ def ingest(raw: DataFrame, products: DataFrame, reviews: DataFrame,
 
 def counts(raw: DataFrame) -> DataFrame:
     """Rows read, usable and rejected, and products and reviews among them, in one pass."""
-    rows = normalise_ids(tx.strip_nul(raw)).withColumn("text_clean", tx.clean_text(F.col("text")))
+    rows = _with_clean_text(normalise_ids(tx.strip_nul(raw)))
     usable = tx.has_enough_tokens(F.col("text_clean")) & tx.is_not_blank(F.col("text"))
     kept = usable & F.col("nmId").isNotNull()
     key = F.when(kept, tx.review_key(F.col("nmId"), F.col("text")))
