@@ -145,7 +145,7 @@ def sample_reviews(reviews, review_ml, n: int = 500, seed: int = 42, product_id=
         review_ml.where(F.col("sentiment_label").isNotNull())
         .select("review_key", "sentiment_label", "sentiment_score"),
     )
-    order = [F.xxhash64("review_key", F.lit(seed)), F.col("review_key")]
+    order = [F.md5(F.concat_ws(":", F.lit(str(seed)), "review_key")), F.col("review_key")]
     return _first_per(rows, ["product_id"], order, n)
 
 

@@ -223,9 +223,13 @@ def _(spark, d):
     return reports.negative_reviews(*_both(spark, d))
 
 
-@query("sample_n")
+@query("sample_n", oracle("reviews", "review_ml", select="""
+    SELECT review_key, product_id, rating, sentiment_label, sentiment_score
+    FROM reviews JOIN review_ml USING (review_key) WHERE sentiment_label IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY product_id
+                               ORDER BY md5(concat('42:', review_key)), review_key) <= 15"""))
 def _(spark, d):
-    return reports.sample_reviews(*_both(spark, d))
+    return reports.sample_reviews(*_both(spark, d), n=15)
 
 
 # Topic reports
