@@ -103,7 +103,8 @@ def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings
 
     `rows` has product_id, polarity, review_key and embedding. A review belongs
     to a cell when it is within `eps` of the cell's centre. Two cells join when
-    they share `min_samples` such reviews, and connected cells make a topic.
+    they share such a review and their centres are within `eps`, and connected
+    cells make a topic.
     Reviews in no dense cell may still join through a cell one bit away, as
     border points. Topics under `min_cluster_size`, and all else, are -1.
     Topics are numbered from 0 by size.
@@ -122,15 +123,16 @@ def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings
         .where(F.col("distance") <= s.radius)
         .checkpoint()
     )
-    # A review has one cell per band, at most 8, so this list is short.
-    together = members.groupBy(*GROUP, "review_key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    links = F.expr("""
-        inline(flatten(transform(nodes, (a, i) ->
-            transform(slice(nodes, i + 2, size(nodes)), b -> named_struct('a', a, 'b', b)))))""")
-    edges = (
-        together.select(*GROUP, links).groupBy(*GROUP, "a", "b")
-        .agg(F.count("*").alias("shared")).where(F.col("shared") >= s.min_samples)
+    # A review has one cell per band, at most 8, so its list and its cell pairs are few.
+    together = members.groupBy(*GROUP, "review_key").agg(
+        F.sort_array(F.collect_list(F.struct("node", "centre"))).alias("cells")
     )
+    links = F.expr(f"""
+        inline(filter(flatten(transform(cells, (x, i) ->
+            transform(slice(cells, i + 2, size(cells)), y ->
+                named_struct('a', x.node, 'b', y.node, 'apart', bit_count(x.centre ^ y.centre))))),
+            link -> link.apart <= {s.radius}))""")
+    edges = together.select(*GROUP, links).select(*GROUP, "a", "b").distinct()
     roots = connected_components(edges, GROUP)
     labelled = dense.join(roots, [*GROUP, "node"], "left").select(
         *GROUP, "node", "size", "centre", F.coalesce("label", "node").alias("label")
