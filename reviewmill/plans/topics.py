@@ -35,6 +35,7 @@ class ClusterSettings:
     min_cluster_size: int = 10
     min_samples: int = 5
     eps: float = 0.25
+    cohesion: float = 0.75  # a cell's mean distance to its centre, as a share of the radius
     seed: int = 42
     wide_from: int = 20_000  # groups of this size use 16-bit cells, smaller ones 8-bit cells
     hot_rows: int = HOT_ROWS
@@ -77,15 +78,21 @@ def _cells(points: DataFrame) -> DataFrame:
     return points.withColumn("node", bands)
 
 
-def _dense_cells(cells: DataFrame, min_samples: int) -> DataFrame:
-    """Cells with enough points and their centre: the majority side of every plane."""
+def _dense_cells(cells: DataFrame, min_samples: int, widest: float) -> DataFrame:
+    """Cells with enough points and their centre: the majority side of every plane.
+
+    A cell that two clusters share has a centre between them and a large mean
+    distance to it. Such cells are left out, or they would chain the clusters.
+    """
     counts = [F.sum(F.getbit("sig", F.lit(i))).alias(f"b{i}") for i in range(SIGNATURE_BITS)]
     sums = cells.groupBy(*GROUP, "node").agg(F.count("*").alias("size"), *counts)
-    centre = F.lit(0).cast("long")
+    centre, apart = F.lit(0).cast("long"), F.lit(0).cast("long")
     for i in range(SIGNATURE_BITS):
-        bit = F.shiftleft(F.lit(1).cast("long"), i)
-        centre = centre.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("size"), bit).otherwise(F.lit(0)))
-    return sums.where(F.col("size") >= min_samples).select(*GROUP, "node", "size", centre.alias("centre"))
+        ones, bit = F.col(f"b{i}"), F.shiftleft(F.lit(1).cast("long"), i)
+        centre = centre.bitwiseOR(F.when(ones * 2 > F.col("size"), bit).otherwise(F.lit(0)))
+        apart = apart + F.least(ones, F.col("size") - ones)
+    dense = (F.col("size") >= min_samples) & (apart <= F.col("size") * widest)
+    return sums.where(dense).select(*GROUP, "node", "size", centre.alias("centre"))
 
 
 def _distance() -> Column:
@@ -103,8 +110,8 @@ def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings
 
     `rows` has product_id, polarity, review_key and embedding. A review belongs
     to a cell when it is within `eps` of the cell's centre. Two cells join when
-    they share such a review and their centres are within `eps`, and connected
-    cells make a topic.
+    they share such a review and their centres are within half of that, and
+    connected cells make a topic.
     Reviews in no dense cell may still join through a cell one bit away, as
     border points. Topics under `min_cluster_size`, and all else, are -1.
     Topics are numbered from 0 by size.
@@ -116,7 +123,7 @@ def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings
     points = eligible(signed, s.min_reviews).select(
         *GROUP, "review_key", "sig", F.when(F.col("n") >= s.wide_from, 16).otherwise(8).alias("bits")
     ).checkpoint()
-    dense = _dense_cells(_cells(points), s.min_samples)
+    dense = _dense_cells(_cells(points), s.min_samples, s.cohesion * s.radius)
     members = (
         hot_key_join(_cells(points), dense, [*GROUP, "node"], "size", ["review_key"], hot_rows=s.hot_rows)
         .withColumn("distance", _distance())
@@ -131,7 +138,7 @@ def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings
         inline(filter(flatten(transform(cells, (x, i) ->
             transform(slice(cells, i + 2, size(cells)), y ->
                 named_struct('a', x.node, 'b', y.node, 'apart', bit_count(x.centre ^ y.centre))))),
-            link -> link.apart <= {s.radius}))""")
+            link -> link.apart <= {s.radius // 2}))""")
     edges = together.select(*GROUP, links).select(*GROUP, "a", "b").distinct()
     roots = connected_components(edges, GROUP)
     labelled = dense.join(roots, [*GROUP, "node"], "left").select(
