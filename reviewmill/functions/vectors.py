@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,21 +21,28 @@ def format_vector(vector: Column) -> Column:
     return F.to_json(vector)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value computed once; inside a lambda it would be computed per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalise(vector: Column) -> Column:
     """Scale to unit length in double precision; a zero vector is returned as it is."""
     squares = F.aggregate(
         vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")
     )
-    norm = F.when(squares > 0, F.sqrt(squares)).otherwise(F.lit(1.0))
-    return F.transform(vector, lambda x: (x.cast("double") / norm).cast("float"))
+    norm = _with(squares, lambda s: F.when(s > 0, F.sqrt(s)).otherwise(F.lit(1.0)))
+    return _with(norm, lambda n: F.transform(vector, lambda x: (x.cast("double") / n).cast("float")))
 
 
 def softmax(logits: Column) -> Column:
     """Shifted by the maximum, so no exponent overflows."""
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp(x.cast("double") - top.cast("double")))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda x: x / total)
+    exps = _with(
+        F.array_max(logits).cast("double"),
+        lambda top: F.transform(logits, lambda x: F.exp(x.cast("double") - top)),
+    )
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+    return _with(exps, lambda e: _with(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def argmax(values: Column) -> Column:

@@ -91,6 +91,14 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def summary_with_top(rows: DataFrame, top_n: int = 10) -> DataFrame:
+    """The totals with the `top_n` largest losses as one nested column."""
+    top = top_by_lost_revenue(rows, top_n)
+    ordered = F.struct(-F.col("lost_revenue"), "product_id", F.struct(*rows.columns).alias("effect"))
+    nested = top.agg(F.transform(F.sort_array(F.collect_list(ordered)), lambda x: x["effect"]))
+    return summary(rows).withColumn("top_products", nested.scalar())
+
+
 def top_with_drop_percent(rows: DataFrame, n: int = 20) -> DataFrame:
     """The display table of the largest losses."""
     return top_by_lost_revenue(rows, n).select(

@@ -10,7 +10,9 @@ from pyspark.ml.feature import IDF, HashingTF, IndexToString, Normalizer, String
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from reviewmill.functions.text import computed_once
 from reviewmill.functions.vectors import argmax, l2_normalise, normalise_label, softmax
 from reviewmill.operators.skew import HOT_ROWS, hot_key_join
 from reviewmill.plans.incremental import pending_embedding, pending_sentiment
@@ -51,10 +53,11 @@ def batch_sentiment(make_predict: Callable, labels: list[str],
     `make_predict` runs once per Python worker and returns a function from an
     array of texts to a matrix of logits, one column per name in `labels`.
     """
-    logits = predict_batch_udf(make_predict, return_type="array<float>", batch_size=batch_size)
+    logits = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
 
     def score(texts: DataFrame) -> DataFrame:
-        scored = _longest_first(texts).withColumn("probability", softmax(logits("text_clean")))
+        scored = _longest_first(texts).withColumn("logits", computed_once(logits("text_clean")))
+        scored = scored.withColumn("probability", computed_once(softmax(F.col("logits"))))
         name = F.element_at(F.array(*[F.lit(x) for x in labels]), argmax(F.col("probability")) + 1)
         return scored.select(
             *texts.columns, normalise_label(name).alias("sentiment_label"),
@@ -96,10 +99,11 @@ def score_sentiment(reviews: DataFrame, review_ml: DataFrame, scorer: Scorer) ->
 
 def batch_embedding(make_predict: Callable, batch_size: int = EMBEDDING_BATCH_SIZE) -> Scorer:
     """Scorer around a caller's text encoder; vectors are brought to unit length."""
-    encode = predict_batch_udf(make_predict, return_type="array<float>", batch_size=batch_size)
+    encode = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
 
     def score(texts: DataFrame) -> DataFrame:
-        return _longest_first(texts).withColumn("embedding", l2_normalise(encode("text_clean")))
+        encoded = _longest_first(texts).withColumn("raw", computed_once(encode("text_clean")))
+        return encoded.select(*texts.columns, l2_normalise(F.col("raw")).alias("embedding"))
     return score
 
 
