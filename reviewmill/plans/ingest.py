@@ -10,6 +10,7 @@ from reviewmill.operators.merge import insert_absent, merge_columns
 from reviewmill.operators.ranks import dense_positions
 from reviewmill.operators.skew import salted_join
 from reviewmill.schema import BATCH_SIZE, MARKETPLACE, REVIEW_UPDATE_COLUMNS, REVIEWS
+from reviewmill.session import staged
 
 
 def _with_clean_text(rows: DataFrame) -> DataFrame:
@@ -121,12 +122,14 @@ def upsert_reviews(rows: DataFrame, reviews: DataFrame, marketplace: str = MARKE
 
 def ingest(raw: DataFrame, products: DataFrame, reviews: DataFrame,
            marketplace: str = MARKETPLACE, batch_size: int = BATCH_SIZE) -> tuple[DataFrame, DataFrame]:
-    """Next products and reviews. Both are lazy: writing each one is one job.
+    """Next products and reviews.
 
-    No product join is needed here: the key of a product follows from the row,
-    and every product of the load is in the next products table.
+    The cleaned rows are staged: the upsert reads their keys first and then the
+    winning rows, and cleaning is the costly part. No product join is needed:
+    the key of a product follows from the row, and every product of the load is
+    in the next products table.
     """
-    rows = keyed(raw)
+    rows = staged(keyed(raw))
     next_products = products.unionByName(new_products(rows, products, marketplace))
     return next_products, upsert_reviews(rows, reviews, marketplace, batch_size)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reviewmill.functions.numbers import clip_rating
 from reviewmill.operators.ranks import lowest_per_group
 from reviewmill.operators.skew import salted_join
-from reviewmill.session import ensure_checkpoint_dir
+from reviewmill.session import staged
 
 # Features and settings of the original model.
 NUMERIC = ["review_length", "word_count", "answer_length", "sentiment_score", "has_answer"]
@@ -35,20 +35,19 @@ def prepared(rows: DataFrame) -> DataFrame:
     return rows.withColumns({**numbers, **names})
 
 
-def encodings(train: DataFrame) -> dict[str, DataFrame]:
+def encodings(train: DataFrame, mean: float) -> dict[str, DataFrame]:
     """Smoothed mean rating per category value, from training rows only.
 
     A value with n rows and rating sum s gets (s + m * mean) / (n + m). Trees
     then split on numbers, however many colours there are.
     """
     rows = prepared(train)
-    totals = rows.agg(F.avg(F.col(TARGET).cast("double")))
     result = {}
     for name in CATEGORICAL:
         sums = rows.groupBy(name).agg(
             F.sum(F.col(TARGET).cast("double")).alias("s"), F.count("*").alias("n")
-        ).withColumn("mean", totals.scalar())
-        code = (F.col("s") + PRIOR_ROWS * F.col("mean")) / (F.col("n") + PRIOR_ROWS)
+        )
+        code = (F.col("s") + F.lit(PRIOR_ROWS * mean)) / (F.col("n") + PRIOR_ROWS)
         result[name] = sums.select(name, code.alias(f"{name}_code"))
     return result
 
@@ -129,7 +128,8 @@ def _assembled(rows: DataFrame) -> DataFrame:
 
 
 def _fit(rows: DataFrame, rounds: int, depth: int, rate: float) -> RatingModel:
-    codes, mean = encodings(rows), mean_rating(rows)
+    mean = mean_rating(rows)
+    codes = encodings(rows, mean)
     trees = GBTRegressor(
         labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, lossType="squared", seed=SEED,
     ).fit(_assembled(encoded(rows, codes, mean)).select("features", F.col(TARGET).cast("double").alias("label")))
@@ -139,8 +139,7 @@ def _fit(rows: DataFrame, rounds: int, depth: int, rate: float) -> RatingModel:
 def train(rows: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH,
           rate: float = LEARNING_RATE) -> tuple[RatingModel, dict[str, float]]:
     """Fit on 80 %, pick the best number of rounds on the other 20 %, refit on everything."""
-    ensure_checkpoint_dir(rows.sparkSession)
-    parts = split(rows).checkpoint()  # read once per boosting stage
+    parts = staged(split(rows))
     fit_rows, held_out = parts.where(~F.col("validation")), parts.where("validation")
     trial = _fit(fit_rows, rounds, depth, rate)
     ready = _assembled(encoded(held_out, trial.codes, trial.mean)).select(

@@ -20,7 +20,7 @@ from reviewmill.functions.text import ngrams
 from reviewmill.operators.components import connected_components
 from reviewmill.operators.skew import HOT_ROWS, hot_key_join, salted_join
 from reviewmill.schema import MIN_CLUSTER_REVIEWS
-from reviewmill.session import ensure_checkpoint_dir
+from reviewmill.session import ensure_checkpoint_dir, staged
 
 SIGNATURE_BITS = 64
 GROUP = ["product_id", "polarity"]
@@ -188,12 +188,13 @@ def term_weights(texts: DataFrame, group: list[str], topic: str, text: str = "te
     """Class-based TF-IDF (Grootendorst 2022) of every term of every topic, -1 included.
 
     weight = tf(term, topic) / terms(topic) * ln(1 + A / tf(term)), with A the
-    mean number of terms per topic, all within one group. Documents are
-    counted down to terms before anything is shuffled.
+    mean number of terms per topic, all within one group. Texts are counted
+    down to terms before anything is shuffled, and the counts are staged, as
+    all three totals come from them.
     """
     classes = [*group, topic]
     terms = texts.select(*classes, F.explode(ngrams(F.col(text))).alias("term"))
-    counted = terms.groupBy(*classes, "term").agg(F.count("*").alias("tf"))
+    counted = staged(terms.groupBy(*classes, "term").agg(F.count("*").alias("tf")))
     per_class = counted.groupBy(*classes).agg(F.sum("tf").alias("class_terms"))
     per_group = per_class.groupBy(*group).agg(F.avg("class_terms").alias("mean_terms")) if group else (
         per_class.agg(F.avg("class_terms").alias("mean_terms"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from reviewmill.functions import text as tx
@@ -11,17 +9,12 @@ from reviewmill.functions import vectors as vx
 from reviewmill.plans import incremental, jobs, rating, scoring, topics
 from reviewmill.registry.base import oracle, query
 from reviewmill.registry.texts import _RUNS, _TERMS, _TOKENS
-from reviewmill.session import ensure_checkpoint_dir
+from reviewmill.session import shared_folder, staged
 from reviewmill.sources import driver_tables as t
 
 ROUNDS = 5
 
 
-def _shared_folder(spark) -> str:
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 def _vectors(spark, d):
     return t.table(spark, d, "embeddings")
 
@@ -69,13 +62,13 @@ def _(spark, d):
 @query("dedup_texts", "SELECT text AS text_clean, count(*) AS copies FROM documents GROUP BY text")
 def _(spark, d):
     return scoring.distinct_texts(
-        t.table(spark, d, "documents").select(F.col("text").alias("text_clean"))
+        t.texts(spark, d, "documents", "doc_id").select(F.col("text").alias("text_clean"))
     )
 
 
 @query("dedup_score_join", "SELECT doc_id AS review_key, length(text) / 2 AS score FROM documents")
 def _(spark, d):
-    rows = t.table(spark, d, "documents").select(
+    rows = t.texts(spark, d, "documents", "doc_id").select(
         F.col("doc_id").alias("review_key"), F.col("text").alias("text_clean")
     )
     return scoring.score_once(
@@ -84,25 +77,25 @@ def _(spark, d):
 
 
 def _documents(spark, d):
-    """Documents as cleaned reviews, one product per language."""
-    return t.table(spark, d, "documents").select(
+    """Documents as a stored table of cleaned reviews, one product per language."""
+    return staged(t.texts(spark, d, "documents", "doc_id").select(
         F.col("doc_id").alias("review_key"), F.col("lang").alias("product_id"),
         tx.clean_text(F.col("text")).alias("text_clean"),
-    )
+    ))
 
 
-def _sentiment_model(spark, d):
+def _sentiment_model(spark, d, rows):
     label = (
         F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive")
         .otherwise("neutral").alias("sentiment_label")
     )
     weak = t.table(spark, d, "labels").select(F.col("doc_id").alias("review_key"), label)
-    return scoring.train_sentiment(_documents(spark, d).join(weak, "review_key"), max_iter=10)
+    return scoring.train_sentiment(rows.join(weak, "review_key"), max_iter=10)
 
 
-def _no_outputs(spark, d):
+def _no_outputs(rows):
     """An empty model table: everything is still to be scored."""
-    return _documents(spark, d).where(F.lit(False)).select(
+    return rows.where(F.lit(False)).select(
         "review_key", F.lit(None).cast("string").alias("sentiment_label"),
         F.lit(None).cast("array<float>").alias("embedding"),
     )
@@ -110,15 +103,16 @@ def _no_outputs(spark, d):
 
 @query("sentiment_score")
 def _(spark, d):
-    scorer = scoring.model_sentiment(_sentiment_model(spark, d))
-    return scoring.score_sentiment(_documents(spark, d), _no_outputs(spark, d), scorer)
+    rows = _documents(spark, d)
+    scorer = scoring.model_sentiment(_sentiment_model(spark, d, rows))
+    return scoring.score_sentiment(rows, _no_outputs(rows), scorer)
 
 
 @query("embed_text")
 def _(spark, d):
     rows = _documents(spark, d)
     scorer = scoring.model_embedding(scoring.train_embedding(rows))
-    return scoring.embed(rows, _no_outputs(spark, d), scorer)
+    return scoring.embed(rows, _no_outputs(rows), scorer)
 
 
 # Topics
@@ -158,7 +152,7 @@ def _(spark, d):
     select="""SELECT lang, source, string_agg(term, ', ' ORDER BY place) AS keywords
               FROM ranked WHERE place <= 10 GROUP BY lang, source"""))
 def _(spark, d):
-    rows = t.table(spark, d, "documents").select("lang", "source", F.col("text").alias("text_clean"))
+    rows = t.texts(spark, d, "documents", "doc_id").select("lang", "source", F.col("text").alias("text_clean"))
     return topics.topic_keywords(rows, ["lang"], "source")
 
 
@@ -216,9 +210,10 @@ def _code(name: str) -> str:
     FROM (SELECT * REPLACE (coalesce(color, 'unknown') AS color) FROM s)
     LEFT JOIN a USING (sentiment_label) LEFT JOIN b USING (color)"""))
 def _(spark, d):
-    parts = rating.split(_rating_input(spark, d))
+    parts = staged(rating.split(_rating_input(spark, d)))
     fit_rows = parts.where(~F.col("validation"))
-    rows = rating.encoded(parts, rating.encodings(fit_rows), rating.mean_rating(fit_rows))
+    mean = rating.mean_rating(fit_rows)
+    rows = rating.encoded(parts, rating.encodings(fit_rows, mean), mean)
     return rows.select("review_key", *rating.NUMERIC, *[f"{c}_code" for c in rating.CATEGORICAL])
 
 
@@ -259,7 +254,7 @@ def _(spark, d):
 
 @query("rating_model_io")
 def _(spark, d):
-    rows, path = _rating_input(spark, d), _shared_folder(spark)
+    rows, path = _rating_input(spark, d), shared_folder(spark)
     rating.predicted_ratings(spark, rows, path, rounds=ROUNDS)
     return rating.RatingModel.load(spark, path).predict(rows)
 
@@ -269,7 +264,7 @@ def _(spark, d):
     """Train, predict, upsert, and the statistics the job reports."""
     review_ml = t.review_ml(spark, d)
     predictions = rating.predicted_ratings(
-        spark, _rating_input(spark, d), _shared_folder(spark), rounds=ROUNDS
+        spark, _rating_input(spark, d), shared_folder(spark), rounds=ROUNDS
     )
     return rating.prediction_stats(incremental.upsert_predicted(review_ml, predictions))
 
@@ -277,9 +272,9 @@ def _(spark, d):
 @query("enrich_reviews")
 def _(spark, d):
     """Both stages over the documents, each step on the state the last one wrote."""
-    store = jobs.ReviewStore(spark, _shared_folder(spark))
+    store = jobs.ReviewStore(spark, shared_folder(spark))
     jobs.ingest_job(store, t.feedback(spark, d))
-    sentiment = scoring.model_sentiment(_sentiment_model(spark, d))
+    sentiment = scoring.model_sentiment(_sentiment_model(spark, d, _documents(spark, d)))
     embedding = scoring.model_embedding(scoring.train_embedding(store.reviews.read()))
     jobs.enrich(store, sentiment, embedding, topics.ClusterSettings(eps=0.5), rounds=ROUNDS)
     review_ml, found = store.review_ml.read(), store.topics.read()

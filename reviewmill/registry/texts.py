@@ -11,18 +11,19 @@ from reviewmill.registry.base import (
     HTML_TAG, KEYED, LETTER, URL, WS, oracle, query, sql_clean, sql_collapse, sql_keywords,
     sql_not_blank, sql_tokens,
 )
-from reviewmill.schema import REVIEW_UPDATE_COLUMNS
+from reviewmill.schema import PRODUCTS, REVIEW_UPDATE_COLUMNS, REVIEWS
+from reviewmill.session import staged
 from reviewmill.sources import driver_tables as t
 
 BATCH = 100
 
 
 def _documents(spark, d):
-    return t.table(spark, d, "documents")
+    return t.texts(spark, d, "documents", "doc_id")
 
 
 def _pages(spark, d):
-    return t.table(spark, d, "pages")
+    return t.texts(spark, d, "pages", "page_id")
 
 
 def _keyed(spark, d):
@@ -195,8 +196,7 @@ _WINNER = f"""
 @query("ingest_reviews", oracle("feedback", k=KEYED, w=_WINNER, select=f"""
     SELECT review_key, {_REVIEW} FROM w"""))
 def _(spark, d):
-    stored = ingest.review_rows(_keyed(spark, d).where(F.lit(False)))
-    products = ingest.product_keys(_keyed(spark, d)).where(F.lit(False))
+    stored, products = spark.createDataFrame([], REVIEWS), spark.createDataFrame([], PRODUCTS)
     return ingest.ingest(t.feedback(spark, d), products, stored, batch_size=BATCH)[1]
 
 
@@ -208,7 +208,7 @@ def _(spark, d):
            coalesce(o.text, n.text) AS text, {", ".join("n." + c for c in REVIEW_UPDATE_COLUMNS)}
     FROM n LEFT JOIN o USING (review_key)"""))
 def _(spark, d):
-    rows = _keyed(spark, d)
+    rows = staged(_keyed(spark, d))
     old = rows.where(F.col("productValuation") >= 3).groupBy("review_key", "nmId", "text").agg(
         (F.min("productValuation") - 1).alias("rating")
     )

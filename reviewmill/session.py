@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ADAPTIVE_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -40,3 +41,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="reviewmill-ckpt-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name under the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write rows that several later steps read, and go on from the written table.
+
+    Costly columns are computed once, readers take only the columns they need,
+    and a lost executor does not bring the computation back.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

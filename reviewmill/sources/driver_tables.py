@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.functions.vectors import polarity
+from reviewmill.sources.feedback import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table whose texts take long to process."""
+    return spread(table(spark, sf_dir, name), *keys)
+
+
 def _line_key():
     return F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
@@ -101,7 +107,7 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("lang") == "en", 101).when(F.col("lang") == "fr", 102)
         .when(F.col("lang") == "de", 103)
     )
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id").select(
         F.col("doc_id").alias("seq"),
         number.cast("bigint").alias("nmId"),
         "text",

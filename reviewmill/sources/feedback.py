@@ -22,3 +22,17 @@ def scan_limit(df: DataFrame, max_rows: int = MAX_ROWS, order: list[str] | None
     if order:
         df = df.orderBy(*order)
     return df.limit(max_rows)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a small input out to all cores.
+
+    An input under one full split per core is often a single row group, thus one
+    task for all its text. Shuffling it is bounded by cores times split size;
+    anything larger already has enough splits and is left as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * split else df
