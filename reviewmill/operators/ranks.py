@@ -6,35 +6,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dense_positions(
-    rows: DataFrame, seq: str, out: str = "position", width: int = 1_000_000, fan: int = 1_000,
-) -> DataFrame:
-    """Zero-based position of every row in the order of a unique long `seq`.
+def _range_offsets(rows: DataFrame, fan: int) -> DataFrame:
+    """Per `__range` its row count `__n` and the rows in lower ranges, `__offset`.
 
-    Ranges of `width` sequence numbers are counted, their offsets are summed up
-    in two steps (within `fan` ranges, then over those), and each row adds its
-    rank in its own range. No window sees more than `width` rows, or `fan`
-    ranges; the last one sees rows / (width * fan) counts.
+    Offsets are summed up in two steps, within `fan` neighbouring ranges and
+    then over those, so that no window sees more than `fan` ranges, or
+    ranges / `fan` sums.
     """
-    ranged = rows.withColumn("__range", F.floor(F.col(seq) / width).cast("long"))
     counts = (
-        ranged.groupBy("__range").agg(F.count("*").alias("n"))
+        rows.groupBy("__range").agg(F.count("*").alias("__n"))
         .withColumn("block", F.floor(F.col("__range") / fan).cast("long"))
     )
     before = (Window.unboundedPreceding, -1)
-    inner = counts.withColumn(
-        "inner", F.sum("n").over(Window.partitionBy("block").orderBy("__range").rowsBetween(*before))
-    )
-    blocks = counts.groupBy("block").agg(F.sum("n").alias("n")).select(
-        "block",
-        F.sum("n").over(
-            Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(*before)
-        ).alias("outer"),
+    in_block = Window.partitionBy("block").orderBy("__range").rowsBetween(*before)
+    over_blocks = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(*before)
+    blocks = counts.groupBy("block").agg(F.sum("__n").alias("s")).select(
+        "block", F.sum("s").over(over_blocks).alias("outer")
     )
-    offsets = inner.join(blocks, "block").select(
-        "__range",
+    inner = counts.withColumn("inner", F.sum("__n").over(in_block))
+    return inner.join(blocks, "block").select(
+        "__range", "__n",
         (F.coalesce("inner", F.lit(0)) + F.coalesce("outer", F.lit(0))).alias("__offset"),
     )
+
+
+def _with_range(rows: DataFrame, seq: str, width: int) -> DataFrame:
+    return rows.withColumn("__range", F.floor(F.col(seq) / width).cast("long"))
+
+
+def dense_positions(
+    rows: DataFrame, seq: str, out: str = "position", width: int = 1_000_000, fan: int = 1_000,
+) -> DataFrame:
+    """Zero-based position of every row in the order of a unique long `seq`.
+
+    A row's position is the offset of its range of `width` sequence numbers plus
+    its rank there, so no window sorts more than `width` rows.
+    """
+    ranged = _with_range(rows, seq, width)
+    offsets = _range_offsets(ranged, fan).select("__range", "__offset")
     rank = F.row_number().over(Window.partitionBy("__range").orderBy(seq)) - 1
     return (
         ranged.join(offsets, "__range")
@@ -43,6 +52,22 @@ def dense_positions(
     )
 
 
+def nth_smallest(
+    rows: DataFrame, seq: str, n: int, width: int = 1_000_000, fan: int = 1_000,
+) -> int | None:
+    """The `n`-th smallest value of a unique long column, or None if there are fewer rows.
+
+    Finds the range it falls in from counts, then ranks inside that range only.
+    """
+    ranged = _with_range(rows.select(seq), seq, width)
+    holds = (F.col("__offset") < n) & (F.col("__offset") + F.col("__n") >= n)
+    found = _range_offsets(ranged, fan).where(holds).first()
+    if found is None:
+        return None
+    inside = ranged.where(F.col("__range") == found["__range"]).orderBy(seq)
+    return inside.limit(n - found["__offset"]).agg(F.max(seq)).first()[0]
+
+
 def lowest_per_group(
     rows: DataFrame, group: list[str], digest: str, quota: Column, out: str, digits: int = 4,
 ) -> DataFrame:

@@ -26,26 +26,36 @@ def salted_join(
     return left.join(right, [*keys, _SALT], how).drop(_SALT)
 
 
+def hot_keys(sized: DataFrame, keys: list[str], size_col: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than `hot_rows` rows, from a table that counts the rows of each key.
+
+    There are at most all rows / `hot_rows` of them, which bounds the list.
+    """
+    return sized.where(F.col(size_col) > hot_rows).select(*keys).distinct()
+
+
 def hot_key_join(
-    big: DataFrame, sized: DataFrame, keys: list[str], size_col: str, spread: list[str],
-    salts: int = SALTS, hot_rows: int = HOT_ROWS,
+    big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, spread: list[str],
+    how: str = "inner", salts: int = SALTS,
 ) -> DataFrame:
-    """Inner join to a side about as long as `big`, whose `size_col` counts the rows of each key.
+    """Join to a side with one row per key that may be about as long as `big`.
 
-    Repeating that whole side would multiply it, so only keys with more than
-    `hot_rows` rows are salted. There can be at most `rows(big) / hot_rows` such
-    keys, which bounds the list that is joined in to mark them.
+    Repeating all of that side would multiply it, so only the `hot` keys, given
+    by some of the `keys` columns, are salted as in `salted_join`. The list gets
+    no broadcast hint: AQE broadcasts it when its measured size allows that.
     """
-    hot = sized.where(F.col(size_col) > hot_rows).select(*keys, F.lit(salts).alias("__n"))
-    # No broadcast hint: AQE broadcasts the list when its measured size allows it.
+    mark = hot.withColumn("__n", F.lit(salts))
     left = (
-        big.join(hot, keys, "left")
+        big.join(mark, hot.columns, "left")
         .withColumn(_SALT, F.when(F.col("__n").isNotNull(), _salt(spread, salts)).otherwise(0))
         .drop("__n")
     )
-    copies = F.when(F.col(size_col) > hot_rows, F.lit(salts)).otherwise(F.lit(1))
-    right = sized.withColumn(_SALT, F.explode(F.sequence(F.lit(0), copies - 1)))
-    return left.join(right, [*keys, _SALT], "inner").drop(_SALT)
+    right = (
+        small.join(mark, hot.columns, "left")
+        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1)))
+        .drop("__n")
+    )
+    return left.join(right, [*keys, _SALT], how).drop(_SALT)
 
 
 def _salt(spread: list[str], salts: int) -> Column:

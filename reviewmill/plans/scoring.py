@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from reviewmill.functions.text import computed_once
 from reviewmill.functions.vectors import argmax, l2_normalise, normalise_label, softmax
-from reviewmill.operators.skew import HOT_ROWS, hot_key_join
+from reviewmill.operators.skew import HOT_ROWS, hot_key_join, hot_keys
 from reviewmill.plans.incremental import pending_embedding, pending_sentiment
 from reviewmill.schema import EMBEDDING_BATCH_SIZE, EMBEDDING_DIM, SENTIMENT_BATCH_SIZE
 
@@ -31,14 +31,14 @@ def score_once(pending: DataFrame, scorer: Scorer, hot_rows: int = HOT_ROWS) ->
 
     The scored side is about as long as the reviews, and one text may be on a
     third of them: only texts with that many copies are repeated for the join.
+    They are found from the counts, so the scorer runs in one branch only.
     """
     texts = distinct_texts(pending).withColumn("text_hash", F.xxhash64("text_clean"))
-    scored = scorer(texts)
+    hot = hot_keys(texts, ["text_hash"], "copies", hot_rows)
     rows = pending.withColumn("text_hash", F.xxhash64("text_clean"))
-    joined = hot_key_join(
-        rows, scored, ["text_hash", "text_clean"], "copies", ["review_key"], hot_rows=hot_rows
-    )
-    return joined.drop("text_hash", "text_clean", "copies")
+    keys = ["text_hash", "text_clean"]
+    joined = hot_key_join(rows, scorer(texts), keys, hot, ["review_key"])
+    return joined.drop(*keys, "copies")
 
 
 def _longest_first(texts: DataFrame) -> DataFrame:

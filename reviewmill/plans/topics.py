@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions.text import ngrams
 from reviewmill.operators.components import connected_components
-from reviewmill.operators.skew import HOT_ROWS, hot_key_join, salted_join
+from reviewmill.operators.skew import HOT_ROWS, hot_key_join, hot_keys, salted_join
 from reviewmill.schema import MIN_CLUSTER_REVIEWS
 from reviewmill.session import ensure_checkpoint_dir, staged
 
@@ -123,9 +123,10 @@ def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings
     points = eligible(signed, s.min_reviews).select(
         *GROUP, "review_key", "sig", F.when(F.col("n") >= s.wide_from, 16).otherwise(8).alias("bits")
     ).checkpoint()
-    dense = _dense_cells(_cells(points), s.min_samples, s.cohesion * s.radius)
+    dense = _dense_cells(_cells(points), s.min_samples, s.cohesion * s.radius).checkpoint()
+    hot = hot_keys(dense, [*GROUP, "node"], "size", s.hot_rows)
     members = (
-        hot_key_join(_cells(points), dense, [*GROUP, "node"], "size", ["review_key"], hot_rows=s.hot_rows)
+        hot_key_join(_cells(points), dense, [*GROUP, "node"], hot, ["review_key"])
         .withColumn("distance", _distance())
         .where(F.col("distance") <= s.radius)
         .checkpoint()
@@ -142,13 +143,11 @@ def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings
     edges = together.select(*GROUP, links).select(*GROUP, "a", "b").distinct()
     roots = connected_components(edges, GROUP)
     labelled = dense.join(roots, [*GROUP, "node"], "left").select(
-        *GROUP, "node", "size", "centre", F.coalesce("label", "node").alias("label")
+        *GROUP, "node", "centre", F.coalesce("label", "node").alias("label")
     ).checkpoint()
 
-    by_cell = labelled.select(*GROUP, "node", "size", "label")
     core = _nearest(
-        hot_key_join(members.drop("size", "centre"), by_cell, [*GROUP, "node"], "size", ["review_key"],
-                     hot_rows=s.hot_rows)
+        hot_key_join(members, labelled.drop("centre"), [*GROUP, "node"], hot, ["review_key"])
     ).checkpoint()
     sizes = core.groupBy(*GROUP, "label").agg(F.count("*").alias("reviews"))
     kept = sizes.where(F.col("reviews") >= s.min_cluster_size).drop("reviews")
@@ -160,7 +159,7 @@ def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings
     )
     targets = labelled.join(kept, [*GROUP, "label"], "left_semi")
     border = _nearest(
-        hot_key_join(near, targets, [*GROUP, "node"], "size", ["review_key"], hot_rows=s.hot_rows)
+        hot_key_join(near, targets, [*GROUP, "node"], hot, ["review_key"])
         .withColumn("distance", _distance())
         .where(F.col("distance") <= s.radius)
     )

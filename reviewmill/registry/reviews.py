@@ -571,10 +571,7 @@ def _(spark, d):
 
 
 @query("scan_limit", """
-    SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity FROM lineitem
-    ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 400000""")
+    SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10000""")
 def _(spark, d):
-    rows = t.table(spark, d, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
-    )
-    return scan_limit(rows, order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    orders = t.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return scan_limit(orders, 10_000, "o_orderkey")

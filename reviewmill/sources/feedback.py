@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewmill.operators.ranks import nth_smallest
 from reviewmill.schema import FEEDBACK, MAX_ROWS
 
 
@@ -13,15 +14,18 @@ def read_feedback(spark: SparkSession, path: str, fmt: str = "parquet", **option
     return spark.read.schema(FEEDBACK).options(**options).format(fmt).load(path)
 
 
-def scan_limit(df: DataFrame, max_rows: int = MAX_ROWS, order: list[str] | None = None) -> DataFrame:
-    """The first `max_rows` rows.
+def scan_limit(df: DataFrame, max_rows: int = MAX_ROWS, seq: str | None = None,
+               width: int = 1_000_000) -> DataFrame:
+    """At most `max_rows` rows: those with the lowest `seq`, or any if none is given.
 
-    With `order` the choice is repeatable. A bounded prefix of a sort is a
-    top-k per partition and one merge; without `order` it stops the scan early.
+    `seq` is a unique long. The highest number to keep is found from that column
+    alone and becomes a plain filter, which the scan uses to skip row groups; a
+    sort with a large limit would end in one task instead.
     """
-    if order:
-        df = df.orderBy(*order)
-    return df.limit(max_rows)
+    if seq is None:
+        return df.limit(max_rows)
+    last = nth_smallest(df, seq, max_rows, width)
+    return df if last is None else df.where(F.col(seq) <= last)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -48,7 +48,9 @@ def test_caller_model_scores_each_text_once(spark):
         return inner(df)
 
     pending = incremental.pending_sentiment(reviews(spark, texts), empty)
-    rows = scoring.score_once(pending, scorer, hot_rows=100).collect()
+    scored = scoring.score_once(pending, scorer, hot_rows=100)
+    assert plan(scored).count("ArrowEvalPython") == 1
+    rows = scored.collect()
     assert seen == [3]
     got = {r.review_key: (r.sentiment_label, r.sentiment_score) for r in rows}
     assert len(rows) == len(got) == 303
@@ -178,7 +180,7 @@ def test_feedback_formats(spark, tmp_path, fmt):
     df = spark.createDataFrame(rows, "seq bigint, nmId bigint, text string, productValuation int, color string, answer string")
     df.withColumn("extra", F.lit(1)).select(*df.columns).write.format(fmt).save(str(tmp_path / fmt))
     assert sorted(map(tuple, read_feedback(spark, str(tmp_path / fmt), fmt).collect())) == rows
-    assert scan_limit(df, 1, ["seq"]).first().seq == 0
+    assert scan_limit(df, 1, "seq").first().seq == 0
 
 
 def test_both_stages(spark, tmp_path):

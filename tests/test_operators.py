@@ -9,9 +9,10 @@ from reviewmill.functions import numbers, vectors
 from reviewmill.operators.components import connected_components
 from reviewmill.operators.merge import insert_absent, merge_columns, reassign, replace_groups
 from reviewmill.operators.ranks import dense_positions, lowest_per_group
-from reviewmill.operators.skew import hot_key_join, salted_join
+from reviewmill.operators.skew import hot_key_join, hot_keys, salted_join
 from reviewmill.plans import incremental
 from reviewmill.schema import REVIEW_ML
+from reviewmill.sources.feedback import scan_limit
 
 
 def rows(df):
@@ -82,10 +83,13 @@ def test_salted_join_equals_join(spark, how):
 def test_hot_key_join_equals_join(spark):
     big = spark.range(1000).select(F.col("id"), F.when(F.col("id") < 700, 0).otherwise(F.col("id")).alias("k"))
     sized = big.groupBy("k").agg(F.count("*").alias("n"))
-    got = hot_key_join(big, sized, ["k"], "n", ["id"], salts=4, hot_rows=100)
+    hot = hot_keys(sized, ["k"], "n", 100)
+    assert rows(hot) == [(0,)]
+    got = hot_key_join(big, sized, ["k"], hot, ["id"], salts=4)
     assert rows(got.select("id", "k", "n")) == rows(big.join(sized, "k").select("id", "k", "n"))
-    used = [r[0] for r in got.select(F.spark_partition_id()).where("k = 0").distinct().collect()]
-    assert len(used) > 0
+    some = sized.where("k < 800")
+    left = hot_key_join(big, some, ["k"], hot, ["id"], "left", salts=4)
+    assert rows(left.select("id", "k", "n")) == rows(big.join(some, "k", "left").select("id", "k", "n"))
 
 
 def test_dense_positions(spark):
@@ -163,3 +167,13 @@ def test_zero_vector(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<float>")
     got = [[round(x, 6) for x in r[0]] for r in df.select(vectors.l2_normalise(F.col("v"))).collect()]
     assert got == [[0.0, 0.0], [0.6, 0.8]]
+
+
+def test_scan_limit_takes_the_lowest(spark):
+    picked = random.Random(5).sample(range(-10**6, 10**7), 700)
+    df = spark.createDataFrame([(s, str(s)) for s in picked], "seq bigint, v string").repartition(5)
+    for n in (1, 99, 699, 700, 5000):
+        got = scan_limit(df, n, "seq", width=10**5)
+        assert sorted(r.seq for r in got.collect()) == sorted(picked)[:n]
+    assert scan_limit(df, 7).count() == 7
+    assert scan_limit(df.where("false"), 7, "seq").count() == 0
