@@ -76,16 +76,13 @@ def split(rows: DataFrame, fraction: float = VALIDATION, seed: int = SEED) -> Da
 
     If some rating has fewer than two rows the share is taken of all rows at once.
     """
-    stratified = (min_class_count(rows).first()[0] or 0) >= 2
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "review_key"))
+    marked = staged(rows.withColumn("__digest", digest))  # counted first, then ranked
     quota = F.ceil(F.col("n") * fraction)
-    marked = rows.withColumn("__digest", digest)
-    if stratified:
-        marked = lowest_per_group(marked, [TARGET], "__digest", quota, "validation")
-    else:
-        whole = marked.withColumn("__all", F.lit(0))
-        marked = lowest_per_group(whole, ["__all"], "__digest", quota, "validation").drop("__all")
-    return marked.drop("__digest")
+    if (min_class_count(marked).first()[0] or 0) >= 2:
+        return lowest_per_group(marked, [TARGET], "__digest", quota, "validation").drop("__digest")
+    whole = marked.withColumn("__all", F.lit(0))
+    return lowest_per_group(whole, ["__all"], "__digest", quota, "validation").drop("__digest", "__all")
 
 
 @dataclass
@@ -127,12 +124,19 @@ def _assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
 
 
+def _features(rows: DataFrame, codes: dict[str, DataFrame], mean: float) -> DataFrame:
+    """Staged, as fitting and evaluation pass over it several times."""
+    return staged(_assembled(encoded(rows, codes, mean)).select(
+        "features", F.col(TARGET).cast("double").alias("label")
+    ))
+
+
 def _fit(rows: DataFrame, rounds: int, depth: int, rate: float) -> RatingModel:
     mean = mean_rating(rows)
     codes = encodings(rows, mean)
     trees = GBTRegressor(
         labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, lossType="squared", seed=SEED,
-    ).fit(_assembled(encoded(rows, codes, mean)).select("features", F.col(TARGET).cast("double").alias("label")))
+    ).fit(_features(rows, codes, mean))
     return RatingModel(trees, codes, mean)
 
 
@@ -142,9 +146,7 @@ def train(rows: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH,
     parts = staged(split(rows))
     fit_rows, held_out = parts.where(~F.col("validation")), parts.where("validation")
     trial = _fit(fit_rows, rounds, depth, rate)
-    ready = _assembled(encoded(held_out, trial.codes, trial.mean)).select(
-        "features", F.col(TARGET).cast("double").alias("label")
-    )
+    ready = _features(held_out, trial.codes, trial.mean)
     squared = trial.trees.evaluateEachIteration(ready, "squared")
     absolute = trial.trees.evaluateEachIteration(ready, "absolute")
     best = min(range(len(squared)), key=squared.__getitem__)
@@ -172,6 +174,7 @@ def predicted_ratings(spark: SparkSession, rows: DataFrame, path: str, **setting
     if RatingModel.exists(spark, path):
         model = RatingModel.load(spark, path)
     else:
+        rows = staged(rows)
         train(rows, **settings)[0].save(path)
         model = RatingModel.load(spark, path)
     return model.predict(rows)
