@@ -71,7 +71,7 @@ TABLES = {
                count(*) AS review_count
         FROM review_ml WHERE topic_id IS NOT NULL GROUP BY topic_id""",
     "products": """
-        SELECT 'wildberries' AS marketplace, CAST(p_partkey AS VARCHAR) AS external_id FROM part""",
+        SELECT 'market' AS marketplace, CAST(p_partkey AS VARCHAR) AS external_id FROM part""",
     "negative_share": """
         SELECT product_id, 'high_negative_share' AS rule_name,
                CASE WHEN pct >= 0.5 THEN 'high' ELSE 'medium' END AS severity,

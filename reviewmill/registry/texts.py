@@ -130,7 +130,7 @@ def _(spark, d):
     return ingest.rejects(t.feedback(spark, d)).select("seq", "text_clean")
 
 
-_REVIEW = """concat('wildberries:', nmId) AS product_id, text, text_clean,
+_REVIEW = """concat('market:', nmId) AS product_id, text, text_clean,
              productValuation AS rating, color, answer, has_answer,
              CAST(review_length AS INTEGER) AS review_length, CAST(word_count AS INTEGER) AS word_count,
              CAST(answer_length AS INTEGER) AS answer_length"""
@@ -151,11 +151,11 @@ def _(spark, d):
 # Products
 
 @query("products_new", oracle("feedback", "products", k=KEYED, select="""
-    SELECT DISTINCT 'wildberries' AS marketplace, CAST(nmId AS VARCHAR) AS external_id FROM k
+    SELECT DISTINCT 'market' AS marketplace, CAST(nmId AS VARCHAR) AS external_id FROM k
     WHERE CAST(nmId AS VARCHAR) NOT IN (SELECT CAST(s_suppkey + 101 AS VARCHAR) FROM supplier)"""))
 def _(spark, d):
     known = t.table(spark, d, "supplier").select(
-        F.lit("wildberries").alias("marketplace"),
+        F.lit("market").alias("marketplace"),
         (F.col("s_suppkey") + 101).cast("string").alias("external_id"),
     )
     return ingest.new_products(_keyed(spark, d), known)
@@ -168,7 +168,7 @@ def _(spark, d):
 
 
 @query("attach_product", oracle("feedback", "products", k=KEYED, select="""
-    SELECT seq, review_key, concat('wildberries:', external_id) AS product_id
+    SELECT seq, review_key, concat('market:', external_id) AS product_id
     FROM k JOIN products ON external_id = CAST(nmId AS VARCHAR)"""))
 def _(spark, d):
     rows = ingest.attach_product(_keyed(spark, d), t.products(spark, d))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # Defaults of the original jobs.
-MARKETPLACE = "wildberries"
+MARKETPLACE = "market"
 MAX_ROWS = 400_000
 BATCH_SIZE = 5_000
 SENTIMENT_BATCH_SIZE = 64

@@ -97,7 +97,7 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
-        F.lit("wildberries").alias("marketplace"), F.col("p_partkey").cast("string").alias("external_id")
+        F.lit("market").alias("marketplace"), F.col("p_partkey").cast("string").alias("external_id")
     )
 
 

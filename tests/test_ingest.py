@@ -86,9 +86,9 @@ def test_one_text_on_most_rows(spark):
 
 def test_attach_product_drops_unknown(spark):
     rows = ingest.keyed(feedback(spark, [(1, "a b c", 5, None, None), (2, "a b c", 5, None, None)]))
-    known = spark.createDataFrame([("wildberries", "1"), ("elsewhere", "2")], PRODUCTS)
+    known = spark.createDataFrame([("market", "1"), ("elsewhere", "2")], PRODUCTS)
     got = ingest.attach_product(rows, known).collect()
-    assert [(r.nmId, r.product_id) for r in got] == [(1, "wildberries:1")]
+    assert [(r.nmId, r.product_id) for r in got] == [(1, "market:1")]
     assert [r.external_id for r in ingest.new_products(rows, known).collect()] == ["2"]
 
 
