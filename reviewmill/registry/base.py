@@ -23,7 +23,9 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-LINE_KEY = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber)"
+LINE_KEY = (
+    "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_shipdate AS DATE))"
+)
 
 TABLES = {
     "reviews": f"""

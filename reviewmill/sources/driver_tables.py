@@ -23,7 +23,9 @@ def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
 
 
 def _line_key():
-    return F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    """Unique at every scale only with the ship date."""
+    day = F.col("l_shipdate").cast("date")
+    return F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", day)
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
