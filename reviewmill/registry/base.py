@@ -24,7 +24,8 @@ def query(name: str, oracle: str | None = None):
 
 
 LINE_KEY = (
-    "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_shipdate AS DATE))"
+    "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, "
+    "date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)))"
 )
 
 TABLES = {

@@ -24,7 +24,7 @@ def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
 
 def _line_key():
     """Unique at every scale only with the ship date."""
-    day = F.col("l_shipdate").cast("date")
+    day = F.unix_date(F.col("l_shipdate").cast("date"))
     return F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", day)
 
 
