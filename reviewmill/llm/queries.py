@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import byte_bpe, fingerprints, simhash_tiles, source_mixing, token_counts, wavelet_tokens
+from reviewmill.llm import (
+    byte_bpe, embedding_graph, fingerprints, simhash_tiles, source_mixing, suffix_dedup, token_counts, wavelet_tokens,
+)
 from reviewmill.registry.base import Query
 
 QUERIES: dict[str, Query] = {}
@@ -28,12 +30,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_embedding_graph")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_graph.audited_groups(_table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_source_mixing", source_mixing.ORACLE)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_byte_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(
