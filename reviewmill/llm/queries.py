@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.llm import (
-    byte_bpe, embedding_graph, fingerprints, simhash_tiles, source_mixing, suffix_dedup, token_counts, wavelet_tokens,
+    byte_bpe, embedding_graph, fingerprints, quality_ftrl, simhash_tiles, source_mixing, suffix_dedup,
+    token_counts, toxicity_pu, wavelet_tokens,
 )
 from reviewmill.registry.base import Query
 
@@ -41,6 +43,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_toxicity_pu")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_pu.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query("op4_suffix_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents")).select(
@@ -64,6 +71,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_tokens.written_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+@query("op8_quality_ftrl")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ftrl.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
@@ -72,3 +84,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(_table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
