@@ -1,9 +1,11 @@
 """Topics: density clusters of each product's positive and negative reviews, with keywords.
 
-Distances are read from 64-bit random-hyperplane signatures (Charikar 2002):
-the share of differing bits estimates the angle between two vectors. Reviews
-meet in cells, which are bands of the signature, and never in pairs, so the
-work grows with the number of reviews however they are spread over products.
+Distances are read from random-hyperplane signatures (Charikar 2002): the
+share of differing bits estimates the angle between two vectors. Reviews meet
+in cells, which are leading bits of one of several signature keys, and never in
+pairs, so the work grows with the number of reviews however they are spread
+over products. A cell that mixes clusters is split by further bits of its key
+until what it holds is coherent or too little.
 """
 
 from __future__ import annotations
@@ -22,7 +24,11 @@ from reviewmill.operators.skew import HOT_ROWS, hot_key_join, hot_keys, salted_j
 from reviewmill.schema import MIN_CLUSTER_REVIEWS
 from reviewmill.session import ensure_checkpoint_dir, staged
 
-SIGNATURE_BITS = 64
+SIGNATURE_BITS = 128  # of the part that distances are read from, two longs
+KEYS = 8
+KEY_BITS = 48
+KEY_STEP = 24  # keys begin this many planes apart, and reach into the next one's
+FIRST_BITS, MORE_BITS = 8, 4
 GROUP = ["product_id", "polarity"]
 OTHER = "other"
 
@@ -37,7 +43,6 @@ class ClusterSettings:
     eps: float = 0.25
     cohesion: float = 0.75  # a cell's mean distance to its centre, as a share of the radius
     seed: int = 42
-    wide_from: int = 20_000  # groups of this size use 16-bit cells, smaller ones 8-bit cells
     hot_rows: int = HOT_ROWS
 
     @property
@@ -47,19 +52,35 @@ class ClusterSettings:
 
 
 def signature(vector: Column, seed: int = 42) -> Column:
-    """64 sides of random planes as one long; the planes follow from seed and dimension."""
+    """Sides of random planes: 128 to read distances from, then the keys that cells are cut from.
+
+    An array of longs, or null for a vector that is null, zero or not finite. The
+    planes follow from seed and dimension, so vectors of different lengths, each
+    signed by planes of its own, look unrelated.
+    """
     planes: dict[int, np.ndarray] = {}
 
-    @F.pandas_udf("long")
+    def packed(bits: np.ndarray) -> np.ndarray:
+        wide = np.zeros((len(bits), 64), np.uint8)
+        wide[:, :bits.shape[1]] = bits
+        return np.packbits(wide, axis=1, bitorder="little").view("<i8").ravel()
+
+    @F.pandas_udf("array<long>")
     def sides(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype="int64")
-        matrix = np.stack(vectors.to_numpy()).astype(np.float32)
-        dim = matrix.shape[1]
-        if dim not in planes:
-            planes[dim] = np.random.default_rng(seed).standard_normal((dim, SIGNATURE_BITS))
-        bits = (matrix @ planes[dim] > 0).astype(np.uint8)
-        return pd.Series(np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel())
+        out = pd.Series([None] * len(vectors), dtype=object)
+        held = [None if v is None else np.asarray(v, np.float64) for v in vectors]
+        good = [i for i, v in enumerate(held) if v is not None and np.isfinite(v).all() and v.any()]
+        for dim in {len(held[i]) for i in good}:
+            rows = [i for i in good if len(held[i]) == dim]
+            if dim not in planes:
+                planes[dim] = np.random.default_rng(seed).standard_normal(
+                    (dim, SIGNATURE_BITS + KEYS * KEY_STEP))
+            bits = (np.stack([held[i] for i in rows]) @ planes[dim] > 0).astype(np.uint8)
+            near, rest = bits[:, :SIGNATURE_BITS], bits[:, SIGNATURE_BITS:]
+            keys = [packed(rest[:, (k * KEY_STEP + np.arange(KEY_BITS)) % rest.shape[1]]) for k in range(KEYS)]
+            for i, row in zip(rows, np.stack([packed(near[:, :64]), packed(near[:, 64:]), *keys], axis=1)):
+                out[i] = row
+        return out
 
     return sides(vector)
 
@@ -70,39 +91,80 @@ def eligible(rows: DataFrame, min_reviews: int = MIN_CLUSTER_REVIEWS) -> DataFra
     return salted_join(rows, sizes, GROUP, ["review_key"])
 
 
-def _cells(points: DataFrame) -> DataFrame:
-    """One row per point and signature band; `node` names the cell in its group."""
-    bands = F.expr(f"""
-        explode(transform(sequence(0, {SIGNATURE_BITS} div bits - 1), band ->
-            band * 65536L + (shiftrightunsigned(sig, CAST(band * bits AS INT)) & (shiftleft(1L, bits) - 1))))""")
-    return points.withColumn("node", bands)
+def _keyed(points: DataFrame) -> DataFrame:
+    """One row per point and signature key."""
+    return points.select("*", F.posexplode("keys").alias("tree", "key")).drop("keys")
+
 
+def _node(bits: int) -> Column:
+    """Name of the cell that a key is in at a depth: depth, tree and leading bits."""
+    head = F.col("key").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    depth = (bits - FIRST_BITS) // MORE_BITS
+    return (F.lit(depth * KEYS).cast("long") + F.col("tree")) * F.lit(1 << KEY_BITS) + head
 
-def _dense_cells(cells: DataFrame, min_samples: int, widest: float) -> DataFrame:
+
+def _full_cells(cells: DataFrame, min_samples: int, widest: float) -> DataFrame:
     """Cells with enough points and their centre: the majority side of every plane.
 
     A cell that two clusters share has a centre between them and a large mean
-    distance to it. Such cells are left out, or they would chain the clusters.
+    distance to it. It is not `coherent`, as it would chain the clusters.
     """
-    counts = [F.sum(F.getbit("sig", F.lit(i))).alias(f"b{i}") for i in range(SIGNATURE_BITS)]
+    counts = [F.sum(F.getbit(f"sig{i // 64}", F.lit(i % 64))).alias(f"b{i}") for i in range(SIGNATURE_BITS)]
     sums = cells.groupBy(*GROUP, "node").agg(F.count("*").alias("size"), *counts)
-    centre, apart = F.lit(0).cast("long"), F.lit(0).cast("long")
+    centres, apart = [F.lit(0).cast("long")] * 2, F.lit(0).cast("long")
     for i in range(SIGNATURE_BITS):
-        ones, bit = F.col(f"b{i}"), F.shiftleft(F.lit(1).cast("long"), i)
-        centre = centre.bitwiseOR(F.when(ones * 2 > F.col("size"), bit).otherwise(F.lit(0)))
+        ones, bit = F.col(f"b{i}"), F.shiftleft(F.lit(1).cast("long"), i % 64)
+        centres[i // 64] = centres[i // 64].bitwiseOR(F.when(ones * 2 > F.col("size"), bit).otherwise(F.lit(0)))
         apart = apart + F.least(ones, F.col("size") - ones)
-    dense = (F.col("size") >= min_samples) & (apart <= F.col("size") * widest)
-    return sums.where(dense).select(*GROUP, "node", "size", centre.alias("centre"))
+    return sums.where(F.col("size") >= min_samples).select(
+        *GROUP, "node", "size", centres[0].alias("centre0"), centres[1].alias("centre1"),
+        (apart <= F.col("size") * widest).alias("coherent"))
+
+
+def _members(points: DataFrame, s: ClusterSettings) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Points in coherent cells with the cell's centre, those cells, and the depths they are at.
+
+    Each depth takes one aggregate over the points whose cells were still mixed; cells
+    under `min_samples` hold no cluster and go.
+    """
+    left, found, cells, depths = _keyed(points), [], [], []
+    for bits in range(FIRST_BITS, KEY_BITS + 1, MORE_BITS):
+        at = left.withColumn("node", _node(bits))
+        full = _full_cells(at, s.min_samples, s.cohesion * s.radius).checkpoint()
+        hot = hot_keys(full, [*GROUP, "node"], "size", s.hot_rows)
+        placed = hot_key_join(at, full, [*GROUP, "node"], hot, ["review_key"]).checkpoint()
+        inside = placed.where("coherent").withColumn("distance", _distance())
+        found.append(inside.where(_within(s.radius)).drop("coherent", "key", "tree"))
+        cells.append(full.where("coherent").drop("coherent"))
+        depths.append(bits)
+        left = placed.where("NOT coherent").drop("node", "size", "centre0", "centre1", "coherent")
+        if left.isEmpty():
+            break
+    members, dense = found[0], cells[0]
+    for more, further in zip(found[1:], cells[1:]):
+        members, dense = members.unionByName(more), dense.unionByName(further)
+    return members.checkpoint(), dense.checkpoint(), depths
 
 
 def _distance() -> Column:
-    return F.bit_count(F.col("sig").bitwiseXOR(F.col("centre")))
+    return sum(F.bit_count(F.col(f"sig{i}").bitwiseXOR(F.col(f"centre{i}"))) for i in (0, 1))
+
+
+def _within(radius: int, flipped: int = 0) -> Column:
+    """Whether a point lies within the radius of its cell's centre.
+
+    The leading key bits, of which all but `flipped` agree with the centre's, are evidence
+    too: the share of differing bits is taken over them and the signature.
+    """
+    depth = F.shiftright("node", KEY_BITS + KEYS.bit_length() - 1)
+    bits = SIGNATURE_BITS + FIRST_BITS + depth * MORE_BITS
+    return (F.col("distance") + flipped) * SIGNATURE_BITS <= bits * radius
 
 
 def _nearest(found: DataFrame) -> DataFrame:
     """Per review the component of the closest cell centre, ties to the smallest label."""
-    packed = F.min(F.col("distance").cast("long") * (1 << 32) + F.col("label"))
-    return found.groupBy(*GROUP, "review_key").agg((packed % (1 << 32)).alias("label"))
+    packed = F.min(F.col("distance").cast("long") * (1 << 56) + F.col("label"))
+    return found.groupBy(*GROUP, "review_key").agg((packed % (1 << 56)).alias("label"))
 
 
 def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings()) -> DataFrame:
@@ -113,60 +175,60 @@ def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings
     they share such a review and their centres are within half of that, and
     connected cells make a topic.
     Reviews in no dense cell may still join through a cell one bit away, as
-    border points. Topics under `min_cluster_size`, and all else, are -1.
+    border points. Topics under `min_cluster_size`, reviews whose vector is null,
+    zero or not finite, and all else are -1. Nothing depends on the group's size.
     Topics are numbered from 0 by size.
     """
     s = settings
     ensure_checkpoint_dir(rows.sparkSession)
     vectors = rows.where(F.col("polarity").isNotNull()).select(*GROUP, "review_key", "embedding")
-    signed = vectors.select(*GROUP, "review_key", signature(F.col("embedding"), s.seed).alias("sig"))
-    points = eligible(signed, s.min_reviews).select(
-        *GROUP, "review_key", "sig", F.when(F.col("n") >= s.wide_from, 16).otherwise(8).alias("bits")
+    signed = vectors.select(*GROUP, "review_key", signature(F.col("embedding"), s.seed).alias("sides"))
+    all_points = eligible(signed, s.min_reviews).select(
+        *GROUP, "review_key", F.element_at("sides", 1).alias("sig0"),
+        F.element_at("sides", 2).alias("sig1"), F.slice("sides", 3, KEYS).alias("keys"),
     ).checkpoint()
-    dense = _dense_cells(_cells(points), s.min_samples, s.cohesion * s.radius).checkpoint()
+    points = all_points.where(F.col("sig0").isNotNull())
+    members, dense, depths = _members(points, s)
     hot = hot_keys(dense, [*GROUP, "node"], "size", s.hot_rows)
-    members = (
-        hot_key_join(_cells(points), dense, [*GROUP, "node"], hot, ["review_key"])
-        .withColumn("distance", _distance())
-        .where(F.col("distance") <= s.radius)
-        .checkpoint()
-    )
-    # A review has one cell per band, at most 8, so its list and its cell pairs are few.
+    # A review has at most one cell per key, so its list and its cell pairs are few.
     together = members.groupBy(*GROUP, "review_key").agg(
-        F.sort_array(F.collect_list(F.struct("node", "centre"))).alias("cells")
+        F.sort_array(F.collect_list(F.struct("node", "centre0", "centre1"))).alias("cells")
     )
     links = F.expr(f"""
         inline(filter(flatten(transform(cells, (x, i) ->
             transform(slice(cells, i + 2, size(cells)), y ->
-                named_struct('a', x.node, 'b', y.node, 'apart', bit_count(x.centre ^ y.centre))))),
+                named_struct('a', x.node, 'b', y.node, 'apart',
+                    bit_count(x.centre0 ^ y.centre0) + bit_count(x.centre1 ^ y.centre1))))),
             link -> link.apart <= {s.radius // 2}))""")
     edges = together.select(*GROUP, links).select(*GROUP, "a", "b").distinct()
     roots = connected_components(edges, GROUP)
     labelled = dense.join(roots, [*GROUP, "node"], "left").select(
-        *GROUP, "node", "centre", F.coalesce("label", "node").alias("label")
+        *GROUP, "node", "centre0", "centre1", F.coalesce("label", "node").alias("label")
     ).checkpoint()
 
-    core = _nearest(
-        hot_key_join(members, labelled.drop("centre"), [*GROUP, "node"], hot, ["review_key"])
+    named = hot_key_join(
+        members, labelled.drop("centre0", "centre1"), [*GROUP, "node"], hot, ["review_key"]
     ).checkpoint()
-    sizes = core.groupBy(*GROUP, "label").agg(F.count("*").alias("reviews"))
-    kept = sizes.where(F.col("reviews") >= s.min_cluster_size).drop("reviews")
+    sizes = _nearest(named).groupBy(*GROUP, "label").agg(F.count("*").alias("reviews"))
+    kept = sizes.where(F.col("reviews") >= s.min_cluster_size).drop("reviews").checkpoint()
+    # Reviews nearest to a component that is too small go to the nearest one that is not.
+    core = _nearest(named.join(kept, [*GROUP, "label"], "left_semi")).checkpoint()
 
-    # Border points look into the cells that differ in one bit of a band.
+    # Border points look into the cells that differ in one bit of a key.
     rest = points.join(core.select(*GROUP, "review_key"), [*GROUP, "review_key"], "left_anti")
-    near = _cells(rest).withColumn(
-        "node", F.explode(F.expr("transform(sequence(0, bits - 1), j -> node ^ shiftleft(1L, j))"))
-    )
+    flipped = F.array(*[
+        _node(bits).bitwiseXOR(F.lit(1 << i).cast("long")) for bits in depths for i in range(bits)])
+    near = _keyed(rest).withColumn("node", F.explode(flipped)).drop("key", "tree")
     targets = labelled.join(kept, [*GROUP, "label"], "left_semi")
     border = _nearest(
         hot_key_join(near, targets, [*GROUP, "node"], hot, ["review_key"])
         .withColumn("distance", _distance())
-        .where(F.col("distance") <= s.radius)
+        .where(_within(s.radius, flipped=1))
     )
 
     assigned = core.unionByName(border).checkpoint()
     final = assigned.groupBy(*GROUP, "label").agg(F.count("*").alias("reviews"))
-    # A group has at most 8 * 2^8 or 4 * 2^16 cells, hence no more topics than that.
+    # A topic has at least `min_cluster_size` reviews, so one row here stands for as many.
     by_size = Window.partitionBy(*GROUP).orderBy(F.col("reviews").desc(), "label")
     numbers = final.join(kept, [*GROUP, "label"], "left_semi").select(
         *GROUP, "label", (F.row_number().over(by_size) - 1).alias("topic_no")
@@ -174,7 +236,7 @@ def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings
     numbered = salted_join(assigned, numbers, [*GROUP, "label"], ["review_key"]).select(
         *GROUP, "review_key", "topic_no"
     )
-    return points.select(*GROUP, "review_key").join(numbered, [*GROUP, "review_key"], "left").withColumn(
+    return all_points.select(*GROUP, "review_key").join(numbered, [*GROUP, "review_key"], "left").withColumn(
         "topic_no", F.coalesce("topic_no", F.lit(-1))
     )
 

@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from reviewmill.plans import topics
@@ -67,14 +68,14 @@ def test_one_vector_on_most_rows(spark):
     assert sorted(sum(v.values()) for k, v in got.items() if k[2] > 0) == [30, 30]
 
 
-@pytest.mark.parametrize("wide_from, noise", [(20_000, 0.06), (100, 0.02)])
-def test_contract(spark, wide_from, noise):
+@pytest.mark.parametrize("noise", [0.06, 0.02])
+def test_contract(spark, noise):
     rng = np.random.default_rng(1)
     centres = unit(rng.standard_normal((6, DIM)))
     picks = rng.integers(0, 6, 600)
     vectors = unit(centres[picks] + noise * rng.standard_normal((600, DIM)))
     rows = [("p", "pos", f"p-pos-c{c}-{i}", v.tolist()) for i, (c, v) in enumerate(zip(picks, vectors))]
-    got = found(topics.cluster_reviews(frame(spark, rows), topics.ClusterSettings(wide_from=wide_from)))
+    got = found(topics.cluster_reviews(frame(spark, rows)))
     assert sum(sum(v.values()) for v in got.values()) == 600
     sizes = [sum(got[k].values()) for k in sorted(got) if k[2] >= 0]
     assert min(sizes) >= 10 and sizes == sorted(sizes, reverse=True)
@@ -84,6 +85,36 @@ def test_contract(spark, wide_from, noise):
     assert sum(sizes) >= 570
 
 
+@pytest.mark.parametrize("clusters, size, strangers", [
+    (6, 100, 0), (6, 100, 6_000), (6, 100, 19_500), (6, 100, 50_000), (100, 40, 0), (200, 50, 0)])
+def test_clusters_are_kept_at_any_group_size(spark, clusters, size, strangers):
+    rng = np.random.default_rng(3)
+    centres = unit(rng.standard_normal((clusters, DIM)))
+    picks = np.repeat(np.arange(clusters), size)
+    vectors = np.concatenate([
+        unit(centres[picks] + 0.05 * rng.standard_normal((len(picks), DIM))),
+        unit(rng.standard_normal((strangers, DIM)))])
+    names = [f"p-pos-c{c}-{i}" for i, c in enumerate(picks)] + [f"p-pos-far-{i}" for i in range(strangers)]
+    frame_ = spark.createDataFrame(
+        pd.DataFrame({"review_key": names, "embedding": vectors.tolist()}), "review_key string, embedding array<float>",
+    ).selectExpr("'p' AS product_id", "'pos' AS polarity", "*")
+    got = found(topics.cluster_reviews(frame_))
+    right = Counter()
+    for (_, _, topic), kinds in got.items():
+        kind, n = max(((k, n) for k, n in kinds.items() if k != "far"), key=lambda x: x[1], default=("far", 0))
+        if topic >= 0 and kind != "far":
+            right[kind] = max(right[kind], n)
+    assert sum(right.values()) >= 0.95 * clusters * size
+
+
+def test_bad_vectors_are_outliers(spark):
+    rows = planted("p", [40, 30], 0)
+    bad = [None, [0.0] * DIM, [float("nan")] * DIM, [1.0, 2.0, 3.0], [float("inf")] + [0.0] * (DIM - 1)]
+    rows += [("p", "pos", f"p-pos-bad-{i}", v) for i, v in enumerate(bad)]
+    got = found(topics.cluster_reviews(frame(spark, rows)))
+    assert got == {("p", "pos", 0): Counter(c0=40), ("p", "pos", 1): Counter(c1=30), ("p", "pos", -1): Counter(bad=5)}
+
+
 def test_keywords_by_brute_force(spark):
     texts = [
         ("g", 0, "сумка рвётся сумка"), ("g", 0, "сумка хорошая"), ("g", 1, "доставка долгая"),
