@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewmill.llm.common import prefix_sums, slices, substring_hashes, utf8
 from reviewmill.session import staged
@@ -378,7 +379,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
     joined = rows.join(spans, ["k0", "k1"], "left").select(
         *[F.col(c) for c in keep if c != "text"], "text", "spans")
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep if c != "text")
+    numbers = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    kind = T.StructField("kept", T.StringType() if as_text else T.BinaryType())
+    schema = T.StructType([*(rows.schema[c] for c in keep if c != "text"), *numbers, kind])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,15 +403,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
                  pa.array(number), pa.array(kept, pa.string() if as_text else pa.binary())],
                 [*(c for c in keep if c != "text"), "n_bytes", "n_removed", "n_spans", "kept"])
 
-    kind = "string" if as_text else "binary"
-    return joined.mapInArrow(run, f"{kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {kind}")
+    return joined.mapInArrow(run, schema)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` without the repeated bytes (null texts become empty), with n_chars to match."""
-    kept = without_repeats(docs, length, keep=tuple(docs.columns), as_text=True)
-    columns = [F.col(c) for c in docs.columns if c not in ("text", "n_chars")]
-    made = kept.select(*columns, F.col("kept").alias("text"))
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("__row"))
+    kept = without_repeats(packed, length, keep=("doc_id", "__row"), as_text=True)
+    made = kept.select("__row.*", F.col("kept").alias("__kept")).withColumnRenamed("__kept", "text")
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return made.select(*docs.columns)
