@@ -94,13 +94,18 @@ def keyword_tokens(text: Column) -> Column:
 
 
 def ngrams(text: Column) -> Column:
-    """Keyword tokens followed by the pairs of neighbouring tokens."""
-    tokens = keyword_tokens(text)
-    pairs = F.transform(
+    """Keyword tokens followed by the pairs of neighbouring tokens.
+
+    The tokens are bound as a lambda's argument, so the text is matched once.
+    """
+    return F.transform(F.array(keyword_tokens(text)), lambda tokens: F.concat(tokens, _pairs(tokens)))[0]
+
+
+def _pairs(tokens: Column) -> Column:
+    return F.transform(
         F.arrays_zip(
             F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("a"),
             F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("b"),
         ),
         lambda p: F.concat_ws(" ", p["a"], p["b"]),
     )
-    return F.concat(tokens, pairs)

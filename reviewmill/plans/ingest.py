@@ -51,8 +51,13 @@ def with_features(rows: DataFrame) -> DataFrame:
 
 def keyed(raw: DataFrame) -> DataFrame:
     """Usable feedback with features and the review key."""
-    rows = normalise_ids(drop_blank(cleaned(raw))).where(F.col("nmId").isNotNull())
-    return with_features(rows).withColumn("review_key", tx.review_key(F.col("nmId"), F.col("text")))
+    return with_keys(normalise_ids(drop_blank(cleaned(raw))))
+
+
+def with_keys(usable_rows: DataFrame) -> DataFrame:
+    """Features and keys of usable rows that name a product."""
+    rows = with_features(usable_rows.where(F.col("nmId").isNotNull()))
+    return rows.withColumn("review_key", tx.review_key(F.col("nmId"), F.col("text")))
 
 
 def product_keys(rows: DataFrame, marketplace: str = MARKETPLACE) -> DataFrame:
@@ -93,13 +98,18 @@ def last_batch_wins(rows: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
     Batches are runs of `batch_size` kept rows in `seq` order. Only keys and
     sequence numbers are ranked; whole rows are then kept by a semi-join. The
     winner is a plain aggregate, so a review copied a billion times is reduced
-    before the shuffle.
+    before the shuffle. A null `seq` is an error. Rows that repeat both key and
+    `seq` count as one: the least of them is kept.
     """
-    at = dense_positions(rows.select("review_key", "seq"), "seq")
+    missing = F.raise_error(F.lit("feedback row without seq")).cast("long")
+    at = dense_positions(rows.select("review_key", F.coalesce("seq", missing).alias("seq")), "seq")
     batch = F.floor(F.col("position") / batch_size)
     precedence = batch * batch_size + (batch_size - 1 - F.col("position") % batch_size)
     winners = at.groupBy("review_key").agg(F.max_by("seq", precedence).alias("seq"))
-    return rows.join(winners, ["review_key", "seq"], "left_semi")
+    kept = rows.join(winners, ["review_key", "seq"], "left_semi")
+    others = [c for c in rows.columns if c != "review_key"]
+    least = kept.groupBy("review_key").agg(F.min(F.struct(*others)).alias("row"))
+    return least.select("review_key", "row.*").select(*rows.columns)
 
 
 def review_rows(rows: DataFrame, marketplace: str = MARKETPLACE) -> DataFrame:
@@ -134,6 +144,23 @@ def ingest(raw: DataFrame, products: DataFrame, reviews: DataFrame,
     return next_products, upsert_reviews(rows, reviews, marketplace, batch_size)
 
 
+def usable(raw: DataFrame) -> DataFrame:
+    """Cleaned rows, staged, as reviews, rejects and counts are all taken from them."""
+    return staged(normalise_ids(drop_blank(cleaned(raw))))
+
+
+def load_counts(rows_read: int, rows: DataFrame) -> DataFrame:
+    """One row of counters of a load, from its `usable` rows."""
+    kept = F.col("nmId").isNotNull()
+    keys = rows.where(kept).select("nmId", tx.review_key(F.col("nmId"), F.col("text")).alias("review_key"))
+    distinct = keys.distinct()
+    totals = rows.agg(
+        F.count_if(kept).alias("rows_kept"), F.count_if(~kept).alias("rows_rejected"))
+    reviews = distinct.agg(F.count("*").alias("reviews"))
+    products = distinct.select("nmId").distinct().agg(F.count("*").alias("products"))
+    return totals.join(reviews).join(products).select(F.lit(rows_read).cast("long").alias("rows_read"), "*")
+
+
 def counts(raw: DataFrame) -> DataFrame:
     """Rows read, usable and rejected, and products and reviews among them, in one pass."""
     rows = _with_clean_text(normalise_ids(tx.strip_nul(raw)))

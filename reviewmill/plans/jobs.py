@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reviewmill.operators.merge import reassign, replace_groups
 from reviewmill.plans import alerts, incremental, ingest, rating, scoring, topics
-from reviewmill.schema import ALERTS, BATCH_SIZE, MARKETPLACE, PRODUCTS, REVIEW_ML, REVIEWS, TOPICS
+from reviewmill.schema import (
+    ALERTS, BATCH_SIZE, LOADS, MARKETPLACE, PRODUCTS, REJECTS, REVIEW_ML, REVIEWS, TOPICS,
+)
+from reviewmill.session import staged
 from reviewmill.sources.snapshots import SnapshotTable
 
 
 class ReviewStore:
-    """The five tables under one folder that every executor can reach."""
+    """The tables under one folder that every executor can reach."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -20,15 +23,21 @@ class ReviewStore:
         self.review_ml = SnapshotTable(spark, f"{root}/review_ml", REVIEW_ML)
         self.topics = SnapshotTable(spark, f"{root}/topics", TOPICS)
         self.alerts = SnapshotTable(spark, f"{root}/alerts", ALERTS)
+        self.rejects = SnapshotTable(spark, f"{root}/rejects", REJECTS)
+        self.loads = SnapshotTable(spark, f"{root}/loads", LOADS)
 
 
 def ingest_job(store: ReviewStore, raw: DataFrame, marketplace: str = MARKETPLACE,
                batch_size: int = BATCH_SIZE) -> None:
-    products, reviews = ingest.ingest(
-        raw, store.products.read(), store.reviews.read(), marketplace, batch_size
-    )
-    store.products.write(products)
-    store.reviews.write(reviews)
+    """Add the load's products and reviews; rows without a product and the counters are kept too."""
+    usable = ingest.usable(raw)
+    rows = ingest.with_keys(usable)
+    products, reviews = store.products.read(), store.reviews.read()
+    store.products.write(products.unionByName(ingest.new_products(rows, products, marketplace)))
+    store.reviews.write(ingest.upsert_reviews(rows, reviews, marketplace, batch_size))
+    store.rejects.write(store.rejects.read().unionByName(
+        usable.where("nmId IS NULL").select(*REJECTS.fieldNames())))
+    store.loads.write(store.loads.read().unionByName(ingest.load_counts(raw.count(), usable)))
 
 
 def sentiment_job(store: ReviewStore, scorer: scoring.Scorer) -> None:
@@ -55,14 +64,16 @@ def cluster_job(store: ReviewStore, settings: topics.ClusterSettings = topics.Cl
     store.topics.write(replace_groups(old, new, topics.GROUP))
 
 
-def rating_job(store: ReviewStore, model_path: str | None = None, **settings) -> None:
+def rating_job(store: ReviewStore, model_path: str | None = None, **settings) -> DataFrame | None:
+    """Predict every review that can be; returns the statistics of this run's predictions."""
     review_ml = store.review_ml.read()
     rows = incremental.rating_input(store.reviews.read(), review_ml)
     if rows.isEmpty():
-        return
+        return None
     path = model_path or f"{store.root}/rating_model"
-    predictions = rating.predicted_ratings(store.spark, rows, path, **settings)
+    predictions = staged(rating.predicted_ratings(store.spark, rows, path, **settings))
     store.review_ml.write(incremental.upsert_predicted(review_ml, predictions))
+    return rating.prediction_stats(predictions)
 
 
 def alerts_job(store: ReviewStore, thresholds: alerts.Thresholds = alerts.Thresholds()) -> None:

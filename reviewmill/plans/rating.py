@@ -29,8 +29,9 @@ PRIOR_ROWS = 10.0
 
 
 def prepared(rows: DataFrame) -> DataFrame:
-    """Numeric features as doubles, unreadable or null ones 0; null categories "unknown"."""
-    numbers = {c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in NUMERIC}
+    """Numeric features as doubles, unreadable, null or NaN ones 0; null categories "unknown"."""
+    zero = F.lit(0.0)
+    numbers = {c: F.nanvl(F.coalesce(F.col(c).try_cast("double"), zero), zero) for c in NUMERIC}
     names = {c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in CATEGORICAL}
     return rows.withColumns({**numbers, **names})
 

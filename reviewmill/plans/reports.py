@@ -129,13 +129,19 @@ def rating_sentiment_pivot(matrix: DataFrame, stars: list[int] = STARS) -> DataF
 def negative_reviews(reviews, review_ml, n: int = 15, ascending: bool = True,
                      product_id=None) -> DataFrame:
     """Negative reviews of each product, least confident first as the original table sorts."""
-    rows = _of_product(reviews, product_id).select("review_key", "product_id", "rating", "text").join(
+    of_product = _of_product(reviews, product_id)
+    rows = of_product.select("review_key", "product_id", "rating").join(
         review_ml.where(F.col("sentiment_label") == "negative").select("review_key", "sentiment_score"),
         "review_key",
     )
     score = F.col("sentiment_score")
     order = score.asc_nulls_last() if ascending else score.desc_nulls_last()
-    return _first_per(rows, ["product_id"], [order, F.col("review_key")], n)
+    return _with_text(_first_per(rows, ["product_id"], [order, F.col("review_key")], n), of_product)
+
+
+def _with_text(winners: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Texts of the rows that were kept; no text is joined or sorted before."""
+    return winners.join(reviews.select("review_key", "text"), "review_key")
 
 
 def sample_reviews(reviews, review_ml, n: int = 500, seed: int = 42, product_id=None) -> DataFrame:
@@ -177,11 +183,11 @@ def topic_reviews(reviews, review_ml, n: int = 20, topic_id=None) -> DataFrame:
     model = review_ml.where(F.col("topic_id").isNotNull())
     if topic_id is not None:
         model = model.where(F.col("topic_id") == topic_id)
-    rows = reviews.select("review_key", "text", "rating").join(
+    rows = reviews.select("review_key", "rating").join(
         model.select("review_key", "topic_id", "sentiment_label", "sentiment_score"), "review_key"
     )
     order = [F.col("sentiment_score").desc_nulls_first(), F.col("review_key")]
-    return _first_per(rows, ["topic_id"], order, n)
+    return _with_text(_first_per(rows, ["topic_id"], order, n), reviews)
 
 
 def topic_labels(topics: DataFrame, width: int = 50) -> DataFrame:

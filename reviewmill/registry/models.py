@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reviewmill.functions import text as tx
 from reviewmill.functions import vectors as vx
 from reviewmill.plans import incremental, jobs, rating, scoring, topics
-from reviewmill.registry.base import oracle, query
+from reviewmill.registry.base import KEYED, oracle, query, sql_clean
 from reviewmill.registry.texts import _RUNS, _TERMS, _TOKENS
 from reviewmill.session import shared_folder, staged
 from reviewmill.sources import driver_tables as t
@@ -90,7 +90,7 @@ def _sentiment_model(spark, d, rows):
         .otherwise("neutral").alias("sentiment_label")
     )
     weak = t.table(spark, d, "labels").select(F.col("doc_id").alias("review_key"), label)
-    return scoring.train_sentiment(rows.join(weak, "review_key"), max_iter=10)
+    return scoring.train_sentiment(rows.join(weak, "review_key"))
 
 
 def _no_outputs(rows):
@@ -101,30 +101,97 @@ def _no_outputs(rows):
     )
 
 
-@query("sentiment_score")
+_PENDING = f"""
+    SELECT doc_id AS review_key, text_clean FROM (
+        SELECT doc_id, {sql_clean('text')} AS text_clean FROM documents) WHERE text_clean <> ''"""
+
+
+@query("sentiment_score", oracle(p=_PENDING, select="""
+    SELECT review_key, true AS valid, true AS same_for_copies FROM p"""))
 def _(spark, d):
+    """A label of the set and a probability for every pending review; copies of a text agree."""
     rows = _documents(spark, d)
     scorer = scoring.model_sentiment(_sentiment_model(spark, d, rows))
-    return scoring.score_sentiment(rows, _no_outputs(rows), scorer)
+    scored = staged(scoring.score_sentiment(rows, _no_outputs(rows), scorer).join(
+        rows.select("review_key", "text_clean"), "review_key"))
+    valid = F.col("sentiment_label").isin("positive", "neutral", "negative") & F.col("sentiment_score").between(0, 1)
+    per_text = scored.groupBy("text_clean").agg(
+        (F.count_distinct("sentiment_label", "sentiment_score") == 1).alias("same_for_copies"))
+    return scored.join(per_text, "text_clean").select("review_key", valid.alias("valid"), "same_for_copies")
 
 
-@query("embed_text")
+@query("embed_text", oracle(p=_PENDING, select="""
+    SELECT review_key, 384 AS dim, 1.0::DOUBLE AS norm FROM p"""))
 def _(spark, d):
+    """A unit vector for every pending review."""
     rows = _documents(spark, d)
     scorer = scoring.model_embedding(scoring.train_embedding(rows))
-    return scoring.embed(rows, _no_outputs(rows), scorer)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return scoring.embed(rows, _no_outputs(rows), scorer).select(
+        "review_key", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"))
+
+
+_LABELS = ["positive", "neutral", "negative"]
+
+
+def _length_logits():
+    """A caller's classifier: the length of the text decides."""
+    import numpy as np
+
+    def predict(texts):
+        out = np.zeros((len(texts), 3), np.float32)
+        out[np.arange(len(texts)), [len(str(t)) % 3 for t in texts]] = 4
+        return out
+    return predict
+
+
+def _length_vector():
+    """A caller's encoder: the length of the text and one."""
+    import numpy as np
+
+    return lambda texts: np.array([[len(str(t)), 1.0] for t in texts], np.float32).reshape(-1, 2)
+
+
+@query("sentiment_by_caller", oracle(p=_PENDING, select="""
+    SELECT review_key, ['positive', 'neutral', 'negative'][length(text_clean) % 3 + 1] AS sentiment_label,
+           round(exp(4.0::DOUBLE) / (exp(4.0::DOUBLE) + 2), 5) AS sentiment_score FROM p"""))
+def _(spark, d):
+    rows = _documents(spark, d)
+    scored = scoring.score_sentiment(rows, _no_outputs(rows), scoring.batch_sentiment(_length_logits, _LABELS))
+    return scored.select("review_key", "sentiment_label", F.round("sentiment_score", 5).alias("sentiment_score"))
+
+
+@query("embedding_by_caller", oracle(p=_PENDING, select="""
+    SELECT review_key, round(n / sqrt(n * n + 1), 4) AS x, round(1 / sqrt(n * n + 1), 4) AS y
+    FROM (SELECT review_key, length(text_clean)::DOUBLE AS n FROM p)"""))
+def _(spark, d):
+    rows = _documents(spark, d)
+    vectors = scoring.embed(rows, _no_outputs(rows), scoring.batch_embedding(_length_vector))
+    return vectors.select("review_key", *[
+        F.round(F.col("embedding")[i].cast("double"), 4).alias(name) for i, name in enumerate("xy")])
 
 
 # Topics
 
-@query("topic_cluster")
+@query("topic_cluster", """
+    WITH sized AS (
+        SELECT CAST(doc_id % 2 AS VARCHAR) AS half, lang, count(*) AS n FROM documents GROUP BY ALL),
+    large AS (SELECT half FROM sized GROUP BY half HAVING sum(n) >= 50),
+    numbered AS (
+        SELECT half, lang, row_number() OVER (PARTITION BY half ORDER BY n DESC) - 1 AS topic_no
+        FROM sized WHERE n >= 10)
+    SELECT 'all' AS product_id, CASE half WHEN '0' THEN 'pos' ELSE 'neg' END AS polarity,
+           doc_id AS review_key, CAST(coalesce(topic_no, -1) AS INTEGER) AS topic_no
+    FROM documents JOIN large ON half = CAST(doc_id % 2 AS VARCHAR) LEFT JOIN numbered USING (half, lang)""")
 def _(spark, d):
-    rows = _vectors(spark, d).select(
-        F.lit("all").alias("product_id"),
-        F.when(F.col("label") < 5, "pos").otherwise("neg").alias("polarity"),
-        F.col("vec_id").alias("review_key"), "embedding",
+    """Document vectors that gather around one axis per language, so the topics are the languages."""
+    lean = F.least(F.col("n_chars") / 20_000, F.lit(1.0)) * 0.2
+    axes = [(F.col("lang") == lang).cast("float") for lang in ("en", "fr", "de", "es")]
+    rows = t.table(spark, d, "documents").select(
+        F.lit("all").alias("product_id"), F.when(F.col("doc_id") % 2 == 0, "pos").otherwise("neg").alias("polarity"),
+        F.col("doc_id").alias("review_key"), F.array(*axes, lean.cast("float")).alias("embedding"),
     )
-    return topics.cluster_reviews(rows, topics.ClusterSettings(eps=0.5))
+    return topics.cluster_reviews(rows).withColumn("topic_no", F.col("topic_no").cast("int"))
 
 
 @query("topic_sizes", oracle("topics", select="""
@@ -237,47 +304,69 @@ def _(spark, d):
     return stats.withColumn("std", F.round("std", 9))
 
 
-@query("rating_train")
+def _in_range():
+    return F.col("predicted_rating").between(1, 5).alias("in_range")
+
+
+@query("rating_train", oracle("reviews", "review_ml", i=_RATING_INPUT, select="""
+    SELECT count(*) AS rows, true AS has_rounds, true AS beats_no_model, true AS importances_sum_to_one FROM i"""))
 def _(spark, d):
-    model, scores = rating.train(_rating_input(spark, d), rounds=ROUNDS)
-    importances = model.trees.featureImportances.toArray().tolist()
-    names = rating.NUMERIC + [f"{c}_code" for c in rating.CATEGORICAL]
-    rows = [*scores.items(), *[(f"importance_{n}", v) for n, v in zip(names, importances)]]
-    return spark.createDataFrame([(k, float(v)) for k, v in rows], "name string, value double")
+    rows = _rating_input(spark, d)
+    model, scores = rating.train(rows, rounds=ROUNDS)
+    total = float(model.trees.featureImportances.toArray().sum())
+    spread = F.stddev_pop(F.col("rating").cast("double"))
+    return rows.agg(
+        F.count("*").alias("rows"), F.lit(1 <= scores["best_iteration"] <= ROUNDS).alias("has_rounds"),
+        (F.lit(float(scores["val_rmse"])) <= spread * 1.02).alias("beats_no_model"),
+        F.lit(abs(total - 1) < 1e-9).alias("importances_sum_to_one"))
 
 
-@query("rating_predict")
+@query("rating_predict", oracle("reviews", "review_ml", i=_RATING_INPUT, select="""
+    SELECT review_key, true AS in_range FROM i"""))
 def _(spark, d):
     rows = _rating_input(spark, d)
-    return rating.train(rows, rounds=ROUNDS)[0].predict(rows)
+    return rating.train(rows, rounds=ROUNDS)[0].predict(rows).select("review_key", _in_range())
 
 
-@query("rating_model_io")
+@query("rating_model_io", oracle("reviews", "review_ml", i=_RATING_INPUT, select="""
+    SELECT review_key, true AS in_range, true AS same_as_before FROM i"""))
 def _(spark, d):
+    """Predictions of the stored model, loaded again, equal those of the model in memory."""
     rows, path = _rating_input(spark, d), shared_folder(spark)
-    rating.predicted_ratings(spark, rows, path, rounds=ROUNDS)
-    return rating.RatingModel.load(spark, path).predict(rows)
+    model = rating.train(rows, rounds=ROUNDS)[0]
+    model.save(path)
+    before = model.predict(rows).withColumnRenamed("predicted_rating", "before")
+    loaded = rating.RatingModel.load(spark, path).predict(rows)
+    return loaded.join(before, "review_key").select(
+        "review_key", _in_range(), (F.col("before") == F.col("predicted_rating")).alias("same_as_before"))
 
 
-@query("rating_job")
+@query("rating_job", oracle("reviews", "review_ml", i=_RATING_INPUT, select="""
+    SELECT count(*) AS n, true AS mean_in_range, true AS std_in_range FROM i"""))
 def _(spark, d):
-    """Train, predict, upsert, and the statistics the job reports."""
-    review_ml = t.review_ml(spark, d)
-    predictions = rating.predicted_ratings(
-        spark, _rating_input(spark, d), shared_folder(spark), rounds=ROUNDS
-    )
-    return rating.prediction_stats(incremental.upsert_predicted(review_ml, predictions))
+    """The statistics the job reports are those of the rows that it has scored."""
+    store = jobs.ReviewStore(spark, shared_folder(spark))
+    reviews = t.reviews(spark, d).withColumn("product_id", F.col("product_id").cast("string"))
+    store.reviews.write(reviews)
+    store.review_ml.write(t.review_ml(spark, d))
+    return jobs.rating_job(store, rounds=ROUNDS).select(
+        "n", F.col("mean").between(1, 5).alias("mean_in_range"), F.col("std").between(0, 2).alias("std_in_range"))
 
 
-@query("enrich_reviews")
+@query("enrich_reviews", oracle("feedback", k=KEYED, select="""
+    SELECT DISTINCT review_key, true AS has_sentiment, true AS has_embedding, true AS has_prediction,
+           true AS topic_is_known FROM k"""))
 def _(spark, d):
-    """Both stages over the documents, each step on the state the last one wrote."""
+    """Both stages over the documents: every review has all outputs, and its topic is in the topics table."""
     store = jobs.ReviewStore(spark, shared_folder(spark))
     jobs.ingest_job(store, t.feedback(spark, d))
     sentiment = scoring.model_sentiment(_sentiment_model(spark, d, _documents(spark, d)))
     embedding = scoring.model_embedding(scoring.train_embedding(store.reviews.read()))
     jobs.enrich(store, sentiment, embedding, topics.ClusterSettings(eps=0.5), rounds=ROUNDS)
-    review_ml, found = store.review_ml.read(), store.topics.read()
-    return review_ml.join(found.select("topic_id", "keywords"), "topic_id", "left").select(
-        "review_key", "sentiment_label", "sentiment_score", "topic_id", "keywords", "predicted_rating"
+    found = store.topics.read().select("topic_id", F.lit(True).alias("known"))
+    return store.review_ml.read().join(found, "topic_id", "left").select(
+        "review_key", F.col("sentiment_label").isNotNull().alias("has_sentiment"),
+        F.col("embedding").isNotNull().alias("has_embedding"),
+        F.col("predicted_rating").isNotNull().alias("has_prediction"),
+        (F.col("topic_id").isNull() | F.col("known").isNotNull()).alias("topic_is_known"),
     )

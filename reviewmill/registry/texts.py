@@ -152,11 +152,11 @@ def _(spark, d):
 
 @query("products_new", oracle("feedback", "products", k=KEYED, select="""
     SELECT DISTINCT 'market' AS marketplace, CAST(nmId AS VARCHAR) AS external_id FROM k
-    WHERE CAST(nmId AS VARCHAR) NOT IN (SELECT CAST(s_suppkey + 101 AS VARCHAR) FROM supplier)"""))
+    WHERE CAST(nmId AS VARCHAR) NOT IN (SELECT CAST(s_suppkey + 102 AS VARCHAR) FROM supplier)"""))
 def _(spark, d):
     known = t.table(spark, d, "supplier").select(
         F.lit("market").alias("marketplace"),
-        (F.col("s_suppkey") + 101).cast("string").alias("external_id"),
+        (F.col("s_suppkey") + 102).cast("string").alias("external_id"),
     )
     return ingest.new_products(_keyed(spark, d), known)
 

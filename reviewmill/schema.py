@@ -24,6 +24,13 @@ FEEDBACK = T.StructType([
     T.StructField("answer", T.StringType()),
 ])
 
+REJECTS = T.StructType([*FEEDBACK.fields, T.StructField("text_clean", T.StringType())])
+
+LOADS = T.StructType([
+    T.StructField(name, T.LongType())
+    for name in ("rows_read", "rows_kept", "rows_rejected", "reviews", "products")
+])
+
 PRODUCTS = T.StructType([
     T.StructField("marketplace", T.StringType()),
     T.StructField("external_id", T.StringType()),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +27,8 @@ def build_session(app: str = "reviewmill", master: str | None = None, **conf: st
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the session names in `spark.checkpoint.dir`.
 
-    A temporary folder is only ever used by a local master, where driver and
-    executors are one machine; a cluster without the setting is an error.
+    A local master without the setting, as in tests, uses a folder in the
+    warehouse; a cluster without it is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir():
@@ -38,7 +37,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         context.setCheckpointDir(shared)
     elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="reviewmill-ckpt-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 

@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.functions.vectors import polarity
-from reviewmill.sources.feedback import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
-    """A table whose texts take long to process."""
-    return spread(table(spark, sf_dir, name), *keys)
+def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str, partitions: int = 0) -> DataFrame:
+    """A table whose texts take long to process, dealt to `partitions`, or to all cores.
+
+    The test tables may be a single row group, hence one task for all texts.
+    """
+    return table(spark, sf_dir, name).repartition(partitions or spark.sparkContext.defaultParallelism, *keys)
 
 
 def _line_key():

@@ -4,14 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewmill.operators.ranks import nth_smallest
 from reviewmill.schema import FEEDBACK, MAX_ROWS
 
+FILE_ROWS = 1 << 36  # more rows than a file can hold
+
 
 def read_feedback(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """Feedback rows with the declared schema: parquet, orc, json or csv; nothing is inferred."""
-    return spark.read.schema(FEEDBACK).options(**options).format(fmt).load(path)
+    """Feedback rows with the declared schema: parquet, orc, json or csv; nothing is inferred.
+
+    Parquet files without a `seq` column get one from the position of each row: the number
+    of its file in name order and its row in the file. Other formats must bring `seq`.
+    """
+    reader = spark.read.options(**options).format(fmt)
+    if fmt == "parquet" and "seq" not in reader.load(path).columns:
+        return with_positions(reader.schema(T.StructType(FEEDBACK.fields[1:])).load(path))
+    return reader.schema(FEEDBACK).load(path)
+
+
+def with_positions(files: DataFrame) -> DataFrame:
+    """Feedback with `seq` from the file and row that each record was read from."""
+    spark = files.sparkSession
+    names = spark.createDataFrame(list(enumerate(sorted(files.inputFiles()))), "file_no long, file_path string")
+    plain = lambda path: F.regexp_replace(path, "^([^:/]+):/+", "$1:/")  # noqa: E731  either form of a local path
+    at = files.select(
+        "*", plain(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.row_index").alias("row_index"))
+    seq = F.col("file_no") * F.lit(FILE_ROWS) + F.col("row_index")
+    return at.join(names.withColumn("file_path", plain(F.col("file_path"))), "file_path").select(seq.alias("seq"), *FEEDBACK.fieldNames()[1:])
 
 
 def scan_limit(df: DataFrame, max_rows: int = MAX_ROWS, seq: str | None = None,
@@ -27,16 +48,3 @@ def scan_limit(df: DataFrame, max_rows: int = MAX_ROWS, seq: str | None = None,
     last = nth_smallest(df, seq, max_rows, width)
     return df if last is None else df.where(F.col(seq) <= last)
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal a small input out to all cores.
-
-    An input under one full split per core is often a single row group, thus one
-    task for all its text. Shuffling it is bounded by cores times split size;
-    anything larger already has enough splits and is left as it is.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * split else df

@@ -57,7 +57,7 @@ if __name__ == "__main__":
 
     spark = build_session(master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
-        "spark.log.level": "ERROR",
+        "spark.log.level": "ERROR", "spark.ui.showConsoleProgress": "false",
     })
     folder = f"/root/testdata/sf{sys.argv[1]}"
     connection = oracle_connection(folder)

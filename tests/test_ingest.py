@@ -101,3 +101,45 @@ def test_counts(spark):
         "rows_read": 6, "rows_kept": 3, "rows_rejected": 1, "reviews": 2, "products": 2,
     }
     assert ingest.counts(raw.where("false")).first().rows_read == 0
+
+
+def test_position_stands_in_for_an_absent_seq(spark, tmp_path):
+    from reviewmill.sources.feedback import read_feedback
+
+    path = str(tmp_path / "raw")
+    rows = [(i % 3, f"good text number {i}", i % 5 + 1, None, None) for i in range(30)]
+    plain = spark.createDataFrame(rows, "nmId long, text string, productValuation int, color string, answer string")
+    plain.coalesce(1).write.parquet(path)
+    plain.coalesce(1).write.mode("append").parquet(path)
+    raw = read_feedback(spark, path)
+    assert raw.columns == FEEDBACK.fieldNames()
+    assert raw.select("seq").distinct().count() == 60
+    products, reviews = ingest.ingest(raw, empty(spark, PRODUCTS), empty(spark, REVIEWS))
+    assert (products.count(), reviews.count()) == (3, 30)
+
+
+def test_null_seq_is_an_error(spark):
+    raw = spark.createDataFrame([(None, 1, "a b c", 5, None, None)], FEEDBACK)
+    with pytest.raises(Exception, match="feedback row without seq"):
+        ingest.last_batch_wins(ingest.keyed(raw)).collect()
+
+
+def test_repeated_and_sparse_seq_give_one_row_per_key(spark):
+    repeated = spark.createDataFrame([(0, 1, "a b c", i % 5, None, None) for i in range(10)], FEEDBACK)
+    assert [r.productValuation for r in ingest.last_batch_wins(ingest.keyed(repeated)).collect()] == [0]
+    sparse = spark.createDataFrame(
+        [(10**15 * i, 1, f"text number {i % 4}", i % 5, None, None) for i in range(12)], FEEDBACK)
+    got = ingest.last_batch_wins(ingest.keyed(sparse), batch_size=4).collect()
+    assert sorted((r.text, r.seq // 10**15) for r in got) == [(f"text number {i}", 8 + i) for i in range(4)]
+
+
+def test_job_keeps_rejects_and_counters(spark, tmp_path):
+    from reviewmill.plans import jobs
+
+    store = jobs.ReviewStore(spark, str(tmp_path / "store"))
+    raw = feedback(spark, [
+        (None, "a b c", 5, None, None), (1, "d e f", 5, None, None), (1, "d e f", 4, None, None), (2, "x", 1, None, None)])
+    jobs.ingest_job(store, raw)
+    assert [r.text for r in store.rejects.read().collect()] == ["a b c"]
+    assert [tuple(r) for r in store.loads.read().collect()] == [(4, 2, 1, 1, 1)]
+    assert store.reviews.read().count() == 1
