@@ -29,16 +29,17 @@ def distinct_texts(pending: DataFrame) -> DataFrame:
 def score_once(pending: DataFrame, scorer: Scorer, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Score every distinct text once and give each review its text's result.
 
-    The scored side is about as long as the reviews, and one text may be on a
-    third of them: only texts with that many copies are repeated for the join.
-    They are found from the counts, so the scorer runs in one branch only.
+    Texts are shuffled once, to find the distinct ones; from there a 128-bit digest
+    stands for them. The scored side is about as long as the reviews, and one text
+    may be on a third of them: only texts with that many copies are repeated for the
+    join. They are found from the counts, so the scorer runs in one branch only.
     """
-    texts = distinct_texts(pending).withColumn("text_hash", F.xxhash64("text_clean"))
-    hot = hot_keys(texts, ["text_hash"], "copies", hot_rows)
-    rows = pending.withColumn("text_hash", F.xxhash64("text_clean"))
-    keys = ["text_hash", "text_clean"]
-    joined = hot_key_join(rows, scorer(texts), keys, hot, ["review_key"])
-    return joined.drop(*keys, "copies")
+    digest = F.md5("text_clean")
+    texts = distinct_texts(pending).withColumn("digest", digest)
+    hot = hot_keys(texts, ["digest"], "copies", hot_rows)
+    rows = pending.withColumn("digest", digest).drop("text_clean")
+    joined = hot_key_join(rows, scorer(texts).drop("text_clean", "copies"), ["digest"], hot, ["review_key"])
+    return joined.drop("digest")
 
 
 def _longest_first(texts: DataFrame) -> DataFrame:

@@ -575,3 +575,75 @@ def _(spark, d):
 def _(spark, d):
     orders = t.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return scan_limit(orders, 10_000, "o_orderkey")
+
+
+# Listings of one product or topic, and the nested summary
+
+_CHOSEN = "SELECT product_id FROM reviews GROUP BY product_id ORDER BY count(*) DESC, product_id LIMIT 1"
+
+
+def _chosen_product(reviews):
+    """The product with most reviews."""
+    sizes = reviews.groupBy("product_id").agg(F.count("*").alias("n"))
+    return sizes.orderBy(F.col("n").desc(), "product_id").first()["product_id"]
+
+
+@query("product_sentiment_of_one", oracle("reviews", "review_ml", chosen=_CHOSEN, select="""
+    SELECT product_id, review_key, sentiment_label, sentiment_score, rating, text
+    FROM reviews JOIN review_ml USING (review_key)
+    WHERE sentiment_label IS NOT NULL AND product_id = (FROM chosen)"""))
+def _(spark, d):
+    reviews, review_ml = _both(spark, d)
+    return reports.product_sentiment(reviews, review_ml, product_id=_chosen_product(reviews))
+
+
+@query("negative_reviews_of_one", oracle("reviews", "review_ml", chosen=_CHOSEN, select="""
+    SELECT review_key, product_id, rating, text, sentiment_score
+    FROM reviews JOIN review_ml USING (review_key)
+    WHERE sentiment_label = 'negative' AND product_id = (FROM chosen)
+    ORDER BY sentiment_score, review_key LIMIT 15"""))
+def _(spark, d):
+    reviews, review_ml = _both(spark, d)
+    return reports.negative_reviews(reviews, review_ml, product_id=_chosen_product(reviews))
+
+
+@query("topic_reviews_of_one", oracle("reviews", "review_ml", chosen="""
+    SELECT topic_id FROM review_ml WHERE topic_id IS NOT NULL
+    GROUP BY topic_id ORDER BY count(*) DESC, topic_id LIMIT 1""", select="""
+    SELECT review_key, text, rating, topic_id, sentiment_label, sentiment_score
+    FROM reviews JOIN review_ml USING (review_key) WHERE topic_id = (FROM chosen)
+    ORDER BY sentiment_score DESC, review_key LIMIT 20"""))
+def _(spark, d):
+    reviews, review_ml = _both(spark, d)
+    sizes = review_ml.where(F.col("topic_id").isNotNull()).groupBy("topic_id").agg(F.count("*").alias("n"))
+    chosen = sizes.orderBy(F.col("n").desc(), "topic_id").first()["topic_id"]
+    return reports.topic_reviews(reviews, review_ml, topic_id=chosen)
+
+
+@query("product_topics_of_one", oracle("reviews", "topics", chosen=_CHOSEN, select="""
+    SELECT product_id, topic_id, polarity, keywords, review_count FROM topics
+    WHERE product_id = (FROM chosen)"""))
+def _(spark, d):
+    return reports.product_topics(t.topics(spark, d), product_id=_chosen_product(_both(spark, d)[0]))
+
+
+@query("impact_of_one", oracle("reviews", "review_ml", chosen=_CHOSEN, one="""
+    SELECT product_id, count(*) AS review_count, avg(rating) AS real_avg, avg(predicted_rating) AS pred_avg,
+           avg(rating) - avg(predicted_rating) AS gap
+    FROM reviews JOIN review_ml USING (review_key)
+    WHERE predicted_rating IS NOT NULL AND product_id = (FROM chosen) GROUP BY product_id""", select="""
+    SELECT product_id, review_count, CAST(printf('%.3f', gap) AS DOUBLE) AS rating_gap FROM one"""))
+def _(spark, d):
+    reviews, review_ml = _both(spark, d)
+    rows = impact.for_products(reviews, review_ml, [_chosen_product(reviews)])
+    return rows.select("product_id", "review_count", "rating_gap")
+
+
+@query("impact_summary_nested", oracle("effects", select="""
+    SELECT (SELECT count(*) FROM effects) AS total_products, CAST(row_number() OVER (
+           ORDER BY lost_revenue DESC, product_id) - 1 AS INTEGER) AS place, product_id, lost_revenue
+    FROM effects QUALIFY place < 10"""))
+def _(spark, d):
+    nested = impact.summary_with_top(impact.effects(_gaps(spark, d)))
+    return nested.select("total_products", F.posexplode("top_products").alias("place", "effect")).select(
+        "total_products", "place", "effect.product_id", "effect.lost_revenue")
