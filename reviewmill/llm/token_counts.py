@@ -91,7 +91,7 @@ def counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, chunk: int = CHU
         for batch in batches:
             offsets, data = utf8(batch.column("text"))
             made = np.zeros(batch.num_rows, np.int64)
-            for low, high in slices(offsets):
+            for low, high in slices(offsets, 1 << 20):
                 sizes = np.diff(offsets[low:high + 1])
                 long = sizes > chunk
                 for i in low + np.flatnonzero(long):

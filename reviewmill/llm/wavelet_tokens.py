@@ -29,7 +29,7 @@ from reviewmill.llm.word_tokens import WordTokens
 from reviewmill.session import shared_folder
 
 END_ID = 1
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 _BLOCK = 512
 SCHEMA = (
     "part int, seq int, n bigint, n_docs bigint, bits int, zeros array<bigint>, "
@@ -181,7 +181,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
             offsets, data = utf8(batch.column("text"))
             keys = batch.column("doc_id").to_pylist()
             part = batch.column("__part")[0].as_py() if batch.num_rows else part
-            for low, high in slices(offsets):
+            for low, high in slices(offsets, 1 << 20):
                 texts = [data[a:b].tobytes() for a, b in zip(offsets[low:high], offsets[low + 1:high + 1])]
                 for key, coded in zip(keys[low:high], words.encode(texts)):
                     ids.append(key)

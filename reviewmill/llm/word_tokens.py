@@ -13,9 +13,12 @@ import os
 import re
 from array import array
 
-CACHED_WORDS = 800_000
+CACHED_WORDS = 400_000
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+").findall
+# Letters of the Latin blocks, whose lower case and NFC form don't depend on their neighbours.
+_LATIN = "\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^ \t-\ra-z0-9{_LATIN}]+").findall
+_HARD = "[^!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]"
 
 
 class WordTokens:
@@ -36,11 +39,12 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as text:
             config = json.load(text)
-        special = "|".join(re.escape(t["content"]) for t in config["added_tokens"]) or "[^\\x00-\\xff]"
-        self.hard = re.compile(b"[\x00-\x08\x0e-\x1f\x7f-\xff]|" + special.encode()).search
+        self.hard = re.compile("|".join([_HARD, *(re.escape(t["content"]) for t in config["added_tokens"])])).search
+        self.letters = self._byte_letters()
         self.by_word = self._drops_space(config)
-        self.plain: dict[str, list[int]] = {}
+        self.plain: dict[str, bytes] = {}
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @staticmethod
     def _drops_space(config: dict) -> bool:
@@ -63,27 +67,38 @@ class WordTokens:
             coded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [array("I", c.ids).tobytes() for c in coded]
         words = [t.split() for t in texts]
-        cache = self.cache
-        self._learn(list({w for row in words for w in row if w not in cache}))
-        out = [b"".join(map(cache.__getitem__, row)) for row in words]
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        return out
+        if len(self.cache) > CACHED_WORDS // 2:  # words in use move on from the older half
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        missing = {w for row in words for w in row if w not in cache}
+        cache.update((w, older[w]) for w in missing if w in older)
+        self._learn([w for w in missing if w not in cache])
+        return [b"".join(map(cache.__getitem__, row)) for row in words]
+
+    @staticmethod
+    def _byte_letters() -> dict[int, str]:
+        """What the byte-level step makes of each Latin letter: one printable letter per byte."""
+        shown = {b: chr(b) for b in (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))}
+        hidden = [b for b in range(256) if b not in shown]
+        shown.update((b, chr(256 + i)) for i, b in enumerate(hidden))
+        return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0xC0, 0x250)}
 
     def _learn(self, words: list[bytes]) -> None:
-        """Ids of new words; ASCII ones are lower-cased, split and given to the model directly."""
-        rest, hard, plain, tokenize = [], self.hard, self.plain, self.tokenizer.model.tokenize
-        for word in words:
+        """Ids of new words; Latin ones are lower-cased, split and given to the model directly."""
+        rest, hard, plain, letters, tokenize = [], self.hard, self.plain, self.letters, self.tokenizer.model.tokenize
+        for raw in words:
+            word = raw.decode()
             if hard(word):
-                rest.append(word)
+                rest.append(raw)
                 continue
-            ids: list[int] = []
-            for piece in _ASCII(word.decode("ascii").lower()):
+            ids = []
+            for piece in _PIECES(word.lower()):
                 known = plain.get(piece)
                 if known is None:
-                    known = plain[piece] = [t.id for t in tokenize(piece)]
-                ids += known
-            self.cache[word] = array("I", ids).tobytes()
+                    shown = piece if piece.isascii() else piece.translate(letters)
+                    known = plain[piece] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+                ids.append(known)
+            self.cache[raw] = b"".join(ids)
         if len(plain) > CACHED_WORDS // 2:
             plain.clear()
         coded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
