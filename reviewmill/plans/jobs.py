@@ -10,7 +10,7 @@ from reviewmill.schema import (
     ALERTS, BATCH_SIZE, LOADS, MARKETPLACE, PRODUCTS, REJECTS, REVIEW_ML, REVIEWS, TOPICS,
 )
 from reviewmill.session import staged
-from reviewmill.sources.snapshots import SnapshotTable
+from reviewmill.sources.snapshots import Manifest, SnapshotTable
 
 
 class ReviewStore:
@@ -18,13 +18,18 @@ class ReviewStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.products = SnapshotTable(spark, f"{root}/products", PRODUCTS)
-        self.reviews = SnapshotTable(spark, f"{root}/reviews", REVIEWS)
-        self.review_ml = SnapshotTable(spark, f"{root}/review_ml", REVIEW_ML)
-        self.topics = SnapshotTable(spark, f"{root}/topics", TOPICS)
-        self.alerts = SnapshotTable(spark, f"{root}/alerts", ALERTS)
-        self.rejects = SnapshotTable(spark, f"{root}/rejects", REJECTS)
-        self.loads = SnapshotTable(spark, f"{root}/loads", LOADS)
+        self.manifest = Manifest(spark, f"{self.root}/manifest")
+        self.products = SnapshotTable(spark, f"{self.root}/products", PRODUCTS, self.manifest)
+        self.reviews = SnapshotTable(spark, f"{self.root}/reviews", REVIEWS, self.manifest)
+        self.review_ml = SnapshotTable(spark, f"{self.root}/review_ml", REVIEW_ML, self.manifest)
+        self.topics = SnapshotTable(spark, f"{self.root}/topics", TOPICS, self.manifest)
+        self.alerts = SnapshotTable(spark, f"{self.root}/alerts", ALERTS, self.manifest)
+        self.rejects = SnapshotTable(spark, f"{self.root}/rejects", REJECTS, self.manifest)
+        self.loads = SnapshotTable(spark, f"{self.root}/loads", LOADS, self.manifest)
+
+    def commit(self, states: dict[SnapshotTable, DataFrame]) -> None:
+        """Store the next states of several tables; they become current together or not at all."""
+        self.manifest.commit({table: table.stage(df) for table, df in states.items()})
 
 
 def ingest_job(store: ReviewStore, raw: DataFrame, marketplace: str = MARKETPLACE,
@@ -60,8 +65,10 @@ def cluster_job(store: ReviewStore, settings: topics.ClusterSettings = topics.Cl
     new = topics.topic_table(assigned, rows.select("review_key", "text_clean")).checkpoint()
     replaced = old.join(new.select(*topics.GROUP).distinct(), topics.GROUP, "left_semi")
     moved = assigned.select("review_key", topics.topic_id().alias("topic_id"))
-    store.review_ml.write(reassign(review_ml, replaced, moved, "review_key", "topic_id"))
-    store.topics.write(replace_groups(old, new, topics.GROUP))
+    store.commit({
+        store.review_ml: reassign(review_ml, replaced, moved, "review_key", "topic_id"),
+        store.topics: replace_groups(old, new, topics.GROUP),
+    })
 
 
 def rating_job(store: ReviewStore, model_path: str | None = None, **settings) -> DataFrame | None:

@@ -3,7 +3,9 @@
 Each write goes to a new folder. Spark puts `_SUCCESS` there after its commit,
 and readers take the newest folder that has it. A job can thus read a table and
 write its next state, and a job that dies half-way leaves the old state current.
-One writer per table at a time.
+Tables that share a manifest are current in the versions it names, so that several
+of them change at once: new folders are written first, the manifest last.
+One writer per table, or per manifest, at a time.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from pyspark.sql import types as T
 
 
 class SnapshotTable:
-    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, manifest: Manifest | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.schema = schema
+        self.manifest = manifest
 
     def versions(self) -> list[int]:
         """Committed versions, oldest first."""
@@ -28,13 +31,20 @@ class SnapshotTable:
 
     def read(self) -> DataFrame:
         """The current state; empty before the first write."""
-        versions = self.versions()
-        if not versions:
+        current = self.manifest.current(self) if self.manifest else (self.versions() or [None])[-1]
+        if current is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._folder(versions[-1]))
+        return self.spark.read.schema(self.schema).parquet(self._folder(current))
 
     def write(self, df: DataFrame, max_records_per_file: int = 0) -> DataFrame:
-        """Store the next state and return it as read back from storage."""
+        """Store the next state, make it current and return it as read back from storage."""
+        version = self.stage(df, max_records_per_file)
+        if self.manifest:
+            self.manifest.commit({self: version})
+        return self.read()
+
+    def stage(self, df: DataFrame, max_records_per_file: int = 0) -> int:
+        """Write the next state to its folder; with a manifest it is not current yet."""
         version = (self.versions() or [-1])[-1] + 1
         columns = [df[f.name].cast(f.dataType).alias(f.name) for f in self.schema.fields]
         (
@@ -43,12 +53,31 @@ class SnapshotTable:
             .option("maxRecordsPerFile", max_records_per_file)
             .parquet(self._folder(version))
         )
-        return self.read()
+        return version
 
     def _folder(self, version: int) -> str:
         return f"{self.root}/version={version}"
 
 
+class Manifest:
+    """The current version of each of some tables, itself a small snapshot table."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._table = SnapshotTable(spark, root, T.StructType([
+            T.StructField("table", T.StringType()), T.StructField("version", T.LongType())]))
+
+    def _versions(self) -> dict[str, int]:
+        return {row["table"]: row["version"] for row in self._table.read().collect()}
+
+    def current(self, table: SnapshotTable) -> int | None:
+        return self._versions().get(table.root)
+
+    def commit(self, versions: dict[SnapshotTable, int]) -> None:
+        """Make the given versions current, all at once."""
+        state = {**self._versions(), **{table.root: version for table, version in versions.items()}}
+        self._table.write(self._table.spark.createDataFrame(sorted(state.items()), self._table.schema))
+
+
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
     """Store a catalog table bucketed and sorted on its key.
 

@@ -248,3 +248,22 @@ def test_plan_shapes(spark):
     assert "TakeOrderedAndProject" in plan(QUERIES["top_products"](spark, SF))
     scan = plan(QUERIES["pending_sentiment"](spark, SF))
     assert "LeftAnti" in scan and "l_shipdate" in scan and "l_comment" not in scan
+
+
+def test_tables_of_a_crashed_commit_stay_as_they_were(spark, tmp_path, monkeypatch):
+    store = jobs.ReviewStore(spark, str(tmp_path / "store"))
+    row = ("k", "negative", 0.5, "old", None, None, None)
+    store.review_ml.write(spark.createDataFrame([row], REVIEW_ML))
+    new = spark.createDataFrame([("k", "negative", 0.5, "new", None, None, None)], REVIEW_ML)
+    topics_ = spark.createDataFrame([], TOPICS)
+
+    def crash(df):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store.topics, "stage", crash)
+    with pytest.raises(RuntimeError):
+        store.commit({store.review_ml: new, store.topics: topics_})
+    assert [r.topic_id for r in store.review_ml.read().collect()] == ["old"]
+    monkeypatch.undo()
+    store.commit({store.review_ml: new, store.topics: topics_})
+    assert [r.topic_id for r in store.review_ml.read().collect()] == ["new"]
