@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewmill.operators.components import connected_components
@@ -161,11 +161,15 @@ def _centres(distinct: DataFrame, per_centre: int) -> dict[int, np.ndarray]:
     return out
 
 
+def _usable(e: Column) -> Column:
+    """Not null, not zero, and without null or non-finite components."""
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.coalesce(finite & F.exists(e, lambda x: x != 0), F.lit(False))
+
+
 def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with a flag `valid`, and the distinct valid vectors as (node, embedding, dim, n, first_id)."""
-    e = F.col("embedding")
-    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    valid = F.coalesce(finite & F.exists(e, lambda x: x != 0), F.lit(False))
+    valid = _usable(F.col("embedding"))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), valid.alias("valid"))
     distinct = rows.where("valid").groupBy("embedding").agg(
         F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
@@ -233,7 +237,7 @@ def links(distinct: DataFrame, cosine: float = COSINE, per_centre: int = PER_CEN
         table = table.combine_chunks()
         query = table.column("near").is_null().to_numpy()
         if query.all() or not query.any():
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "linked": pa.array([], pa.int64())})
+            return pa.table({name: pa.array([], pa.int64()) for name in ("a", "b", "linked")})
         node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
         unit = _matrix(table.column("embedding").combine_chunks())
         order = np.argsort(node[~query])
@@ -294,12 +298,15 @@ def groups(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def audit(vectors: DataFrame, cosine: float = COSINE, sample: int = AUDITED) -> DataFrame:
-    """vec_id and `true_links` of a sample of at most `sample` vectors, compared with every row."""
-    rows, _ = vectors.select("vec_id", "embedding"), None
+    """vec_id and `true_links` of a sample of at most `sample` vectors, compared with every row.
+
+    Ids that occur more than once are not sampled, as their rows may differ.
+    """
     e = F.col("embedding")
-    good = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = rows.where(good).withColumn("embedding", e.cast("array<double>"))
-    asked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    rows = vectors.where(_usable(e)).select("vec_id", e.cast("array<double>").alias("embedding"))
+    once = vectors.groupBy("vec_id").agg(F.count("*").alias("n")).where("n = 1 AND vec_id IS NOT NULL")
+    chosen = once.join(rows.select("vec_id"), "vec_id", "left_semi").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+    asked = rows.join(F.broadcast(chosen.select("vec_id")), "vec_id").collect()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,8 +316,7 @@ def audit(vectors: DataFrame, cosine: float = COSINE, sample: int = AUDITED) ->
                 mine = [r for r in asked if len(r["embedding"]) == dim]
                 if mine:
                     own = _matrix(batch.column("embedding").filter(pa.array(sizes == dim)))
-                    query = np.array([r["embedding"] for r in mine], np.float64)
-                    query /= np.sqrt((query * query).sum(1, keepdims=True))
+                    query = _matrix(pa.array([r["embedding"] for r in mine], pa.list_(pa.float64())))
                     hits += list(zip((r["vec_id"] for r in mine), (query @ own.T >= cosine).sum(1).tolist()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], ["vec_id", "hits"])
