@@ -16,7 +16,7 @@ written and read by Spark, so they may lie in any store that Spark reaches.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -212,6 +212,29 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (array of int) of every document in the files."""
+    def ids_of(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(
+            pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+    return _documents(spark, path, "ids array<int>", ids_of)
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, and ids_crc32 over the ids of every document in the files.
+
+    The ids are summed up where they are unpacked, as little-endian 32-bit integers.
+    """
+    def sums_of(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        data = memoryview(ids.astype("<u4")).cast("B")
+        return pa.array(
+            [zlib.crc32(data[4 * a:4 * b]) for a, b in zip([0, *ends.tolist()], ends.tolist())], pa.int64())
+
+    return _documents(spark, path, "ids_crc32 bigint", sums_of)
+
+
+def _documents(spark: SparkSession, path: str, column: str,
+               made: Callable[[np.ndarray, np.ndarray], pa.Array]) -> DataFrame:
+    """doc_id, start, n_tokens and what `made` gives from the ids of some documents and their ends."""
     shards = spark.read.parquet(path)
     with_start = shards.join(shard_starts(shards), ["part", "seq"])
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
@@ -225,14 +248,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 names = pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type)
                 for low, high in slices(np.append(0, ends), 1 << 18):
                     begin = ends[low] - lengths[low]
-                    offsets = np.append(0, ends[low:high] - begin).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([
                         names[low:high], pa.array(row["first"] + ends[low:high] - lengths[low:high]),
-                        pa.array(lengths[low:high]),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[begin:ends[high - 1]].astype(np.int32))),
-                    ], ["doc_id", "start", "n_tokens", "ids"])
+                        pa.array(lengths[low:high]), made(ids[begin:ends[high - 1]], ends[low:high] - begin),
+                    ], ["doc_id", "start", "n_tokens", column.split()[0]])
 
-    return with_start.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids array<int>")
+    return with_start.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, {column}")
 
 
 def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
@@ -251,25 +272,9 @@ def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
     return shards.mapInArrow(run, "part int, seq int, n_found bigint, positions array<bigint>")
 
 
-def checksums(documents: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from rows of `read_documents`."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.append(0, np.cumsum(batch.column("n_tokens").to_numpy(zero_copy_only=False)))
-            flat = batch.column("ids").flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            sums = [zlib.crc32(flat[a:b]) for a, b in zip(sizes[:-1], sizes[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(sums, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return documents.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
-
-
 def written_and_read(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
     """Write the files (to a new folder under the checkpoint folder by default) and check-sum what they hold."""
     spark = docs.sparkSession
     path = path or shared_folder(spark)
     write(docs, tokenizer, path)
-    return checksums(read_documents(spark, path))
+    return checksums(spark, path)

@@ -86,7 +86,7 @@ def test_wavelet_matrix_by_brute_force():
 def test_files_hold_all_documents_in_order(spark, awkward, awkward_rows, words, tmp_path):
     path = str(tmp_path / "tokens")
     wavelet_tokens.write(awkward, WORDS, path, shard_tokens=500)
-    got = wavelet_tokens.checksums(wavelet_tokens.read_documents(spark, path)).collect()
+    got = wavelet_tokens.checksums(spark, path).collect()
     order = sorted(awkward_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want, at = [], 0
     for doc_id, text, *_ in order:
@@ -94,6 +94,8 @@ def test_files_hold_all_documents_in_order(spark, awkward, awkward_rows, words,
         want.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    whole = wavelet_tokens.read_documents(spark, path).collect()
+    assert sorted((r.start, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in whole) == [(w[1], w[3]) for w in want]
     found = wavelet_tokens.occurrences(spark, path, 1).collect()
     assert sum(r.n_found for r in found) >= len(awkward_rows) and len(found) > 3
 
