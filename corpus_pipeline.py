@@ -41,8 +41,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """doc_id, source, ids and n_tokens of every document, and whether decoding gave its text back."""
     path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
     rows = docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    coded = byte_bpe.encode(rows, path, pattern, keep=("doc_id", "source", "digest"))
-    return byte_bpe.decode(coded, path, pattern).select(
+    return byte_bpe.round_trip(rows, path, pattern, keep=("doc_id", "source", "digest")).select(
         "doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
         (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.llm.common import list_array, slices, texts_of, utf8
 
-CACHED_PIECES = 800_000
+CACHED_PIECES = 300_000
 _NONE = np.int64((1 << 62) - 1)
 _CELLS = 1 << 19
 
@@ -95,6 +95,7 @@ class ByteBpe:
             held += token
         self.held = np.frombuffer(bytes(held), np.uint8)
         self.cache: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Each piece's ids as 32-bit integers; a piece that is itself a token gets that id."""
@@ -169,15 +170,17 @@ class ByteBpe:
         are matched whole.
         """
         chunked = [self._chunks(t) for t in texts]
-        self._learn({c for chunks in chunked for c in chunks if c not in self.cache})
+        if len(self.cache) > CACHED_PIECES // 2:  # chunks in use move on from the older half
+            self.cache, self.older = {}, self.cache
+        missing = {c for chunks in chunked for c in chunks if c not in self.cache}
+        self.cache.update((c, self.older[c]) for c in missing if c in self.older)
+        self._learn({c for c in missing if c not in self.cache})
         coded = []
         for text, chunks in zip(texts, chunked):
             try:
                 coded.append(b"".join(map(self.cache.__getitem__, chunks)))
             except TypeError:
                 coded.append(self._whole(text))
-        if len(self.cache) > CACHED_PIECES:
-            self.cache.clear()
         ends = np.cumsum([len(c) // 4 for c in coded])
         return np.append(0, ends), np.frombuffer(b"".join(coded), np.int32)
 
@@ -209,11 +212,23 @@ class ByteBpe:
         return ends[offsets], self.held[source]
 
 
+CHUNK_BYTES = 1 << 20
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """What `decode(encode(...))` gives, in one pass: `keep` columns, `ids` and `decoded`."""
+    return _encoded(docs, path, pattern, keep, True)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns and `ids` (array of int) of every row's whole text.
 
     A null or empty text has no ids; every input row gives one row, repeated or not.
     """
+    return _encoded(docs, path, pattern, keep, False)
+
+
+def _encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], decoded: bool) -> DataFrame:
     rows = texts_of(docs, *keep)
     schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep)
 
@@ -221,13 +236,22 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
         bpe = ByteBpe.load(path, pattern)
         for batch in batches:
             offsets, _ = utf8(batch.column("text"))
-            for low, high in slices(offsets):
+            for low, high in slices(offsets, CHUNK_BYTES):
                 part = batch.slice(low, high - low)
                 bounds, ids = bpe.encode_texts(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in keep), list_array(bounds, pa.array(ids))], [*keep, "ids"])
+                made = [list_array(bounds, pa.array(ids))]
+                if decoded:
+                    made.append(_binary(*bpe.decode(bounds, ids)))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), *made], [*keep, *names])
+        bpe.cache, bpe.older = {}, {}  # a worker that waits for other work holds no chunks
+
+    names = ["ids", "decoded"] if decoded else ["ids"]
+    return rows.mapInArrow(run, f"{schema}, ids array<int>" + ", decoded binary" * decoded)
+
 
-    return rows.mapInArrow(run, f"{schema}, ids array<int>")
+def _binary(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [
+        None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -246,18 +270,16 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
             for low, high in slices(offsets, 1 << 18):
                 ends, data = bpe.decode(
                     offsets[low:high + 1] - offsets[low], values[offsets[low]:offsets[high]])
-                made = pa.Array.from_buffers(pa.large_binary(), high - low, [
-                    None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, made.cast(pa.binary())], [*part.schema.names, "decoded"])
+                    [*part.columns, _binary(ends, data)], [*part.schema.names, "decoded"])
 
     return rows.mapInArrow(run, f"{schema}, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per row: doc_id, n_tokens, and SHA-256 of its decimal ids and of its decoded bytes."""
-    return decode(encode(docs, path, pattern), path, pattern).select(
+    return round_trip(docs, path, pattern).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

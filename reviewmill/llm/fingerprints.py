@@ -87,7 +87,7 @@ def simhash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         for begin in range(low, high, most):
             end = min(high, begin + most)
             part, cut = data[offsets[begin]:offsets[end]], offsets[begin:end + 1] - offsets[begin]
-            keys = _long_terms(part) if end - begin == 1 and len(part) > 1 << 20 else _terms(part, cut)
+            keys = _long_terms(part) if end - begin == 1 and len(part) > 1 << 18 else _terms(part, cut)
             out[begin:end] = _votes(keys, end - begin)
     return out
 

@@ -35,7 +35,7 @@ LENGTH = 400
 GRAM = 250
 SORT_ITEMS = 2_000_000
 TEXT_BYTES = 256_000_000
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _DEAD = 300  # column left of a run's first byte
 
 

@@ -65,18 +65,21 @@ def _gathered(bounds: np.ndarray, bucket: np.ndarray, rows: np.ndarray) -> tuple
 
 def fit(data: np.ndarray, offsets: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
     """Weights and intercept from rows marked 1 (confirmed toxic) or 0 (unlabelled)."""
-    rows, buckets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    times = np.zeros(1 << BITS, np.int64)
+    for _, _, _, bucket in _word_sets(data, offsets):
+        times += np.bincount(bucket, minlength=1 << BITS)
+    often = times >= max(2, LEAST_SHARE * len(positive))
+    # Hashed again rather than held: most words are too rare to be kept.
+    rows, buckets = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for low, _, row, bucket in _word_sets(data, offsets):
-        rows.append(row + low)
-        buckets.append(bucket)
+        rows.append((row[often[bucket]] + low).astype(np.int32))
+        buckets.append(bucket[often[bucket]].astype(np.int32))
     row, bucket = np.concatenate(rows), np.concatenate(buckets)
     toxic, others = np.flatnonzero(positive == 1), np.flatnonzero(positive == 0)
     weights = np.zeros(_INTERCEPT + 1)
     if not len(toxic) or not len(others):
         weights[_INTERCEPT] = -1.0
         return weights
-    often = np.bincount(bucket, minlength=1 << BITS) >= max(2, LEAST_SHARE * len(positive))
-    row, bucket = row[often[bucket]], bucket[often[bucket]]
     bounds = np.searchsorted(row, np.arange(len(positive) + 1))
     squares = np.full(_INTERCEPT + 1, 1e-8)
     weights[_INTERCEPT] = np.log(prior / (1 - prior))
