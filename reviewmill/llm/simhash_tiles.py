@@ -46,18 +46,18 @@ def _fingerprint(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * votes > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and `fp` (the 64 bits as a signed long) of every row's whole text; no words: 0."""
-    rows = texts_of(docs, "doc_id")
-    kind = rows.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of `keep` and `fp` (the 64 bits as a signed long) of every row's whole text; no words: 0."""
+    rows = texts_of(docs, *keep)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([_fingerprint(t.as_py(), words) for t in batch.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+                [*(batch.column(c) for c in keep), pa.array(made.view(np.int64))], [*keep, "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return rows.mapInArrow(run, f"{kinds}, fp bigint")
 
 
 class _Forest:
@@ -172,6 +172,16 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) ->
     return met.mapInArrow(compare, "a bigint, b bigint")
 
 
+def _labelled(rows: DataFrame, radius: int) -> DataFrame:
+    """Staged rows of (doc_id, fp, ..), with `label` (one value per group) and component_id."""
+    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    labels = connected_components(near_links(distinct, radius), []).withColumnRenamed("node", "fp")
+    labelled = staged(distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    roots = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    names = labelled.join(roots, "label").select("fp", "label", "component_id")
+    return rows.join(names, "fp")
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links) of every row.
 
@@ -179,22 +189,21 @@ def groups(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFra
     rows are kept; a null doc_id never names a component unless it has no other. An empty
     table gives no rows.
     """
-    made = staged(fingerprints(docs, words))
-    distinct = staged(made.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = connected_components(near_links(distinct, radius), []).withColumnRenamed("node", "fp")
-    labelled = staged(distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
-    roots = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    names = labelled.join(roots, "label").select("fp", "component_id")
-    return made.join(names, "fp").select("doc_id", "fp", "component_id")
+    return _labelled(staged(fingerprints(docs, words)), radius).select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` that stay: of each group the one with the smallest doc_id.
+    """The rows of `docs` that stay: exactly one of each group, whatever ids repeat or are null.
 
-    Where rows repeat that doc_id, the one with the least text stays.
+    It is the one with the smallest doc_id (nulls last), of several the one with the least text.
     """
-    kept = groups(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return rows.withColumn("__turn", first).where("__turn = 1").select(*docs.columns)
+    # Rows of one key have one text, so one fingerprint and one group.
+    key = F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-")), F.lit(" "),
+                   F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    keyed = docs.withColumn("__key", key)
+    made = _labelled(staged(fingerprints(keyed, keep=("doc_id", "__key"))), radius)
+    first = made.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        "__key", F.col("label").alias("__label")).distinct()
+    plain = [c for c, kind in docs.dtypes if c != "text" and not kind.startswith(("map", "array", "struct", "variant"))]
+    turn = F.row_number().over(Window.partitionBy("__label").orderBy("text", *plain))
+    return keyed.join(first, "__key").withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)

@@ -49,6 +49,24 @@ def test_simhash_groups(awkward, awkward_rows, nothing):
     assert simhash_tiles.groups(nothing).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_group(spark, awkward, awkward_rows, nothing):
+    body = [" ".join(f"{c}{i * i % 97}" for i in range(60)) for c in "abcde"]
+    texts = [body[0], body[1], body[2], body[3], body[2] + " ", body[4], body[3].upper()]
+    repeated = list(zip([None, None, 5, 5, 7, 7, None], texts))
+    frame = spark.createDataFrame(repeated, "doc_id bigint, text string").repartition(3)
+    for docs, rows in ((frame, repeated), (awkward, awkward_rows)):
+        fps = [simhash(r[1]) for r in rows]
+        pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+        members = {}
+        for r, group in zip(rows, least_reachable(len(fps), pairs, list(range(len(fps))))):
+            members.setdefault(group, []).append((r[0] is None, r[0] or 0, r[1] or ""))
+        want = Counter(min(rs) for rs in members.values())
+        got = simhash_tiles.deduplicated(docs)
+        assert got.columns == docs.columns
+        assert Counter((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect()) == want
+    assert simhash_tiles.deduplicated(nothing).count() == 0
+
+
 @pytest.mark.parametrize("same", [True, False])
 def test_tiles_connect_every_link(same):
     rng = np.random.default_rng(1)
