@@ -2,14 +2,16 @@
 
 1. Equal vectors are grouped; the rest works on distinct ones with their numbers.
 2. Each vector joins the shards of its `OVERLAP` nearest centres (a bounded sample of the
-   vectors); a shard of more than `BLOCK` members is dealt to several blocks by hash.
+   vectors, thinned where it is dense, so that a large group of near copies shares a shard);
+   a shard of more than `BLOCK` members is dealt to several blocks by hash.
 3. In each block every vector gets out-edges by robust pruning of its nearest candidates,
    reverse edges, and edges that make all of the block reachable from its medoids.
 4. A vector's adjacency lists of all its blocks are united.
 5. Every vector is searched in all blocks of its nearest shard: greedy steps from the
    medoids, then the search range expands over everything within the threshold.
 6. Cosines are verified in double precision, links become components, and a sample of
-   vectors is audited by brute force.
+   vectors is audited by brute force. Below `LEAST_RECALL` the search is repeated with more
+   shards per vector.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ MOST_CENTRES = 4096
 OVERLAP = 5
 BLOCK = 2048
 QUERIES = 1024
+SLICES = 16
 CANDIDATES = 40
 DEGREE = 16
 ALPHA = 1.2
@@ -37,6 +40,8 @@ MEDOIDS = 8
 STEPS = 24
 SLACK = 0.1
 AUDITED = 256
+LEAST_RECALL = 0.9
+WIDER = (1, 4, 16)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -144,12 +149,33 @@ def range_search(vectors: np.ndarray, edges: tuple[np.ndarray, np.ndarray], quer
         row, at = np.nonzero(open_ & (known >= cosine - SLACK))
         if not len(row):
             break
+        if len(row) > q * n // 32:  # a dense block: comparing all of it is cheaper than walking it
+            return np.nonzero(queries @ vectors.T >= cosine)
         expand(row, at)
     return np.nonzero(known >= cosine)
 
 
-def _centres(distinct: DataFrame, per_centre: int) -> dict[int, np.ndarray]:
-    """Unit centres per vector length: a sample by hash of at most `MOST_CENTRES` in all."""
+def thinned(centres: np.ndarray, cosine: float, overlap: int) -> np.ndarray:
+    """Centres without those that would part a group too large for `overlap` shards.
+
+    A vector meets all partners while their centres are among its `overlap` nearest. Where a
+    centre has that many others within the threshold, it takes the place of all about it, the
+    densest first; the blocks and chunks of its shard then bear the size of the group.
+    """
+    near = centres @ centres.T
+    degree = (near >= cosine).sum(1) - 1
+    alive = np.ones(len(centres), bool)
+    for i in np.argsort(-degree, kind="stable"):
+        if degree[i] < overlap:
+            break
+        if alive[i]:
+            alive[near[i] >= cosine - SLACK] = False
+            alive[i] = True
+    return centres[alive]
+
+
+def _centres(distinct: DataFrame, per_centre: int, cosine: float, overlap: int) -> dict[int, np.ndarray]:
+    """Unit centres per vector length: a thinned sample by hash of at most `MOST_CENTRES` in all."""
     sizes = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     total, out = sum(sizes.values()), {}
     for dim, n in sizes.items():
@@ -157,7 +183,7 @@ def _centres(distinct: DataFrame, per_centre: int) -> dict[int, np.ndarray]:
         rows = distinct.where(F.col("dim") == dim).orderBy(F.xxhash64("node"), "node").limit(k)
         values = np.array([r["embedding"] for r in rows.select("embedding").collect()], np.float64)
         values /= np.abs(values).max(1, keepdims=True)
-        out[dim] = values / np.sqrt((values * values).sum(1, keepdims=True))
+        out[dim] = thinned(values / np.sqrt((values * values).sum(1, keepdims=True)), cosine, overlap)
     return out
 
 
@@ -178,9 +204,10 @@ def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.monotonically_increasing_id().alias("node"), "embedding", F.size("embedding").alias("dim"), "n", "first_id"))
 
 
-def members(distinct: DataFrame, per_centre: int = PER_CENTRE, overlap: int = OVERLAP) -> DataFrame:
+def members(distinct: DataFrame, per_centre: int = PER_CENTRE, overlap: int = OVERLAP,
+            cosine: float = COSINE) -> DataFrame:
     """node, embedding, n, shard and `home` (whether it is the nearest), one row per shard of a vector."""
-    centres = _centres(distinct, per_centre)
+    centres = _centres(distinct, per_centre, cosine, overlap)
     base = dict(zip(centres, np.cumsum([0, *(len(c) for c in centres.values())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +229,37 @@ def members(distinct: DataFrame, per_centre: int = PER_CENTRE, overlap: int = OV
     return distinct.mapInArrow(run, "node bigint, embedding array<double>, n bigint, shard bigint, home boolean")
 
 
+def found_links(ids: np.ndarray, counts: np.ndarray, mine: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Rows linked with each query, and edges that span what the pairs (row, at) connect."""
+    other = ids[at] != mine[row]
+    row, at = row[other], at[other]
+    linked = np.bincount(row, counts[at], len(mine)).astype(np.int64)
+    # The least node that each can reach inside this tile, and so one edge per node.
+    every, code = np.unique(np.concatenate([mine[row], ids[at]]), return_inverse=True)
+    a, b = code[:len(row)], code[len(row):]
+    label = np.arange(len(every))
+    while len(row):
+        low = np.minimum(label[a], label[b])
+        next_ = label.copy()
+        np.minimum.at(next_, a, low)
+        np.minimum.at(next_, b, low)
+        next_ = next_[next_]
+        if (next_ == label).all():
+            break
+        label = next_
+    return pa.table({
+        "a": pa.array(np.concatenate([mine, every])), "b": pa.array(np.concatenate([mine, every[label]])),
+        "linked": pa.array(np.concatenate([linked, np.zeros(len(every), np.int64)]))})
+
+
 def links(distinct: DataFrame, cosine: float = COSINE, per_centre: int = PER_CENTRE, overlap: int = OVERLAP,
           block: int = BLOCK, queries: int = QUERIES) -> tuple[DataFrame, DataFrame]:
     """Per node `linked` (rows of other vectors within the threshold), and edges that span the components."""
-    member = staged(members(distinct, per_centre, overlap))
+    member = staged(members(distinct, per_centre, overlap, cosine))
     # At most MOST_CENTRES shards, so this table is small whatever the data.
     sizes = member.groupBy("shard").agg(
         F.ceil(F.count("*") / block).cast("int").alias("blocks"),
-        F.greatest(F.lit(1), F.ceil(F.sum(F.col("home").cast("int")) / queries)).cast("int").alias("chunks"))
+        F.greatest(F.lit(1), F.ceil(F.sum(F.col("home").cast("int")) / (queries * SLICES))).cast("int").alias("chunks"))
     dealt = staged(member.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
 
     def build(table: pa.Table) -> pa.Table:
@@ -247,27 +297,11 @@ def links(distinct: DataFrame, cosine: float = COSINE, per_centre: int = PER_CEN
         flat = lists.flatten().to_numpy()
         target = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
         inside = ids[target] == flat
-        row, at = range_search(vectors, (source[inside], target[inside]), unit[query], cosine)
-        mine = node[query]
-        other = ids[at] != mine[row]
-        row, at = row[other], at[other]
-        linked = np.bincount(row, counts[at], len(mine)).astype(np.int64)
-        # The least node that each can reach inside this tile, and so one edge per node.
-        every, code = np.unique(np.concatenate([mine[row], ids[at]]), return_inverse=True)
-        a, b = code[:len(row)], code[len(row):]
-        label = np.arange(len(every))
-        while len(row):
-            low = np.minimum(label[a], label[b])
-            next_ = label.copy()
-            np.minimum.at(next_, a, low)
-            np.minimum.at(next_, b, low)
-            next_ = next_[next_]
-            if (next_ == label).all():
-                break
-            label = next_
-        return pa.table({
-            "a": pa.array(np.concatenate([mine, every])), "b": pa.array(np.concatenate([mine, every[label]])),
-            "linked": pa.array(np.concatenate([linked, np.zeros(len(every), np.int64)]))})
+        edges, mine, asked_for = (source[inside], target[inside]), node[query], unit[query]
+        return pa.concat_tables([
+            found_links(ids, counts, mine[low:low + queries],
+                        *range_search(vectors, edges, asked_for[low:low + queries], cosine))
+            for low in range(0, len(mine), queries)])
 
     found = staged(domain.unionByName(asked).groupBy("shard", "block", "chunk").applyInArrow(
         search, "a bigint, b bigint, linked bigint"))
@@ -275,7 +309,7 @@ def links(distinct: DataFrame, cosine: float = COSINE, per_centre: int = PER_CEN
             found.where("a <> b").select("a", "b").distinct())
 
 
-def groups(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def groups(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of (vec_id, embedding).
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing and
@@ -283,7 +317,7 @@ def groups(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     one another. Repeated rows are vectors of their own. An empty table gives no rows.
     """
     rows, distinct = distinct_vectors(vectors)
-    linked, edges = links(distinct, cosine)
+    linked, edges = links(distinct, cosine, overlap=overlap)
     labels = connected_components(edges, [])
     named = staged(
         distinct.select("node", "embedding", "n", "first_id").join(linked, "node", "left")
@@ -326,5 +360,15 @@ def audit(vectors: DataFrame, cosine: float = COSINE, sample: int = AUDITED) ->
 
 
 def audited_groups(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """`groups`, with `true_links` by brute force for the audited sample and null elsewhere."""
-    return groups(vectors, cosine).join(audit(vectors, cosine), "vec_id", "left")
+    """`groups`, with `true_links` by brute force for the audited sample and null elsewhere.
+
+    Where the sample has less than `LEAST_RECALL` of its true links, the search is widened; it
+    is an error if the widest one still has less.
+    """
+    audited = staged(audit(vectors, cosine))
+    for times in WIDER:
+        made = staged(groups(vectors, cosine, OVERLAP * times).join(audited, "vec_id", "left"))
+        found, true = made.where("true_links IS NOT NULL").agg(F.sum("n_links"), F.sum("true_links")).first()
+        if not true or found >= LEAST_RECALL * true:
+            return made
+    raise RuntimeError(f"the audited vectors have {true} links, of which only {found} were found")

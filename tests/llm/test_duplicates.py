@@ -209,6 +209,36 @@ def test_oversized_shards_lose_no_link(spark, block, queries):
     assert linked.agg({"linked": "sum"}).first()[0] >= 0.99 * true
 
 
+def test_large_group_of_near_copies_loses_no_link(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(16)
+    group = centre + 0.15 * rng.standard_normal((5000, 16))
+    unit = np.concatenate([group, rng.standard_normal((10_000, 16))])
+    frame = spark.createDataFrame(list(enumerate(unit.tolist())), "vec_id bigint, embedding array<double>")
+    _, distinct = embedding_graph.distinct_vectors(frame)
+    linked, _ = embedding_graph.links(distinct)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    true = sum(int((unit[low:low + 1000] @ unit.T >= 0.9).sum()) for low in range(0, len(unit), 1000)) - len(unit)
+    assert linked.agg({"linked": "sum"}).first()[0] >= 0.99 * true
+
+
+def test_search_widens_where_the_audit_misses_links(spark, monkeypatch):
+    frame = spark.createDataFrame(
+        [(i, [1.0, i / 100]) for i in range(20)], "vec_id bigint, embedding array<double>")
+    plain, tried = embedding_graph.groups, []
+
+    def narrow(vectors, cosine, overlap):
+        tried.append(overlap)
+        made = plain(vectors, cosine, overlap)
+        return made if overlap > 5 and len(tried) < 3 else made.withColumn("n_links", embedding_graph.F.lit(1))
+
+    monkeypatch.setattr(embedding_graph, "groups", narrow)
+    assert {r.n_links for r in embedding_graph.audited_groups(frame).collect()} == {19}
+    assert tried == [5, 20]
+    with pytest.raises(RuntimeError):
+        embedding_graph.audited_groups(frame)
+
+
 # Fingerprints
 
 def test_edits_and_likeness(awkward, awkward_rows, nothing):
