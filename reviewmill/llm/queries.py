@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.llm import (
-    byte_bpe, embedding_graph, fingerprints, quality_ftrl, simhash_tiles, source_mixing, suffix_dedup,
-    token_counts, toxicity_pu, wavelet_tokens,
+    byte_bpe, embedding_graph, fingerprints, quality_ftrl, simhash_tiles, source_divergence, source_mixing,
+    suffix_dedup, token_counts, toxicity_pu, wavelet_tokens,
 )
 from reviewmill.registry.base import Query
 
@@ -86,6 +86,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(_table(spark, sf_dir, "documents"))
 
 
+@query("op11_source_divergence", source_divergence.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
