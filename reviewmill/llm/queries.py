@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.llm import (
-    byte_bpe, embedding_graph, fingerprints, quality_ftrl, simhash_tiles, source_divergence, source_mixing,
-    suffix_dedup, token_counts, toxicity_pu, wavelet_tokens,
+    byte_bpe, embedding_graph, fingerprints, hard_negatives, quality_ftrl, simhash_tiles, source_divergence,
+    source_mixing, suffix_dedup, token_counts, toxicity_pu, url_filters, wavelet_tokens,
 )
 from reviewmill.registry.base import Query
 
@@ -91,6 +91,16 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+@query("op12_url_filters", url_filters.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(_table(spark, sf_dir, "pages"))
+
+
+@query("op13_hard_negatives", hard_negatives.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
