@@ -7,8 +7,9 @@
    each bucket takes the first pilot that sends its terms to free slots. The terms are
    stored in slot order, so that a lookup is verified against the stored bytes.
 3. Second pass: the shards are broadcast in rounds of at most about `ROUND_BYTES`, whatever
-   the vocabulary; each task looks up the terms of its tallies and increments dense slots per
-   (language, source, shard).
+   the vocabulary; each task looks up the terms of its tallies, once per term, and sends
+   (slot, number) lists per (language, source, shard). Where these meet, they increment the
+   shard's dense slots, one group after the other in a sorted stream.
 4. Counts become integer shares. Sources are compared in tiles: a run of shards times two
    blocks of sources, so a task holds a bounded matrix however many sources there are.
 
@@ -35,12 +36,11 @@ from reviewmill.session import staged
 LEAST_DOCS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
-SHARD = 512
+SHARD = 4096
 ROUND_BYTES = 64_000_000
-STRIP = 32
+STRIP = 4
 BLOCK = 256
 _TALLIED = 300_000
-_SLOTS = 4_000_000
 _PIECE = 1 << 20
 _PILOTS = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -164,7 +164,9 @@ def document_groups(docs: DataFrame) -> DataFrame:
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(c).to_pylist() for c in names))
+    """Rows as Python values, texts as bytes."""
+    return zip(*(batch.column(c).cast(pa.binary()).to_pylist() if c == "text" else batch.column(c).to_pylist()
+                 for c in names))
 
 
 def kept_terms(groups: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
@@ -184,7 +186,7 @@ def kept_terms(groups: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
         for batch in batches:
             for lang, text in _columns(batch, "lang", "text"):
                 held = set()
-                for terms in terms_of(text.encode()):
+                for terms in terms_of(text):
                     held.update(terms)
                 tallies[lang].update(held)
                 if len(tallies[lang]) > _TALLIED or len(tallies) > 64 and sum(map(len, tallies.values())) > _TALLIED:
@@ -218,56 +220,95 @@ def perfect_shards(kept: DataFrame, per_shard: int = SHARD) -> tuple[DataFrame,
         build, "lang string, shard int, seed int, pilots binary, keys binary, ends binary"))
 
 
+_COUNTS = "lang string, source string, shard int, slots array<int>, counts array<bigint>"
+
+
 def _tasks_counts(groups: DataFrame, broadcast) -> DataFrame:
-    """lang, source, shard and dense `counts` over the shard's slots, of the shards of one round."""
+    """lang, source, shard, slots and counts of the terms in one round's shards, summed up within each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = PerfectShards(*broadcast.value)
+        names = np.array([shard for _, shard in shards.number], np.int32)
         tallies: dict[tuple, Counter] = defaultdict(Counter)
-        dense: dict[tuple, np.ndarray] = {}
-
-        def increment() -> None:
-            for (lang, source), tally in tallies.items():
-                where, slot = shards.find(lang, list(tally))
-                for w, s, n in zip(where, slot, tally.values()):
-                    if s >= 0:
-                        key = (lang, source, w)
-                        if key not in dense:
-                            dense[key] = np.zeros(shards.size[w], np.int64)
-                        dense[key][s] += n
-            tallies.clear()
 
         def made() -> Iterator[pa.RecordBatch]:
-            names = {w: shard for (_, shard), w in shards.number.items()}
-            keys = list(dense)
-            for low in range(0, len(keys), 1000):
-                part = keys[low:low + 1000]
+            codes: dict[str, dict[bytes, int]] = {}
+            for lang in {lang for lang, _ in tallies}:
+                terms = list(set().union(*(t for (own, _), t in tallies.items() if own == lang)))
+                where, slot = shards.find(lang, terms)
+                codes[lang] = {t: w << 32 | s if s >= 0 else -1 for t, w, s in zip(terms, where, slot)}
+            for (lang, source), tally in tallies.items():
+                code = np.fromiter(map(codes[lang].__getitem__, tally), np.int64, len(tally))
+                count = np.fromiter(tally.values(), np.int64, len(tally))
+                order = np.argsort(code, kind="stable")
+                order = order[code[order] >= 0]
+                code, count = code[order], count[order]
+                of = code >> 32
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                ends = pa.array(np.append(first, len(code)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([k[0] for k in part], pa.string()), pa.array([k[1] for k in part], pa.string()),
-                    pa.array([names[k[2]] for k in part], pa.int32()),
-                    pa.array([dense[k] for k in part], pa.list_(pa.int64()))], ["lang", "source", "shard", "counts"])
-            dense.clear()
+                    pa.array([lang] * len(first), pa.string()), pa.array([source] * len(first), pa.string()),
+                    pa.array(names[of[first]]), pa.ListArray.from_arrays(ends, pa.array((code & 0xFFFFFFFF).astype(np.int32))),
+                    pa.ListArray.from_arrays(ends, pa.array(count))], ["lang", "source", "shard", "slots", "counts"])
+            tallies.clear()
 
         entries = 0
         for batch in batches:
             for lang, source, text in _columns(batch, "lang", "source", "text"):
                 tally = tallies[lang, source]
                 before = len(tally)
-                for terms in terms_of(text.encode()):
+                for terms in terms_of(text):
                     tally.update(terms)
                 entries += len(tally) - before
                 if entries > _TALLIED:
-                    increment()
+                    yield from made()
                     entries = 0
-                    if sum(map(len, dense.values())) > _SLOTS:
-                        yield from made()
-        increment()
         yield from made()
 
-    return groups.mapInArrow(run, "lang string, source string, shard int, counts array<bigint>")
+    return groups.mapInArrow(run, _COUNTS)
+
+
+def _incremented(sent: DataFrame, per_shard: int) -> DataFrame:
+    """Dense slots per (lang, source, shard) of rows sorted by these, as lists of the slots that are not 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense, key, done = np.zeros(2 * per_shard, np.int64), None, []
+
+        def close() -> None:
+            held = np.flatnonzero(dense)
+            done.append((*key, held.astype(np.int32), dense[held]))
+            dense[held] = 0
+
+        def made() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            arrays = [pa.array(list(c), k) for c, k in zip(zip(*done), kinds)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "shard", "slots", "counts"])
+
+        for batch in batches:
+            slots, counts = (batch.column(c) for c in ("slots", "counts"))
+            ends = np.append(0, np.cumsum(slots.value_lengths().to_numpy())).tolist()
+            slots, counts = slots.flatten().to_numpy(), counts.flatten().to_numpy()
+            for i, own in enumerate(_columns(batch, "lang", "source", "shard")):
+                if own != key:
+                    if key is not None:
+                        close()
+                    key = own
+                at = slots[ends[i]:ends[i + 1]]
+                if len(at) and at.max() >= len(dense):
+                    dense = np.append(dense, np.zeros(int(at.max()) + 1, np.int64))
+                dense[at] += counts[ends[i]:ends[i + 1]]  # a row names a slot once
+                if len(done) >= 200:
+                    yield made()
+        if key is not None:
+            close()
+        if done:
+            yield made()
 
+    return sent.mapInArrow(run, _COUNTS)
 
-def recounted(groups: DataFrame, sizes: DataFrame, shards: DataFrame, round_bytes: int = ROUND_BYTES) -> DataFrame:
-    """lang, source, shard, slot and n > 0: how often the group holds the term in that slot."""
+
+def recounted(groups: DataFrame, sizes: DataFrame, shards: DataFrame, round_bytes: int = ROUND_BYTES,
+              per_shard: int = SHARD) -> DataFrame:
+    """lang, source, shard, slots and counts > 0: how often the group holds the terms in these slots."""
     spark = groups.sparkSession
     stored = shards.agg(F.sum(F.octet_length("keys") + F.octet_length("ends") + F.octet_length("pilots"))).first()[0] or 0
     rounds = -(-stored // round_bytes)
@@ -278,15 +319,11 @@ def recounted(groups: DataFrame, sizes: DataFrame, shards: DataFrame, round_byte
         rows = [r.asDict() for r in shards.where(turn == i).collect()]  # about `round_bytes` at most
         langs = sizes.join(shards.where(turn == i).select("lang").distinct(), "lang", "left_semi")
         shards_of = {r["lang"]: r["shards"] for r in langs.collect()}
-        made = _tasks_counts(groups, spark.sparkContext.broadcast((rows, shards_of)))
-        made = staged(
-            made.repartition(parts, "lang", "source", "shard")
-            .select("lang", "source", "shard", F.posexplode("counts").alias("slot", "n")).where("n > 0")
-            .groupBy("lang", "source", "shard", "slot").agg(F.sum("n").alias("n")))
+        sent = _tasks_counts(groups, spark.sparkContext.broadcast((rows, shards_of)))
+        keys = ["lang", "source", "shard"]
+        made = staged(_incremented(sent.repartition(parts, *keys).sortWithinPartitions(*keys), per_shard))
         found = made if found is None else found.unionByName(made)
-    if found is None:
-        found = spark.createDataFrame([], "lang string, source string, shard int, slot int, n bigint")
-    return found
+    return spark.createDataFrame([], _COUNTS) if found is None else found
 
 
 def _share(count: Column) -> Column:
@@ -306,11 +343,16 @@ def _pairs(cells: DataFrame) -> DataFrame:
     """lang, source, item and value of each ordered pair of sources of one tile.
 
     `cells` has a row per (lang, strip, i, j, shard, source): the source's block, its share of
-    absent terms `p0`, the number of slots, and the slots and shares of the terms it holds.
+    absent terms `p0`, the number of slots (`size`), and the slots and shares of the terms it holds.
     """
     def run(table: pa.Table) -> pa.Table:
         lang, i, j = (table.column(c)[0].as_py() for c in ("lang", "i", "j"))
-        rows = table.select(["source", "block", "shard", "slots", "p0", "at", "p"]).to_pylist()
+        rows = table.select(["source", "block", "shard", "size", "p0"]).to_pylist()
+        slots, shares = (table.column(c).combine_chunks() for c in ("at", "p"))
+        ends = np.append(0, np.cumsum(slots.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        slots, shares = slots.flatten().to_numpy(), shares.flatten().to_numpy()
+        for k, r in enumerate(rows):
+            r["held"] = slice(int(ends[k]), int(ends[k + 1]))
         names = [sorted({r["source"] for r in rows if r["block"] == b}) for b in (i, j)]
         number = [{s: k for k, s in enumerate(n)} for n in names]
         by_shard = defaultdict(list)
@@ -321,13 +363,12 @@ def _pairs(cells: DataFrame) -> DataFrame:
         for members in by_shard.values():
             sides = []
             for side, block in enumerate((i, j)):
-                matrix = np.ones((len(names[side]), members[0]["slots"]), np.int64)
+                matrix = np.ones((len(names[side]), members[0]["size"]), np.int64)
                 for r in members:
                     if r["block"] == block:
                         row = matrix[number[side][r["source"]]]
                         row[:] = r["p0"]
-                        if r["at"]:
-                            row[np.array(r["at"])] = r["p"]
+                        row[slots[r["held"]]] = shares[r["held"]]
                 sides.append(matrix)
             for k in range(len(names[0])):
                 ahead[k] += _divergence(sides[0][k], sides[1]).sum(1)
@@ -364,49 +405,56 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS, p
     named = staged(groups.select("lang", "source").distinct())
     kept = staged(kept_terms(groups, least))
     sizes, shards = perfect_shards(kept, per_shard)
-    counts = recounted(groups, sizes, shards, round_bytes)
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("all"))
+    counts = recounted(groups, sizes, shards, round_bytes, per_shard)
+    group_sum = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
+    totals = counts.groupBy("lang", "source").agg(F.sum(group_sum).alias("all"))
     # A row per group with its share of an absent term; block numbers are dealt by hash.
     blocks = named.groupBy("lang").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     known = staged(
         named.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").join(blocks, "lang")
         .withColumn("all", F.coalesce("all", F.lit(0).cast("long"))).withColumn("v", F.coalesce("v", F.lit(0).cast("long")))
         .withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int")))
-    shares = staged(counts.join(
-        known.select("lang", "source", "all", "v"), ["lang", "source"]).withColumn("p", _share(F.col("n"))))
-
-    slots = shards.select("lang", "shard", (F.octet_length("ends") / 8).cast("int").alias("slots"))
-    held = shares.groupBy("lang", "source", "shard").agg(F.collect_list(F.struct("slot", "p")).alias("held"))
-    cells = (
-        known.where("v > 0").withColumn("p0", _share(F.lit(0)))
-        .join(slots, "lang").join(held, ["lang", "source", "shard"], "left")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Of every group and shard, the slots it holds and its shares there; few rows, as a shard is one.
+    slots = shards.select("lang", "shard", (F.octet_length("ends") / 8).cast("int").alias("size"))
+    cells = staged(
+        known.where("v > 0").join(slots, "lang").join(counts, ["lang", "source", "shard"], "left")
+        .select("lang", "source", "shard", "size", "block", "blocks", "slots", "counts", "v",
+                F.col("all"), _share(F.lit(0)).alias("p0"),
+                F.transform("counts", lambda n: _share(n)).alias("shares")))
+    tiles = (
+        cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("lang", F.floor(F.col("shard") / strip).cast("int").alias("strip"),
                 F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                "block", "shard", "source", "slots", "p0",
-                F.col("held.slot").alias("at"), F.col("held.p").alias("p")))
-    summed = _pairs(cells)
+                "block", "shard", "source", "size", "p0", F.col("slots").alias("at"), F.col("shares").alias("p")))
+    summed = _pairs(tiles)
     # Without kept terms every pair has 0.
     item = named.select("lang", F.col("source").alias("item"))
     empty = known.where("v = 0").select("lang", "source").join(item, "lang").where("source <> item").select(
         "lang", "source", "item", F.lit(0).cast("long").alias("value"))
     pairs = summed.unionByName(empty).withColumn("part", F.lit("pair"))
 
-    of_lang = counts.groupBy("lang", "shard", "slot").agg(F.sum("n").alias("n"))
+    above = _above_language(cells, shards, sizes, totals)
+    rank = lambda: F.row_number().over(
+        Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    terms = above.withColumn("rank", rank()).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
+    return pairs.withColumn("rank", rank()).unionByName(terms).select(
+        "lang", "source", "part", "item", "value", "rank")
+
+
+def _above_language(cells: DataFrame, shards: DataFrame, sizes: DataFrame, totals: DataFrame) -> DataFrame:
+    """lang, source, item and value of every term whose share in a group exceeds that in its language."""
+    spread = cells.where("slots IS NOT NULL").select(
+        "lang", "source", "shard", F.explode(F.arrays_zip("slots", "counts", "shares")).alias("x")).select(
+        "lang", "source", "shard", F.col("x.slots").alias("slot"), F.col("x.counts").alias("n"), F.col("x.shares").alias("p"))
+    of_lang = spread.groupBy("lang", "shard", "slot").agg(F.sum("n").alias("n"))
     lang_all = totals.groupBy("lang").agg(F.sum("all").alias("all"))
     base = of_lang.join(lang_all, "lang").join(sizes, "lang").select(
         "lang", "shard", "slot", _share(F.col("n")).alias("q"))
     apart = F.col("p") - F.col("q")
-    rank = lambda: F.row_number().over(
-        Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    terms = (
-        shares.join(base, ["lang", "shard", "slot"]).where("p > q")
-        .join(_names(shards), ["lang", "shard", "slot"])
+    return (
+        spread.join(base.join(_names(shards), ["lang", "shard", "slot"]), ["lang", "shard", "slot"]).where("p > q")
         .select("lang", "source", "item", F.call_function("div", apart * apart, F.col("q")).alias("value"))
-        .withColumn("rank", rank()).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
     )
-    return pairs.withColumn("rank", rank()).unionByName(terms).select(
-        "lang", "source", "part", "item", "value", "rank")
 
 
 def _names(shards: DataFrame) -> DataFrame:
