@@ -5,11 +5,15 @@
    vectors, thinned where it is dense, so that a large group of near copies shares a shard);
    a shard of more than `BLOCK` members is dealt to several blocks by hash.
 3. In each block every vector gets out-edges by robust pruning of its nearest candidates,
-   reverse edges, and edges that make all of the block reachable from its medoids.
+   reverse edges, and edges that make all of the block reachable from its medoids, which
+   are stored with it.
 4. A vector's adjacency lists of all its blocks are united.
-5. Every vector is searched in all blocks of its nearest shard: greedy steps from the
-   medoids, then the search range expands over everything within the threshold.
-6. Cosines are verified in double precision, links become components, and a sample of
+5. Every vector is searched in all blocks of its nearest shard, its home: greedy steps from
+   the medoids, then the search range expands over everything within the threshold.
+6. A pair that both of its vectors' searches can meet is decided by the vector with the
+   smaller number, any other pair by the only search that can meet it. So each pair is
+   decided once and counts for both ends, and no list of pairs is needed.
+7. Cosines are verified in double precision, links become components, and a sample of
    vectors is audited by brute force. Below `LEAST_RECALL` the search is repeated with more
    shards per vector.
 """
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,11 +68,11 @@ def _medoids(near: np.ndarray, number: int) -> np.ndarray:
 
 
 def pruned_edges(vectors: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGREE,
-                 alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of the pruned graph of one block, both ways, reachable from its medoids."""
+                 alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of the pruned graph of one block, both ways, and its medoids, from which all is reachable."""
     n = len(vectors)
     if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.arange(n)
     near = vectors @ vectors.T
     np.fill_diagonal(near, -2)
     width = min(candidates, n - 1)
@@ -93,8 +98,8 @@ def pruned_edges(vectors: np.ndarray, candidates: int = CANDIDATES, degree: int
     source, target = np.concatenate(sources), np.concatenate(targets)
     code = np.unique(np.concatenate([source * n + target, target * n + source]))
     source, target = code // n, code % n
-    seen = np.zeros(n, bool)
-    seen[_medoids(near, MEDOIDS)] = True
+    seen, medoids = np.zeros(n, bool), _medoids(near, MEDOIDS)
+    seen[medoids] = True
     while True:
         grown = seen.copy()
         grown[target[seen[source]]] = True
@@ -106,12 +111,12 @@ def pruned_edges(vectors: np.ndarray, candidates: int = CANDIDATES, degree: int
         reached = np.flatnonzero(seen)
         nearest = reached[near[lost][:, reached].argmax(1)]
         source, target = np.append(source, nearest), np.append(target, lost)
-    return source, target
+    return source, target, medoids
 
 
-def range_search(vectors: np.ndarray, edges: tuple[np.ndarray, np.ndarray], queries: np.ndarray,
-                 cosine: float, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Query and vector numbers of all pairs within the threshold that the search meets."""
+def range_search(vectors: np.ndarray, edges: tuple[np.ndarray, np.ndarray], starts: np.ndarray,
+                 queries: np.ndarray, cosine: float, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Query and vector numbers of all pairs within the threshold that the search from `starts` meets."""
     n, q = len(vectors), len(queries)
     order = np.argsort(edges[0], kind="stable")
     targets = edges[1][order]
@@ -137,7 +142,6 @@ def range_search(vectors: np.ndarray, edges: tuple[np.ndarray, np.ndarray], quer
             visit(np.repeat(r, sizes),
                   targets[np.arange(ends[-1]) - np.repeat(ends - sizes - bounds[a], sizes)])
 
-    starts = _medoids(vectors @ vectors.T, MEDOIDS)
     visit(np.repeat(np.arange(q), len(starts)), np.tile(starts, q))
     for _ in range(steps):
         best = np.where(open_, known, -3.0).argmax(1)
@@ -149,12 +153,35 @@ def range_search(vectors: np.ndarray, edges: tuple[np.ndarray, np.ndarray], quer
         row, at = np.nonzero(open_ & (known >= cosine - SLACK))
         if not len(row):
             break
-        if len(row) > q * n // 32:  # a dense block: comparing all of it is cheaper than walking it
-            return np.nonzero(queries @ vectors.T >= cosine)
+        if len(row) > q * n // 32:
+            return _wide_walk(vectors, edges, queries, cosine, known != -2.0, open_ & (known >= cosine - SLACK))
         expand(row, at)
     return np.nonzero(known >= cosine)
 
 
+def _wide_walk(vectors: np.ndarray, edges: tuple[np.ndarray, np.ndarray], queries: np.ndarray, cosine: float,
+               seen: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rest of the same walk where much is open: whole rows of the block take each step at once."""
+    order = np.argsort(edges[1], kind="stable")
+    source, target = edges[0][order], edges[1][order]
+    reached = np.unique(target)
+    begin = np.searchsorted(target, reached)
+    rows, ats = [], []
+    for low in range(0, len(queries), 256):
+        near = queries[low:low + 256] @ vectors.T
+        done, front = seen[low:low + 256].copy(), open_[low:low + 256]
+        while front.any():
+            fresh = np.zeros_like(done)
+            fresh[:, reached] = np.logical_or.reduceat(front[:, source], begin, axis=1)
+            fresh &= ~done
+            done |= fresh
+            front = fresh & (near >= cosine - SLACK)
+        row, at = np.nonzero(done & (near >= cosine))
+        rows.append(row + low)
+        ats.append(at)
+    return np.concatenate(rows), np.concatenate(ats)
+
+
 def thinned(centres: np.ndarray, cosine: float, overlap: int) -> np.ndarray:
     """Centres without those that would part a group too large for `overlap` shards.
 
@@ -206,7 +233,8 @@ def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def members(distinct: DataFrame, per_centre: int = PER_CENTRE, overlap: int = OVERLAP,
             cosine: float = COSINE) -> DataFrame:
-    """node, embedding, n, shard and `home` (whether it is the nearest), one row per shard of a vector."""
+    """node, embedding, n, shard, `home` (whether it is the nearest) and all `shards` of the vector, nearest
+    first; one row per shard of a vector."""
     centres = _centres(distinct, per_centre, cosine, overlap)
     base = dict(zip(centres, np.cumsum([0, *(len(c) for c in centres.values())])))
 
@@ -221,19 +249,32 @@ def members(distinct: DataFrame, per_centre: int = PER_CENTRE, overlap: int = OV
                 order = np.argsort(-near, axis=1, kind="stable")[:, :width]
                 again = np.repeat(np.arange(len(mine)), width)
                 wide = part.select(["node", "embedding", "n"]).take(pa.array(again))
-                yield pa.RecordBatch.from_arrays([
-                    *wide.columns, pa.array((order.ravel() + base[int(dim)]).astype(np.int64)),
-                    pa.array(np.tile(np.arange(width) == 0, len(mine)))],
-                    ["node", "embedding", "n", "shard", "home"])
+                shards = (order + base[int(dim)]).astype(np.int64)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(again) + 1, dtype=np.int32) * width), pa.array(shards[again].ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [*wide.columns, pa.array(shards.ravel()), pa.array(np.tile(np.arange(width) == 0, len(mine))), lists],
+                    ["node", "embedding", "n", "shard", "home", "shards"])
 
-    return distinct.mapInArrow(run, "node bigint, embedding array<double>, n bigint, shard bigint, home boolean")
+    return distinct.mapInArrow(
+        run, "node bigint, embedding array<double>, n bigint, shard bigint, home boolean, shards array<bigint>")
 
 
-def found_links(ids: np.ndarray, counts: np.ndarray, mine: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.Table:
-    """Rows linked with each query, and edges that span what the pairs (row, at) connect."""
+def found_links(ids: np.ndarray, counts: np.ndarray, homes: np.ndarray, mine: np.ndarray, own_counts: np.ndarray,
+                shards: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Rows linked with each vector by the pairs decided here, and edges that span what the pairs (row, at) connect.
+
+    `homes` are the vectors' home shards, `shards` all shards of the queries `mine`.
+    """
     other = ids[at] != mine[row]
     row, at = row[other], at[other]
-    linked = np.bincount(row, counts[at], len(mine)).astype(np.int64)
+    decided = np.zeros(len(row), bool)
+    for low in range(0, len(row), 1_000_000):
+        r, a = row[low:low + 1_000_000], at[low:low + 1_000_000]
+        met_there = (shards[r] == homes[a][:, None]).any(1)
+        decided[low:low + 1_000_000] = ~met_there | (mine[r] < ids[a])
+    linked = np.bincount(row[decided], counts[at[decided]], len(mine)).astype(np.int64)
+    back = np.bincount(at[decided], own_counts[row[decided]], len(ids)).astype(np.int64)
     # The least node that each can reach inside this tile, and so one edge per node.
     every, code = np.unique(np.concatenate([mine[row], ids[at]]), return_inverse=True)
     a, b = code[:len(row)], code[len(row):]
@@ -248,8 +289,8 @@ def found_links(ids: np.ndarray, counts: np.ndarray, mine: np.ndarray, row: np.n
             break
         label = next_
     return pa.table({
-        "a": pa.array(np.concatenate([mine, every])), "b": pa.array(np.concatenate([mine, every[label]])),
-        "linked": pa.array(np.concatenate([linked, np.zeros(len(every), np.int64)]))})
+        "a": pa.array(np.concatenate([mine, ids, every])), "b": pa.array(np.concatenate([mine, ids, every[label]])),
+        "linked": pa.array(np.concatenate([linked, back, np.zeros(len(every), np.int64)]))})
 
 
 def links(distinct: DataFrame, cosine: float = COSINE, per_centre: int = PER_CENTRE, overlap: int = OVERLAP,
@@ -265,23 +306,29 @@ def links(distinct: DataFrame, cosine: float = COSINE, per_centre: int = PER_CEN
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         node = table.column("node").to_numpy()
-        source, target = pruned_edges(_matrix(table.column("embedding").combine_chunks()))
+        source, target, medoids = pruned_edges(_matrix(table.column("embedding").combine_chunks()))
         order = np.argsort(source, kind="stable")
         ends = np.searchsorted(source[order], np.arange(len(node) + 1))
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(node[target[order]]))
-        return pa.table({"node": pa.array(node), "near": lists})
+        first = np.zeros(len(node), bool)
+        first[medoids] = True
+        return pa.table({
+            "node": pa.array(node), "near": lists,
+            "medoid_of": pc.if_else(pa.array(first), table.column("shard").combine_chunks(), pa.scalar(None, pa.int64()))})
 
+    # A vector is in one block of a shard, so the shard names the block it is a medoid of.
     graph = (
-        dealt.groupBy("shard", "block").applyInArrow(build, "node bigint, near array<bigint>")
-        .groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        dealt.groupBy("shard", "block").applyInArrow(build, "node bigint, near array<bigint>, medoid_of bigint")
+        .groupBy("node").agg(
+            F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.collect_list("medoid_of").alias("medoid_of"))
     )
     domain = dealt.join(graph, "node").select(
         "shard", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-        "node", "embedding", "n", "near")
+        "node", "embedding", "n", "shards", F.array_contains("medoid_of", F.col("shard")).alias("medoid"), "near")
     asked = dealt.where("home").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"),
-        "node", "embedding", "n", F.lit(None).cast("array<bigint>").alias("near"))
+        "node", "embedding", "n", "shards", F.lit(False).alias("medoid"), F.lit(None).cast("array<bigint>").alias("near"))
 
     def search(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -297,11 +344,15 @@ def links(distinct: DataFrame, cosine: float = COSINE, per_centre: int = PER_CEN
         flat = lists.flatten().to_numpy()
         target = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
         inside = ids[target] == flat
-        edges, mine, asked_for = (source[inside], target[inside]), node[query], unit[query]
+        edges, mine, asked_for, own_counts = (source[inside], target[inside]), node[query], unit[query], n[query]
+        shards = table.column("shards").combine_chunks()
+        shards = shards.flatten().to_numpy().reshape(len(node), -1)
+        homes, shards = shards[~query][order, 0], shards[query]
+        starts = np.flatnonzero(table.column("medoid").combine_chunks().to_numpy(zero_copy_only=False)[~query][order])
         return pa.concat_tables([
-            found_links(ids, counts, mine[low:low + queries],
-                        *range_search(vectors, edges, asked_for[low:low + queries], cosine))
-            for low in range(0, len(mine), queries)])
+            found_links(ids, counts, homes, mine[part], own_counts[part], shards[part],
+                        *range_search(vectors, edges, starts, asked_for[part], cosine))
+            for part in (slice(low, low + queries) for low in range(0, len(mine), queries))])
 
     found = staged(domain.unionByName(asked).groupBy("shard", "block", "chunk").applyInArrow(
         search, "a bigint, b bigint, linked bigint"))
