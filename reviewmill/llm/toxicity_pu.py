@@ -32,6 +32,7 @@ STEPS = 500
 RATE, L1 = 0.1, 4e-4
 BATCH_POSITIVES, BATCH_UNLABELLED = 256, 1024
 LEAST_SHARE = 0.003
+LEAST_POSITIVE_SHARE = 0.01
 THRESHOLD = 0.5
 _INTERCEPT = 1 << BITS
 
@@ -65,10 +66,13 @@ def _gathered(bounds: np.ndarray, bucket: np.ndarray, rows: np.ndarray) -> tuple
 
 def fit(data: np.ndarray, offsets: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
     """Weights and intercept from rows marked 1 (confirmed toxic) or 0 (unlabelled)."""
-    times = np.zeros(1 << BITS, np.int64)
-    for _, _, _, bucket in _word_sets(data, offsets):
+    times, toxic_times = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for low, _, row, bucket in _word_sets(data, offsets):
         times += np.bincount(bucket, minlength=1 << BITS)
-    often = times >= max(2, LEAST_SHARE * len(positive))
+        toxic_times += np.bincount(bucket[positive[row + low] == 1], minlength=1 << BITS)
+    # A word that is rare over all rows may still mark the few positives.
+    often = (times >= max(2, LEAST_SHARE * len(positive))) | (
+        toxic_times >= max(2, LEAST_POSITIVE_SHARE * (positive == 1).sum()))
     # Hashed again rather than held: most words are too rare to be kept.
     rows, buckets = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for low, _, row, bucket in _word_sets(data, offsets):
@@ -144,7 +148,10 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that are not predicted toxic, all columns kept."""
+    """The rows of `docs` that are not predicted toxic, all columns kept.
+
+    Null and empty texts hold no known word, so they are kept unless most texts are toxic.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights(docs, labels).astype(np.float32))
 
     def run(batches):

@@ -29,8 +29,12 @@ def sampled(ids: DataFrame, most: int) -> DataFrame:
 
 
 def with_texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """The sample's texts. Samples are bounded by their parameters, so they may be broadcast."""
-    return texts_of(docs.where(F.col("doc_id").isNotNull()), "doc_id").join(F.broadcast(ids), "doc_id")
+    """The sample's texts, one row per id and label. Samples are bounded by their parameters, so they may be broadcast.
+
+    Of an id that stands in several rows, the least text is taken, so the bound holds for rows too.
+    """
+    rows = texts_of(docs.where(F.col("doc_id").isNotNull()), "doc_id").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fitted(rows: DataFrame, shards: int, fit: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
