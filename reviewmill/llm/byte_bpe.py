@@ -5,7 +5,9 @@ leaves of a segment tree; a leaf holds the rank of the pair that starts there, a
 node the least (rank, position) below it, so the root is the leftmost pair of minimum
 rank. A merge changes the pair at its own position, at its left live neighbour and at
 the swallowed right one: three point updates of logarithmic cost. Trees of many pieces
-stand side by side in one numpy array and take their next merge together.
+stand side by side in one numpy array and take their next merge together. In the tree of
+one long piece, all pairs of least rank are merged together from left to right, up to the
+first merge that makes a pair of lower rank, so a piece of many MB takes seconds.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from reviewmill.llm.common import list_array, slices, texts_of, utf8
 
-CACHED_PIECES = 300_000
+CACHED_CHUNKS, CACHED_PIECES, CACHED_BYTES = 150_000, 200_000, 16_000_000
+LONG_PIECE = 1024
 _NONE = np.int64((1 << 62) - 1)
+_NO_RANK = np.int32((1 << 31) - 1)
 _CELLS = 1 << 19
 
 
@@ -94,8 +98,11 @@ class ByteBpe:
             self.lengths[rank], self.starts[rank] = len(token), len(held)
             held += token
         self.held = np.frombuffer(bytes(held), np.uint8)
+        # Chunks and pieces that were met lately; both live as long as the worker.
         self.cache: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
+        self.cached_bytes = self.known_bytes = 0
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Each piece's ids as 32-bit integers; a piece that is itself a token gets that id."""
@@ -105,6 +112,8 @@ class ByteBpe:
             rank = self.ranks.get(piece)
             if rank is not None:
                 out[i] = rank.to_bytes(4, "little")
+            elif len(piece) > LONG_PIECE:
+                out[i] = self._merge_long(piece)
             elif piece:
                 by_width.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(i)
         for width, members in by_width.items():
@@ -157,6 +166,64 @@ class ByteBpe:
         flat, ends = ids[kept].astype("<i4").tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
         return [flat[low:high] for low, high in zip([0, *ends], ends)]
 
+    def _merge_long(self, piece: bytes) -> bytes:
+        """Ids of one long piece, from a tree of ranks over its bytes."""
+        n = len(piece)
+        width = 1 << (n - 1).bit_length()
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].astype(np.int32)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        tree = np.full(2 * width, _NO_RANK, np.int32)
+        for low in range(0, n - 1, 1 << 20):
+            high = min(n - 1, low + (1 << 20))
+            tree[width + low:width + high] = self._ranks(ids[low:high], ids[low + 1:high + 1])
+        level = width
+        while level > 1:
+            tree[level // 2:level] = np.minimum(tree[level:2 * level:2], tree[level + 1:2 * level:2])
+            level //= 2
+        while tree[1] != _NO_RANK:
+            rank, at = tree[1], np.ones(1, np.int64)
+            while at[0] < width:  # down to the leaves that hold the least rank, in order
+                at = np.stack([2 * at, 2 * at + 1], axis=1).ravel()
+                at = at[tree[at] == rank]
+            at -= width
+            # Of pairs that overlap, every second one is merged, from the left.
+            place = np.arange(len(at))
+            begins = np.append(True, at[1:] != after[at[:-1]])
+            at = at[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
+            gone = after[at]
+            right = after[gone]
+            # In turn, the left neighbour is merged already and the right one isn't.
+            touching = np.append(False, at[1:] == right[:-1])
+            left = np.where(before[at] >= 0, ids[before[at]], -1)
+            left[touching] = rank
+            inside = right < n
+            lower = np.zeros(len(at), bool)
+            lower[inside] = self._ranks(np.full(inside.sum(), rank), ids[right[inside]]) < rank
+            lower[left >= 0] |= self._ranks(left[left >= 0], np.full((left >= 0).sum(), rank)) < rank
+            if lower.any():
+                stop = int(lower.argmax()) + 1
+                at, gone, right = at[:stop], gone[:stop], right[:stop]
+            ids[at], ids[gone] = rank, -1
+            after[at] = right
+            inside = right < n
+            before[right[inside]] = at[inside]
+            tree[width + gone] = tree[width + at] = _NO_RANK
+            tree[width + at[inside]] = self._ranks(ids[at[inside]], ids[right[inside]])
+            near = before[at]
+            near = near[near >= 0]
+            tree[width + near] = self._ranks(ids[near], ids[after[near]])
+            nodes = np.concatenate([at, gone, near]) + width
+            nodes.sort()
+            while nodes[0] > 1:
+                nodes = nodes >> 1
+                nodes = nodes[np.append(True, nodes[1:] != nodes[:-1])]
+                tree[nodes] = np.minimum(tree[2 * nodes], tree[2 * nodes + 1])
+        return ids[ids >= 0].astype("<i4").tobytes()
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        rank = self.pairs.get(left.astype(np.int64), right.astype(np.int64))
+        return np.where(rank >= 0, rank, _NO_RANK).astype(np.int32)
+
     def _keys(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
         rank = self.pairs.get(left, right)
         return np.where(rank >= 0, rank << 32 | at, _NONE)
@@ -170,11 +237,13 @@ class ByteBpe:
         are matched whole.
         """
         chunked = [self._chunks(t) for t in texts]
-        if len(self.cache) > CACHED_PIECES // 2:  # chunks in use move on from the older half
-            self.cache, self.older = {}, self.cache
-        missing = {c for chunks in chunked for c in chunks if c not in self.cache}
-        self.cache.update((c, self.older[c]) for c in missing if c in self.older)
-        self._learn({c for c in missing if c not in self.cache})
+        if len(self.cache) > CACHED_CHUNKS or self.cached_bytes > CACHED_BYTES:
+            self.cache, self.older, self.cached_bytes = {}, self.cache, 0  # chunks in use move on from the older half
+        missing = set().union(*chunked).difference(self.cache)
+        old = missing.intersection(self.older)
+        self.cache.update((c, self.older[c]) for c in old)
+        self._learn(missing - old)
+        self.cached_bytes += sum(map(len, missing))
         coded = []
         for text, chunks in zip(texts, chunked):
             try:
@@ -189,20 +258,29 @@ class ByteBpe:
         return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
 
     def _whole(self, text: str) -> bytes:
-        return b"".join(self.encode_pieces([p.encode() for p in self.pieces(text)]))
+        pieces = self.pieces(text)
+        return b"".join(map(self._ids(pieces).__getitem__, pieces))
+
+    def _ids(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of the given pieces, and of others met before."""
+        if len(self.known) > CACHED_PIECES or self.known_bytes > CACHED_BYTES:
+            self.known, self.known_bytes = {}, 0
+        new = list(set(pieces).difference(self.known))
+        self.known.update(zip(new, self.encode_pieces([p.encode() for p in new])))
+        self.known_bytes += sum(map(len, new))
+        return self.known
 
     def _learn(self, chunks: set[str]) -> None:
-        order: dict[str, int] = {}
         made = []
         for chunk in chunks:
             edge = chunk[1:] if chunk[:1] == " " else chunk
             if edge != edge.strip() or (chunk and not edge) or "\0" in chunk:
                 self.cache[chunk] = None
             else:
-                made.append((chunk, [order.setdefault(p, len(order)) for p in self.pieces(chunk)]))
-        ids = self.encode_pieces([p.encode() for p in order])
+                made.append((chunk, self.pieces(chunk)))
+        ids = self._ids([p for _, parts in made for p in parts])
         for chunk, parts in made:
-            self.cache[chunk] = b"".join([ids[p] for p in parts])
+            self.cache[chunk] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[p] for p in parts])
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and bytes of the texts that the ids stand for."""
@@ -243,7 +321,6 @@ def _encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...], de
                 if decoded:
                     made.append(_binary(*bpe.decode(bounds, ids)))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), *made], [*keep, *names])
-        bpe.cache, bpe.older = {}, {}  # a worker that waits for other work holds no chunks
 
     names = ["ids", "decoded"] if decoded else ["ids"]
     return rows.mapInArrow(run, f"{schema}, ids array<int>" + ", decoded binary" * decoded)
