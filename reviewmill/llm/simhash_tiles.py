@@ -196,14 +196,16 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` that stay: exactly one of each group, whatever ids repeat or are null.
 
     It is the one with the smallest doc_id (nulls last), of several the one with the least text.
+    Null and empty texts, having no words, are one group; an empty table gives no rows.
+    Columns of any name go along packed, so none can clash.
     """
     # Rows of one key have one text, so one fingerprint and one group.
     key = F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-")), F.lit(" "),
-                   F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    keyed = docs.withColumn("__key", key)
-    made = _labelled(staged(fingerprints(keyed, keep=("doc_id", "__key"))), radius)
-    first = made.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        "__key", F.col("label").alias("__label")).distinct()
+                   F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("key")
+    made = _labelled(staged(fingerprints(docs.select("doc_id", "text", key), keep=("doc_id", "key"))), radius)
+    first = made.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("key", "label").distinct()
     plain = [c for c, kind in docs.dtypes if c != "text" and not kind.startswith(("map", "array", "struct", "variant"))]
-    turn = F.row_number().over(Window.partitionBy("__label").orderBy("text", *plain))
-    return keyed.join(first, "__key").withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)
+    order = [F.col("row").getField(c) for c in ("text", *plain)]
+    turn = F.row_number().over(Window.partitionBy("label").orderBy(*order))
+    packed = docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return packed.join(first, "key").withColumn("turn", turn).where("turn = 1").select("row.*")
