@@ -115,27 +115,31 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     """The documents themselves, each row as often as the mix takes it (0 to `cap` times).
 
     Rows that agree in doc_id, source and size are exchangeable: their copies are summed
-    and dealt out over them.
+    and dealt out over them, in the order of their texts. Null texts have size 0 and are
+    taken as often as others of their source; null ids are ids of their own; an empty table
+    gives none. Columns of any name go along packed, so none can clash.
     """
-    keys = ["doc_id", "source", "__size"]
+    keys = ["doc_id", "source", "size"]
     size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    wanted = mix(docs, weights, share, cap).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("size").alias("__words"), "copies")
-    wanted = wanted.groupBy("__id", "__from", "__words").agg(
-        F.sum("copies").alias("__all"), F.count("*").alias("__rows"))
-    rows = docs.withColumn("__size", size).join(
+    wanted = mix(docs, weights, share, cap).groupBy(*[F.col(c).alias(f"wanted_{c}") for c in keys]).agg(
+        F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    rows = docs.select(
+        "doc_id", "source", size.alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    ).join(
         wanted,
-        F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__from"))
-        & (F.col("__size") == F.col("__words")),
+        F.col("doc_id").eqNullSafe(F.col("wanted_doc_id")) & F.col("source").eqNullSafe(F.col("wanted_source"))
+        & (F.col("size") == F.col("wanted_size")),
     )
-    again = rows.withColumn("__turn", F.when(F.col("__rows") == 1, F.lit(1)).otherwise(
-        F.row_number().over(Window.partitionBy(*keys).orderBy("text"))))
-    extra = (F.col("__turn") <= F.col("__all") % F.col("__rows")).cast("long")
-    times = F.floor(F.col("__all") / F.col("__rows")).cast("long") + extra
+    # Only rows that share their key have to meet.
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("row").getField("text")))
+    extra = (turn <= F.col("copies") % F.col("rows")).cast("long")
+    shared = rows.where("rows > 1").select(
+        "row", (F.floor(F.col("copies") / F.col("rows")).cast("long") + extra).alias("times"))
+    alone = rows.where("rows = 1").select("row", F.col("copies").alias("times"))
     return (
-        again.withColumn("__times", times).where("__times > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
-        .select(*docs.columns)
+        alone.unionByName(shared).where("times > 0")
+        .select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+        .select("row.*")
     )
 
 
