@@ -33,6 +33,8 @@ from reviewmill.session import staged
 
 LENGTH = 400
 GRAM = 250
+# Passages of over 50 words have at least about this many bytes; their anchors are shorter, too.
+PASSAGE, PASSAGE_GRAM = 200, 75
 SORT_ITEMS = 2_000_000
 TEXT_BYTES = 256_000_000
 _PIECE = 1 << 18
@@ -327,7 +329,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     texts = _keyed(docs).where(F.octet_length("text") >= length).select("k0", "k1", "text")
     found = staged(runs(texts, length, gram))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cores = (
+    # Staged, so that both sides of the join come from a shuffle that AQE can split at a hot anchor.
+    cores = staged(
         found.groupBy("core").agg(F.count("*").alias("n"), F.min("run").alias("a"), F.max("run").alias("b"))
         .where("n > 1").select("core", (F.col("a") != F.col("b")).alias("mixed"))
     )
@@ -374,6 +377,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     another, as judged on the input. Null texts are empty; texts shorter than `length` lose
     nothing; a repeated row loses all its bytes if it has `length` of them.
     """
+    if not 0 < gram < length:
+        raise ValueError("the anchor must be shorter than the string")
     spans = repeated_spans(docs, length, gram, most_items, most_bytes)
     rows = _keyed(docs.select("doc_id", *[c for c in keep if c not in ("doc_id", "text")], "text"))
     rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
@@ -406,11 +411,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     return joined.mapInArrow(run, schema)
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`docs` without the repeated bytes (null texts become empty), with n_chars to match."""
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """`docs` without the repeated bytes, with n_chars to match; every row stays.
+
+    Null texts become empty, texts shorter than `length` stay as they are, a repeated row
+    loses its text if that has `length` bytes, and an empty table gives none.
+    """
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("__row"))
-    kept = without_repeats(packed, length, keep=("doc_id", "__row"), as_text=True)
+    kept = without_repeats(packed, length, gram, keep=("doc_id", "__row"), as_text=True)
     made = kept.select("__row.*", F.col("kept").alias("__kept")).withColumnRenamed("__kept", "text")
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
