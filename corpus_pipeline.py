@@ -1,7 +1,11 @@
 """From raw documents to token ids: one operator of `reviewmill.llm` after the other.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents. `run` writes every stage's result under the checkpoint folder and
+columns of documents, whatever other columns there are. No stage drops a row for a null:
+null texts count as empty, have no toxic word, are near copies of one another, hold no
+passage and no ids; null ids and sources are values of their own. Repeated rows are rows of
+their own until near copies are dropped; ties go to the least text; texts of any length are
+worked through whole; empty tables give empty results. `run` writes every stage's result under the checkpoint folder and
 goes on from the written table, so a lost executor costs at most one stage.
 """
 
@@ -28,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the bytes of long strings that occur elsewhere too."""
-    return suffix_dedup.deduplicated(docs)
+    """Every document, without the bytes of long passages that occur elsewhere too."""
+    return suffix_dedup.deduplicated(docs, suffix_dedup.PASSAGE, suffix_dedup.PASSAGE_GRAM)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
