@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.operators.skew import salted_join
+from reviewmill.operators.skew import HOT_ROWS, hot_key_join, hot_keys, salted_join
 from reviewmill.session import ensure_checkpoint_dir
 
 
-def connected_components(edges: DataFrame, group: list[str]) -> DataFrame:
+def connected_components(edges: DataFrame, group: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Smallest node reachable from each node, inside each group.
 
     `edges` has the `group` columns and long columns `a`, `b`. Each round takes
     the smallest label among a node's neighbours, then follows that label to its
     own label, which roughly halves the distance to the root. It ends when no
-    label moves. Every round is checkpointed, so a lost executor costs one round.
+    label moves. Every round is checkpointed, so a lost executor costs one round. Nodes with
+    more than `hot_rows` neighbours are found once, and their edges are spread in every round.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     key = [*group, "node"]
@@ -25,12 +26,15 @@ def connected_components(edges: DataFrame, group: list[str]) -> DataFrame:
         .distinct()
         .checkpoint()
     )
+    degrees = both.groupBy(*group, "other").agg(F.count("*").alias("n"))
+    hot = hot_keys(degrees, [*group, "other"], "n", hot_rows).checkpoint()
+    join = (lambda big, small, keys: big.join(small, keys)) if hot.isEmpty() else (
+        lambda big, small, keys: hot_key_join(big, small, keys, hot, ["node"]))
     labels = both.select(*key).distinct().withColumn("label", F.col("node")).checkpoint()
     while True:
+        of_others = labels.select(*group, F.col("node").alias("other"), "label")
         offered = (
-            both.join(
-                labels.select(*group, F.col("node").alias("other"), "label"), [*group, "other"]
-            )
+            join(both, of_others, [*group, "other"])
             .groupBy(*key).agg(F.min("label").alias("offer"))
         )
         stepped = labels.join(offered, key).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reviewmill.functions import text as tx
@@ -49,9 +49,15 @@ def with_features(rows: DataFrame) -> DataFrame:
     })
 
 
+def checked_seq(rows: DataFrame) -> DataFrame:
+    """`rows`, whose every reader fails at a null `seq`, whichever of them Spark runs first."""
+    missing = F.raise_error(F.lit("feedback row without seq")).cast("long")
+    return rows.withColumn("seq", F.coalesce("seq", missing))
+
+
 def keyed(raw: DataFrame) -> DataFrame:
-    """Usable feedback with features and the review key."""
-    return with_keys(normalise_ids(drop_blank(cleaned(raw))))
+    """Usable feedback with features and the review key; a null `seq` is an error."""
+    return with_keys(checked_seq(normalise_ids(drop_blank(cleaned(raw)))))
 
 
 def with_keys(usable_rows: DataFrame) -> DataFrame:
@@ -101,8 +107,8 @@ def last_batch_wins(rows: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
     before the shuffle. A null `seq` is an error. Rows that repeat both key and
     `seq` count as one: the least of them is kept.
     """
-    missing = F.raise_error(F.lit("feedback row without seq")).cast("long")
-    at = dense_positions(rows.select("review_key", F.coalesce("seq", missing).alias("seq")), "seq")
+    rows = checked_seq(rows)  # both sides of the semi-join read it
+    at = dense_positions(rows.select("review_key", "seq"), "seq")
     batch = F.floor(F.col("position") / batch_size)
     precedence = batch * batch_size + (batch_size - 1 - F.col("position") % batch_size)
     winners = at.groupBy("review_key").agg(F.max_by("seq", precedence).alias("seq"))
@@ -145,20 +151,27 @@ def ingest(raw: DataFrame, products: DataFrame, reviews: DataFrame,
 
 
 def usable(raw: DataFrame) -> DataFrame:
-    """Cleaned rows, staged, as reviews, rejects and counts are all taken from them."""
-    return staged(normalise_ids(drop_blank(cleaned(raw))))
+    """Cleaned rows, staged, as reviews, rejects and counts are all taken from them; a null `seq` is an error."""
+    return staged(checked_seq(normalise_ids(drop_blank(cleaned(raw)))))
 
 
-def load_counts(rows_read: int, rows: DataFrame) -> DataFrame:
-    """One row of counters of a load, from its `usable` rows."""
+def usable_observed(raw: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """`usable` rows, and rows_read, rows_kept and rows_rejected as seen by the pass that writes them."""
+    read, written = Observation(), Observation()
     kept = F.col("nmId").isNotNull()
-    keys = rows.where(kept).select("nmId", tx.review_key(F.col("nmId"), F.col("text")).alias("review_key"))
-    distinct = keys.distinct()
-    totals = rows.agg(
-        F.count_if(kept).alias("rows_kept"), F.count_if(~kept).alias("rows_rejected"))
-    reviews = distinct.agg(F.count("*").alias("reviews"))
-    products = distinct.select("nmId").distinct().agg(F.count("*").alias("products"))
-    return totals.join(reviews).join(products).select(F.lit(rows_read).cast("long").alias("rows_read"), "*")
+    cleaned_rows = cleaned(raw.observe(read, F.count(F.lit(1)).alias("rows_read")))
+    rows = staged(checked_seq(normalise_ids(drop_blank(cleaned_rows))).observe(
+        written, F.count_if(kept).alias("rows_kept"), F.count_if(~kept).alias("rows_rejected")))
+    return rows, {**read.get, **written.get}
+
+
+def load_counts(observed: dict[str, int], rows: DataFrame) -> DataFrame:
+    """One row of counters of a load: what was observed, and the distinct reviews and products of its keyed rows."""
+    distinct = rows.select("nmId", "review_key").distinct()
+    per_product = distinct.groupBy("nmId").agg(F.count("*").alias("n"))
+    return per_product.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("reviews"), F.count("*").alias("products")
+    ).select(*[F.lit(n).cast("long").alias(name) for name, n in observed.items()], "reviews", "products")
 
 
 def counts(raw: DataFrame) -> DataFrame:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewmill.functions.numbers import clip_rating
 from reviewmill.operators.ranks import lowest_per_group
 from reviewmill.operators.skew import salted_join
+from reviewmill.plans import boosting
 from reviewmill.session import staged
 
 # Features and settings of the original model.
@@ -26,6 +25,11 @@ VALIDATION = 0.2
 SEED = 42
 
 PRIOR_ROWS = 10.0
+# Most bins per feature; their product, 524,288, bounds what one fit has to hold.
+BINS = {
+    "review_length": 16, "word_count": 8, "answer_length": 8, "sentiment_score": 8, "has_answer": 2,
+    "sentiment_label_code": 4, "color_code": 8,
+}
 
 
 def prepared(rows: DataFrame) -> DataFrame:
@@ -36,6 +40,10 @@ def prepared(rows: DataFrame) -> DataFrame:
     return rows.withColumns({**numbers, **names})
 
 
+def _code(total: Column, n: Column, mean: float) -> Column:
+    return (total + F.lit(PRIOR_ROWS * mean)) / (n + PRIOR_ROWS)
+
+
 def encodings(train: DataFrame, mean: float) -> dict[str, DataFrame]:
     """Smoothed mean rating per category value, from training rows only.
 
@@ -48,11 +56,35 @@ def encodings(train: DataFrame, mean: float) -> dict[str, DataFrame]:
         sums = rows.groupBy(name).agg(
             F.sum(F.col(TARGET).cast("double")).alias("s"), F.count("*").alias("n")
         )
-        code = (F.col("s") + F.lit(PRIOR_ROWS * mean)) / (F.col("n") + PRIOR_ROWS)
-        result[name] = sums.select(name, code.alias(f"{name}_code"))
+        result[name] = sums.select(name, _code(F.col("s"), F.col("n"), mean).alias(f"{name}_code"))
     return result
 
 
+def ordered(train: DataFrame, mean: float, seed: int = SEED, digits: int = 3) -> DataFrame:
+    """Training rows with category codes from the rows before them in a seeded random order.
+
+    So no row's code has seen its own rating, which a rare value's mean would give away. The
+    order is that of digests of the review key. Sums are taken per (value, digest slice)
+    first and rows are ordered inside their slice only, so a colour with a third of all rows
+    is never sorted in one task.
+    """
+    rating = F.col(TARGET).cast("double")
+    digest = F.md5(F.concat_ws(":", F.lit(f"order:{seed}"), "review_key"))
+    out = prepared(train).withColumn("__digest", digest).withColumn("__slice", F.substring("__digest", 1, digits))
+    earlier = (Window.unboundedPreceding, -1)
+    zero = F.lit(0.0)
+    for name in CATEGORICAL:
+        before = Window.partitionBy(name).orderBy("__slice").rowsBetween(*earlier)
+        starts = out.groupBy(name, "__slice").agg(F.sum(rating).alias("s"), F.count("*").alias("n")).select(
+            name, "__slice", F.coalesce(F.sum("s").over(before), zero).alias("__s"),
+            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"))
+        inside = Window.partitionBy(name, "__slice").orderBy("__digest", "review_key").rowsBetween(*earlier)
+        total = F.col("__s") + F.coalesce(F.sum(rating).over(inside), zero)
+        number = F.col("__n") + F.count("*").over(inside)
+        out = out.join(starts, [name, "__slice"]).withColumn(f"{name}_code", _code(total, number, mean)).drop("__s", "__n")
+    return out.drop("__digest", "__slice")
+
+
 def encoded(rows: DataFrame, codes: dict[str, DataFrame], mean: float) -> DataFrame:
     """Rows with category codes; values not seen in training get the overall mean."""
     out = prepared(rows)
@@ -88,31 +120,44 @@ def split(rows: DataFrame, fraction: float = VALIDATION, seed: int = SEED) -> Da
 
 @dataclass
 class RatingModel:
-    """A fitted regressor with the category codes it was fitted on."""
+    """Fitted trees with the bins and the category codes they were fitted on."""
 
-    trees: GBTRegressionModel
+    trees: boosting.Trees
+    bins: boosting.Bins
     codes: dict[str, DataFrame]
     mean: float
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """review_key and `predicted_rating` in [1, 5], as single precision."""
-        scored = self.trees.transform(_assembled(encoded(rows, self.codes, self.mean)))
-        rating = clip_rating(F.col("prediction")).cast("float").cast("double")
-        return scored.select("review_key", rating.alias("predicted_rating"))
+        cells = encoded(rows, self.codes, self.mean).select("review_key", self.bins.cell().alias("cell"))
+        value = boosting.predictions(F.col("cell"), self.bins, self.trees)
+        return cells.select("review_key", clip_rating(value).cast("float").cast("double").alias("predicted_rating"))
+
+    def importances(self) -> dict[str, float]:
+        """Share of each feature in what the splits gained; the shares sum to 1."""
+        return dict(zip(self.bins.bounds, self.trees.importances(len(self.bins.bounds)).tolist()))
 
     def save(self, path: str) -> None:
-        """Store trees, codes and mean; the mean is written last and marks a complete model."""
-        self.trees.write().overwrite().save(f"{path}/trees")
+        """Store trees, bins, codes and mean; the mean is written last and marks a complete model."""
+        spark = SparkSession.active()
+        trees = self.trees
+        rows = [(i, f, s, g, v, trees.base, None) for i, (f, s, g, v) in enumerate(zip(
+            trees.features.tolist(), trees.thresholds.tolist(), trees.gains.tolist(), trees.leaves.tolist()))]
+        spark.createDataFrame(rows, boosting.TREES).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+        bounds = [(i, name, b) for i, (name, b) in enumerate(self.bins.bounds.items())]
+        spark.createDataFrame(bounds, "place int, feature string, bounds array<double>").coalesce(1).write.mode(
+            "overwrite").parquet(f"{path}/bins")
         for name, table in self.codes.items():
             table.write.mode("overwrite").parquet(f"{path}/codes_{name}")
-        spark = SparkSession.active()
         spark.createDataFrame([(self.mean,)], "mean double").write.mode("overwrite").parquet(f"{path}/mean")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> RatingModel:
         codes = {c: spark.read.parquet(f"{path}/codes_{c}") for c in CATEGORICAL}
         mean = spark.read.parquet(f"{path}/mean").first()[0]
-        return cls(GBTRegressionModel.load(f"{path}/trees"), codes, mean)
+        bounds = sorted(spark.read.parquet(f"{path}/bins").collect(), key=lambda r: r["place"])
+        trees = boosting.Trees.of(spark.read.parquet(f"{path}/trees").collect())
+        return cls(trees, boosting.Bins({r["feature"]: list(r["bounds"]) for r in bounds}), codes, mean)
 
     @staticmethod
     def exists(spark: SparkSession, path: str) -> bool:
@@ -120,25 +165,16 @@ class RatingModel:
         return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
-def _assembled(rows: DataFrame) -> DataFrame:
-    columns = NUMERIC + [f"{c}_code" for c in CATEGORICAL]
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
-
-
-def _features(rows: DataFrame, codes: dict[str, DataFrame], mean: float) -> DataFrame:
-    """Staged, as fitting and evaluation pass over it several times."""
-    return staged(_assembled(encoded(rows, codes, mean)).select(
-        "features", F.col(TARGET).cast("double").alias("label")
-    ))
-
-
-def _fit(rows: DataFrame, rounds: int, depth: int, rate: float) -> RatingModel:
+def _fit(rows: DataFrame, rounds: int, depth: int, rate: float, held_out: DataFrame | None = None) -> tuple[RatingModel, list]:
+    """A model fitted on all `rows`, and its trees with their squared error over the held-out rows."""
     mean = mean_rating(rows)
-    codes = encodings(rows, mean)
-    trees = GBTRegressor(
-        labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=rate, lossType="squared", seed=SEED,
-    ).fit(_features(rows, codes, mean))
-    return RatingModel(trees, codes, mean)
+    codes = {name: staged(table) for name, table in encodings(rows, mean).items()}
+    own = staged(ordered(rows, mean).select(*BINS, TARGET))
+    bins = boosting.Bins.of(own, BINS)
+    cells = boosting.grouped(own, bins, TARGET)
+    others = None if held_out is None else boosting.grouped(encoded(held_out, codes, mean), bins, TARGET)
+    trees = boosting.fitted(cells, bins, rounds, depth, rate, others)
+    return RatingModel(boosting.Trees.of(trees), bins, codes, mean), sorted(trees, key=lambda r: r["tree"])
 
 
 def train(rows: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH,
@@ -146,14 +182,15 @@ def train(rows: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH,
     """Fit on 80 %, pick the best number of rounds on the other 20 %, refit on everything."""
     parts = staged(split(rows))
     fit_rows, held_out = parts.where(~F.col("validation")), parts.where("validation")
-    trial = _fit(fit_rows, rounds, depth, rate)
-    ready = _features(held_out, trial.codes, trial.mean)
-    squared = trial.trees.evaluateEachIteration(ready, "squared")
-    absolute = trial.trees.evaluateEachIteration(ready, "absolute")
-    best = min(range(len(squared)), key=squared.__getitem__)
-    model = _fit(parts, best + 1, depth, rate)
-    return model, {
-        "val_rmse": squared[best] ** 0.5, "val_mae": absolute[best], "best_iteration": best + 1,
+    trial, trees = _fit(fit_rows, rounds, depth, rate, held_out)
+    best = min(trees, key=lambda r: (r["val_squared"], r["tree"]))["tree"] + 1
+    chosen = RatingModel(trial.trees.first(best), trial.bins, trial.codes, trial.mean)
+    value = boosting.predictions(F.col("cell"), chosen.bins, chosen.trees)
+    scored = encoded(held_out, chosen.codes, chosen.mean).select(TARGET, chosen.bins.cell().alias("cell")).select(
+        TARGET, value.alias("predicted"))
+    found = metrics(scored, TARGET, "predicted").first()
+    return _fit(parts, best, depth, rate)[0], {
+        "val_rmse": found["rmse"], "val_mae": found["mae"], "best_iteration": best,
     }
 
 

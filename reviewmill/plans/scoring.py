@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, Normalizer, StringIndexer
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,7 @@ from reviewmill.functions.text import computed_once
 from reviewmill.functions.vectors import argmax, l2_normalise, normalise_label, softmax
 from reviewmill.operators.skew import HOT_ROWS, hot_key_join, hot_keys
 from reviewmill.plans.incremental import pending_embedding, pending_sentiment
-from reviewmill.schema import EMBEDDING_BATCH_SIZE, EMBEDDING_DIM, SENTIMENT_BATCH_SIZE
+from reviewmill.schema import EMBEDDING_BATCH_SIZE, EMBEDDING_DIM, SENTIMENT_BATCH_SIZE, TOKEN_BUDGET
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -42,27 +44,76 @@ def score_once(pending: DataFrame, scorer: Scorer, hot_rows: int = HOT_ROWS) ->
     return joined.drop("digest")
 
 
-def _longest_first(texts: DataFrame) -> DataFrame:
-    """Batches of texts of like length waste least padding; keys keep the results apart."""
-    return texts.sortWithinPartitions(F.char_length("text_clean").desc())
-
-
-def batch_sentiment(make_predict: Callable, labels: list[str],
-                    batch_size: int = SENTIMENT_BATCH_SIZE) -> Scorer:
+def padded_batches(lengths: list[int], rows: int, budget: int) -> Iterator[tuple[int, int]]:
+    """Runs of at most `rows` texts whose number times their longest length is within `budget`; a longer text alone."""
+    low, longest = 0, 0
+    for i, length in enumerate(lengths):
+        if i > low and (i - low == rows or max(longest, length) * (i + 1 - low) > budget):
+            yield low, i
+            low, longest = i, 0
+        longest = max(longest, length)
+    if lengths:
+        yield low, len(lengths)
+
+
+def _attempt(predict: Callable, texts: np.ndarray, low: int, high: int, out: list, errors: list) -> None:
+    """Outputs of texts low to high - 1; a batch that fails is halved until only the failing texts have errors."""
+    try:
+        made = np.asarray(predict(texts[low:high]), np.float32)
+        if len(made) != high - low:
+            raise ValueError(f"{len(made)} results for {high - low} texts")
+        out[low:high] = list(made)
+    except Exception as error:  # the model is the caller's: whatever it raises concerns these texts only
+        if high - low == 1:
+            errors[low] = f"{type(error).__name__}: {error}"
+        else:
+            middle = (low + high) // 2
+            _attempt(predict, texts, low, middle, out, errors)
+            _attempt(predict, texts, middle, high, out, errors)
+
+
+def _called(texts: DataFrame, make_predict: Callable, batch_size: int, budget: int) -> DataFrame:
+    """`texts` with the caller's `raw` output per text, or the `error` its model raised.
+
+    Within a task the longest texts come first, so batches hold texts of like length and
+    waste least padding; a batch is bounded by texts and by padded tokens.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            predict = make_predict()
+        except Exception as error:
+            message = f"{type(error).__name__}: {error}"
+
+            def predict(_):
+                raise RuntimeError(message)
+        for frame in frames:
+            words = frame["text_clean"].to_numpy()
+            out, errors = [None] * len(words), [None] * len(words)
+            for low, high in padded_batches([len(w.split()) for w in words], batch_size, budget):
+                _attempt(predict, words, low, high, out, errors)
+            yield frame.assign(raw=pd.Series(out, dtype=object), error=pd.Series(errors, dtype=object))
+
+    schema = T.StructType([*texts.schema.fields, T.StructField("raw", T.ArrayType(T.FloatType())),
+                           T.StructField("error", T.StringType())])
+    ordered = texts.sortWithinPartitions(F.char_length("text_clean").desc())
+    return ordered.mapInPandas(run, schema)
+
+
+def batch_sentiment(make_predict: Callable, labels: list[str], batch_size: int = SENTIMENT_BATCH_SIZE,
+                    budget: int = TOKEN_BUDGET) -> Scorer:
     """Scorer around a caller's classifier.
 
-    `make_predict` runs once per Python worker and returns a function from an
-    array of texts to a matrix of logits, one column per name in `labels`.
+    `make_predict` runs once per task and returns a function from an array of texts to a
+    matrix of logits, one column per name in `labels`. Texts it fails on get an `error`.
     """
-    logits = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-
     def score(texts: DataFrame) -> DataFrame:
-        scored = _longest_first(texts).withColumn("logits", computed_once(logits("text_clean")))
-        scored = scored.withColumn("probability", computed_once(softmax(F.col("logits"))))
+        scored = _called(texts, make_predict, batch_size, budget)
+        scored = scored.withColumn("probability", computed_once(softmax(F.col("raw"))))
         name = F.element_at(F.array(*[F.lit(x) for x in labels]), argmax(F.col("probability")) + 1)
+        made = F.col("error").isNull()
         return scored.select(
-            *texts.columns, normalise_label(name).alias("sentiment_label"),
-            F.array_max("probability").alias("sentiment_score"),
+            *texts.columns, F.when(made, normalise_label(name)).alias("sentiment_label"),
+            F.when(made, F.array_max("probability")).alias("sentiment_score"), "error",
         )
     return score
 
@@ -94,17 +145,16 @@ def model_sentiment(model: PipelineModel) -> Scorer:
 
 
 def score_sentiment(reviews: DataFrame, review_ml: DataFrame, scorer: Scorer) -> DataFrame:
-    """Label and score of every review that has none yet."""
+    """Label and score of every review that has none yet; with a caller's model also its `error`."""
     return score_once(pending_sentiment(reviews, review_ml), scorer)
 
 
-def batch_embedding(make_predict: Callable, batch_size: int = EMBEDDING_BATCH_SIZE) -> Scorer:
-    """Scorer around a caller's text encoder; vectors are brought to unit length."""
-    encode = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
-
+def batch_embedding(make_predict: Callable, batch_size: int = EMBEDDING_BATCH_SIZE,
+                    budget: int = TOKEN_BUDGET) -> Scorer:
+    """Scorer around a caller's text encoder; vectors are brought to unit length, failing texts get an `error`."""
     def score(texts: DataFrame) -> DataFrame:
-        encoded = _longest_first(texts).withColumn("raw", computed_once(encode("text_clean")))
-        return encoded.select(*texts.columns, l2_normalise(F.col("raw")).alias("embedding"))
+        encoded = _called(texts, make_predict, batch_size, budget)
+        return encoded.select(*texts.columns, l2_normalise(F.col("raw")).alias("embedding"), "error")
     return score
 
 
@@ -127,5 +177,5 @@ def model_embedding(model: PipelineModel) -> Scorer:
 
 
 def embed(reviews: DataFrame, review_ml: DataFrame, scorer: Scorer) -> DataFrame:
-    """Unit vector of every review that has none yet."""
+    """Unit vector of every review that has none yet; with a caller's model also its `error`."""
     return score_once(pending_embedding(reviews, review_ml), scorer)

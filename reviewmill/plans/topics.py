@@ -11,7 +11,7 @@ until what it holds is coherent or too little.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -35,12 +35,13 @@ OTHER = "other"
 
 @dataclass(frozen=True)
 class ClusterSettings:
-    """`eps` is a cosine distance; the first three are fixed values of the original model."""
+    """`eps` and `levels` are cosine distances; the first three are fixed values of the original model."""
 
     min_reviews: int = MIN_CLUSTER_REVIEWS
     min_cluster_size: int = 10
     min_samples: int = 5
     eps: float = 0.25
+    levels: tuple[float, ...] = ()
     cohesion: float = 0.75  # a cell's mean distance to its centre, as a share of the radius
     seed: int = 42
     hot_rows: int = HOT_ROWS
@@ -167,27 +168,25 @@ def _nearest(found: DataFrame) -> DataFrame:
     return found.groupBy(*GROUP, "review_key").agg((packed % (1 << 56)).alias("label"))
 
 
-def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings()) -> DataFrame:
-    """Topic number of every review in a large enough (product, polarity) group.
-
-    `rows` has product_id, polarity, review_key and embedding. A review belongs
-    to a cell when it is within `eps` of the cell's centre. Two cells join when
-    they share such a review and their centres are within half of that, and
-    connected cells make a topic.
-    Reviews in no dense cell may still join through a cell one bit away, as
-    border points. Topics under `min_cluster_size`, reviews whose vector is null,
-    zero or not finite, and all else are -1. Nothing depends on the group's size.
-    Topics are numbered from 0 by size.
-    """
-    s = settings
+def signed_points(rows: DataFrame, s: ClusterSettings) -> DataFrame:
+    """Group, review_key, signature and keys of every review in a large enough group; written once for all levels."""
     ensure_checkpoint_dir(rows.sparkSession)
     vectors = rows.where(F.col("polarity").isNotNull()).select(*GROUP, "review_key", "embedding")
     signed = vectors.select(*GROUP, "review_key", signature(F.col("embedding"), s.seed).alias("sides"))
-    all_points = eligible(signed, s.min_reviews).select(
+    return eligible(signed, s.min_reviews).select(
         *GROUP, "review_key", F.element_at("sides", 1).alias("sig0"),
         F.element_at("sides", 2).alias("sig1"), F.slice("sides", 3, KEYS).alias("keys"),
     ).checkpoint()
-    points = all_points.where(F.col("sig0").isNotNull())
+
+
+def level_clusters(points: DataFrame, s: ClusterSettings) -> DataFrame:
+    """Group, review_key and `label` of every review in a dense cluster at one `eps`, of at least `min_cluster_size`.
+
+    A review belongs to a cell when it is within `eps` of the cell's centre. Two cells join
+    when they share such a review and their centres are within half of that, and connected
+    cells make a cluster. Reviews in no dense cell may still join through a cell one bit
+    away, as border points.
+    """
     members, dense, depths = _members(points, s)
     hot = hot_keys(dense, [*GROUP, "node"], "size", s.hot_rows)
     # A review has at most one cell per key, so its list and its cell pairs are few.
@@ -225,12 +224,114 @@ def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings
         .withColumn("distance", _distance())
         .where(_within(s.radius, flipped=1))
     )
+    return core.unionByName(border).checkpoint()
+
+
+def _cluster_tree(levels: list[DataFrame], s: ClusterSettings) -> DataFrame:
+    """Group, level, label, n, and the `parent` label on the next wider level (null for a root) of every cluster.
 
-    assigned = core.unionByName(border).checkpoint()
+    A cluster's parent is the one that holds most of its reviews.
+    """
+    nodes = []
+    for i, own in enumerate(levels):
+        sizes = own.groupBy(*GROUP, "label").agg(F.count("*").alias("n"))
+        if i + 1 < len(levels):
+            wider = levels[i + 1].withColumnRenamed("label", "parent")
+            shared = own.join(wider, [*GROUP, "review_key"]).groupBy(*GROUP, "label", "parent").agg(
+                F.count("*").alias("common"))
+            best = shared.groupBy(*GROUP, "label").agg(
+                F.min_by("parent", F.struct(-F.col("common"), "parent")).alias("parent"))
+            sizes = sizes.join(best, [*GROUP, "label"], "left")
+        else:
+            sizes = sizes.withColumn("parent", F.lit(None).cast("long"))
+        nodes.append(sizes.withColumn("level", F.lit(i)))
+    tree = nodes[0]
+    for more in nodes[1:]:
+        tree = tree.unionByName(more)
+    return tree.checkpoint()
+
+
+def selected_clusters(tree: DataFrame, eps: tuple[float, ...]) -> DataFrame:
+    """Group, level and label of the clusters with most excess of mass.
+
+    With density 1 / eps, a cluster lives from the level where it parts from others to the
+    level where it falls apart into at least two, and its mass is the sum over the levels
+    between of its reviews there times the rise in density. From the narrowest level up, a
+    cluster is worth the greater of its own mass and the worth of those it falls apart into;
+    from the widest down, the first ones whose own mass is not less are taken. Each step is
+    one aggregate over the clusters of a level.
+    """
+    density = [1 / e for e in eps] + [1.0]
+    key = [*GROUP, "label"]
+    worth: list[DataFrame] = []
+    for i in range(len(eps)):
+        own = F.col("n") * F.lit(density[i] - density[i + 1])
+        here = tree.where(F.col("level") == i)
+        if i == 0:
+            found = here.select(*key, "parent", own.alias("own"), F.lit(0.0).alias("parts"), F.lit(0).alias("children"))
+        else:
+            below = worth[-1].where("parent IS NOT NULL").groupBy(*GROUP, F.col("parent").alias("label")).agg(
+                F.count("*").alias("children"), F.sum(F.greatest("own", "parts")).alias("best"),
+                F.max("own").alias("only_own"), F.max("parts").alias("only_parts"))
+            alone = F.col("children") == 1  # the same cluster, a little narrower
+            found = here.join(below, key, "left").select(
+                *key, "parent",
+                (own + F.when(alone, F.col("only_own")).otherwise(0.0)).alias("own"),
+                F.coalesce(F.when(alone, F.col("only_parts")).otherwise(F.col("best")), F.lit(0.0)).alias("parts"),
+                F.coalesce("children", F.lit(0)).alias("children"))
+        worth.append(found.checkpoint())
+    chosen, above = [], None
+    for i in reversed(range(len(eps))):
+        rows = worth[i]
+        if above is not None:
+            rows = rows.join(above, [*GROUP, "parent"], "left")
+        else:
+            rows = rows.withColumn("open", F.lit(None).cast("string"))
+        # A root, or a part of one that fell apart, may be taken; what lives on within a passed-over one may not.
+        rows = rows.withColumn("open", F.when(F.col("parent").isNull(), "whole").otherwise(F.coalesce("open", F.lit("closed"))))
+        taken = (F.col("open") == "whole") & (F.col("own") >= F.col("parts"))
+        chosen.append(rows.where(taken).select(*key, F.lit(i).alias("level")))
+        state = F.when(taken | (F.col("open") == "closed"), "closed").when(F.col("children") >= 2, "whole").otherwise("passed")
+        above = rows.select(*GROUP, F.col("label").alias("parent"), state.alias("open")).checkpoint()
+    out = chosen[0]
+    for more in chosen[1:]:
+        out = out.unionByName(more)
+    return out.checkpoint()
+
+
+def _over_levels(points: DataFrame, s: ClusterSettings) -> DataFrame:
+    """Group, review_key and label of the reviews of the clusters selected over all levels of `eps`."""
+    eps = tuple(sorted(s.levels))
+    levels = [level_clusters(points, replace(s, eps=e, levels=())) for e in eps]
+    chosen = selected_clusters(_cluster_tree(levels, s), eps)
+    # Cells of different levels may share a name, so the level goes into the label; at most 16 levels.
+    named = F.col("label") * 16 + F.col("level")
+    found = None
+    for i, own in enumerate(levels):
+        hits = salted_join(own, chosen.where(F.col("level") == i), [*GROUP, "label"], ["review_key"]).select(
+            *GROUP, "review_key", "level", named.alias("label"))
+        found = hits if found is None else found.unionByName(hits)
+    # A review that parents by majority left in two selected clusters goes to the narrower one.
+    return found.groupBy(*GROUP, "review_key").agg(F.min_by("label", "level").alias("label")).checkpoint()
+
+
+def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings()) -> DataFrame:
+    """Topic number of every review in a large enough (product, polarity) group.
+
+    `rows` has product_id, polarity, review_key and embedding. Clusters are found on every
+    level of `eps` and selected by excess of mass, so topics of different density stand
+    side by side; without levels, `eps` alone is used. Topics under `min_cluster_size`,
+    reviews whose vector is null, zero or not finite, and all else are -1. Nothing depends
+    on the group's size. Topics are numbered from 0 by size.
+    """
+    s = settings
+    all_points = signed_points(rows, s)
+    points = all_points.where(F.col("sig0").isNotNull())
+    assigned = _over_levels(points, s) if s.levels else level_clusters(points, s)
     final = assigned.groupBy(*GROUP, "label").agg(F.count("*").alias("reviews"))
     # A topic has at least `min_cluster_size` reviews, so one row here stands for as many.
     by_size = Window.partitionBy(*GROUP).orderBy(F.col("reviews").desc(), "label")
-    numbers = final.join(kept, [*GROUP, "label"], "left_semi").select(
+    numbers = final.where(F.col("reviews") >= s.min_cluster_size).select(
         *GROUP, "label", (F.row_number().over(by_size) - 1).alias("topic_no")
     )
     numbered = salted_join(assigned, numbers, [*GROUP, "label"], ["review_key"]).select(
@@ -241,6 +342,15 @@ def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings
     )
 
 
+def unusable(rows: DataFrame) -> DataFrame:
+    """subject (product and polarity) and message of every group with vectors that can't be clustered."""
+    e = F.col("embedding")
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    usable = F.coalesce(finite & F.exists(e, lambda x: x != 0), F.lit(False))
+    return rows.where(F.col("polarity").isNotNull() & ~usable).groupBy(*GROUP).agg(F.count("*").alias("n")).select(
+        F.concat_ws("|", *GROUP).alias("subject"), F.concat("n", F.lit(" vectors are null, zero or not finite")).alias("message"))
+
+
 def topic_sizes(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy(*GROUP, "topic_no").agg(F.count("*").alias("review_count"))
 

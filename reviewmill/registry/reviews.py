@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from reviewmill.functions.numbers import clip_rating
 from reviewmill.functions.vectors import normalise_label, polarity
 from reviewmill.operators import merge
-from reviewmill.plans import alerts, impact, incremental, reports
+from reviewmill.plans import alerts, impact, incremental, jobs, reports
 from reviewmill.registry.base import oracle, query
+from reviewmill.session import shared_folder
 from reviewmill.sources import driver_tables as t
 from reviewmill.sources.feedback import scan_limit
 
@@ -223,12 +224,23 @@ def _(spark, d):
     return reports.negative_reviews(*_both(spark, d))
 
 
-@query("sample_n", oracle("reviews", "review_ml", select="""
+def _sampled(n: int) -> str:
+    return oracle("reviews", "review_ml", select=f"""
     SELECT review_key, product_id, rating, sentiment_label, sentiment_score
     FROM reviews JOIN review_ml USING (review_key) WHERE sentiment_label IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY product_id
-                               ORDER BY md5(concat('42:', review_key)), review_key) <= 15"""))
+                               ORDER BY md5(concat('42:', review_key)), review_key) <= {n}""")
+
+
+@query("sample_n", _sampled(500))
 def _(spark, d):
+    """The sample that the dashboard shows, 500 reviews of a product at most."""
+    return reports.sample_reviews(*_both(spark, d))
+
+
+@query("sample_n_of_15", _sampled(15))
+def _(spark, d):
+    """Fewer than most products have, so that the choice itself is compared."""
     return reports.sample_reviews(*_both(spark, d), n=15)
 
 
@@ -480,6 +492,14 @@ def _ml_view(df):
     )
 
 
+def _merged_ml(spark, d, source, update):
+    """The stored model outputs after a merge that rewrites the buckets it touches."""
+    store = jobs.ReviewStore(spark, shared_folder(spark))
+    store.review_ml.write(t.review_ml(spark, d))
+    store.review_ml.merge(source, update)
+    return _ml_view(store.review_ml.read())
+
+
 @query("ml_upsert_sentiment", _ml_upsert(
     "SELECT review_key, CASE WHEN rating >= 4 THEN 'positive' ELSE 'negative' END AS label, "
     "rating / 8 AS score FROM reviews WHERE rating IS NOT NULL",
@@ -490,7 +510,7 @@ def _(spark, d):
         F.when(F.col("rating") >= 4, "positive").otherwise("negative").alias("sentiment_label"),
         (F.col("rating") / 8).alias("sentiment_score"),
     )
-    return _ml_view(incremental.upsert_sentiment(t.review_ml(spark, d), scored))
+    return _merged_ml(spark, d, scored, ["sentiment_label", "sentiment_score"])
 
 
 @query("ml_upsert_embedding", _ml_upsert(
@@ -499,7 +519,7 @@ def _(spark, d):
     vectors = t.reviews(spark, d).where("has_answer").select(
         "review_key", F.array(F.col("word_count").cast("float")).alias("embedding")
     )
-    return _ml_view(incremental.upsert_embedding(t.review_ml(spark, d), vectors))
+    return _merged_ml(spark, d, vectors, ["embedding"])
 
 
 @query("ml_upsert_predicted", _ml_upsert(
@@ -509,7 +529,7 @@ def _(spark, d):
     predictions = t.reviews(spark, d).where(F.col("rating").isNotNull()).select(
         "review_key", F.col("rating").cast("double").alias("predicted_rating")
     )
-    return _ml_view(incremental.upsert_predicted(t.review_ml(spark, d), predictions))
+    return _merged_ml(spark, d, predictions, ["predicted_rating"])
 
 
 @query("clip_rating", """

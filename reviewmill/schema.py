@@ -15,6 +15,9 @@ MIN_CLUSTER_REVIEWS = 50
 MIN_TOKENS = 3
 MAX_TOKENS = 512
 
+# Padded tokens in a batch of a caller's model.
+TOKEN_BUDGET = 16_384
+
 FEEDBACK = T.StructType([
     T.StructField("seq", T.LongType()),
     T.StructField("nmId", T.LongType()),
@@ -60,6 +63,12 @@ REVIEW_ML = T.StructType([
     T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
 
+# Reviews with their model outputs, as the listings show them.
+LISTING = T.StructType([
+    *[f for f in REVIEWS.fields if f.name != "text_clean"],
+    *[f for f in REVIEW_ML.fields if f.name in ("sentiment_label", "sentiment_score", "topic_id", "predicted_rating")],
+])
+
 TOPICS = T.StructType([
     T.StructField("topic_id", T.StringType()),
     T.StructField("product_id", T.StringType()),
@@ -69,6 +78,12 @@ TOPICS = T.StructType([
     T.StructField("review_count", T.LongType()),
 ])
 
+ERRORS = T.StructType([
+    T.StructField("stage", T.StringType()),
+    T.StructField("subject", T.StringType()),
+    T.StructField("message", T.StringType()),
+])
+
 ALERTS = T.StructType([
     T.StructField("product_id", T.StringType()),
     T.StructField("rule_name", T.StringType()),

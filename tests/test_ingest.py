@@ -118,6 +118,29 @@ def test_position_stands_in_for_an_absent_seq(spark, tmp_path):
     assert (products.count(), reviews.count()) == (3, 30)
 
 
+@pytest.mark.parametrize("fmt", ["json", "csv", "orc", "parquet"])
+def test_positions_of_every_format_are_rows_of_files(spark, tmp_path, fmt):
+    from reviewmill.sources.feedback import FILE_ROWS, read_feedback
+
+    path = str(tmp_path / fmt)
+    plain = spark.range(4000).selectExpr(
+        "id % 3 AS nmId", "concat('text number ', id, repeat(' word', 20)) AS text", "1 AS productValuation",
+        "'red' AS color", "'x' AS answer")
+    options = {"header": True} if fmt == "csv" else {}
+    plain.coalesce(1).write.format(fmt).options(**options).save(path)
+    plain.coalesce(1).write.format(fmt).options(**options).mode("append").save(path)
+    raw = read_feedback(spark, path, fmt, **options)
+    first = {r.seq: r.text.split()[2] for r in raw.collect()}
+    assert first == {f * FILE_ROWS + i: str(i) for f in (0, 1) for i in range(4000)}
+    # Other blocks, read in another order, give the same numbers.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        again = read_feedback(spark, path, fmt, **options)
+        assert {r.seq: r.text.split()[2] for r in again.collect()} == first
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_null_seq_is_an_error(spark):
     raw = spark.createDataFrame([(None, 1, "a b c", 5, None, None)], FEEDBACK)
     with pytest.raises(Exception, match="feedback row without seq"):

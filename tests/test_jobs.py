@@ -49,7 +49,7 @@ def test_caller_model_scores_each_text_once(spark):
 
     pending = incremental.pending_sentiment(reviews(spark, texts), empty)
     scored = scoring.score_once(pending, scorer, hot_rows=100)
-    assert plan(scored).count("ArrowEvalPython") == 1
+    assert plan(scored).count("MapInPandas") == 1
     rows = scored.collect()
     assert seen == [3]
     got = {r.review_key: (r.sentiment_label, r.sentiment_score) for r in rows}
@@ -59,6 +59,53 @@ def test_caller_model_scores_each_text_once(spark):
     assert got["k0000"][1] == pytest.approx(np.exp(4) / np.exp(logits).sum(), rel=1e-6)
 
 
+def test_batches_keep_to_rows_and_padded_tokens():
+    lengths = [900, 500, 40, 40, 39, 38, 10, 10, 10, 10, 1]
+    got = list(scoring.padded_batches(lengths, 4, 100))
+    assert got == [(0, 1), (1, 2), (2, 4), (4, 6), (6, 10), (10, 11)]
+    assert list(scoring.padded_batches([], 4, 100)) == []
+
+
+def failing_logits():
+    def predict(texts):
+        if any("bomb" in t for t in texts):
+            raise ValueError("no bombs")
+        return np.array([[len(t), 0, 0] for t in texts], np.float32)
+    return predict
+
+
+def broken_model():
+    raise OSError("no such model")
+
+
+def test_a_failing_model_leaves_the_other_results(spark, tmp_path):
+    store = jobs.ReviewStore(spark, str(tmp_path / "store"), buckets=2)
+    raw = spark.createDataFrame(
+        [(i, 1, f"some good text {i}" + " bomb" * (i % 10 == 3), 4, None, None) for i in range(40)],
+        "seq long, nmId long, text string, productValuation int, color string, answer string")
+    jobs.ingest_job(store, raw)
+    labels = ["positive", "neutral", "negative"]
+    jobs.sentiment_job(store, scoring.batch_sentiment(failing_logits, labels, batch_size=7))
+    jobs.embedding_job(store, scoring.batch_embedding(broken_model))
+    ml = store.review_ml.read()
+    assert ml.where("sentiment_label = 'positive'").count() == 36 and ml.where("embedding IS NOT NULL").count() == 0
+    found = [tuple(r)[::2] for r in store.errors.read().collect()]
+    assert found.count(("sentiment", "ValueError: no bombs")) == 4
+    assert found.count(("embedding", "RuntimeError: OSError: no such model")) == 40
+    # Reviews that failed are still pending; a sound model takes them, and their errors go.
+    jobs.sentiment_job(store, scoring.batch_sentiment(length_logits, labels))
+    assert store.review_ml.read().where("sentiment_label IS NOT NULL").count() == 40
+    assert {r.stage for r in store.errors.read().collect()} == {"embedding"}
+
+
+def test_groups_with_bad_vectors_are_told(spark):
+    rows = spark.createDataFrame(
+        [("p", "pos", "a", None), ("p", "pos", "b", [0.0, 0.0]), ("q", "neg", "c", [1.0, float("nan")]), ("q", "pos", "d", [1.0, 2.0])],
+        "product_id string, polarity string, review_key string, embedding array<float>")
+    got = {tuple(r) for r in topics.unusable(rows).collect()}
+    assert got == {("p|pos", "2 vectors are null, zero or not finite"), ("q|neg", "1 vectors are null, zero or not finite")}
+
+
 def test_caller_encoder_gives_unit_vectors(spark):
     empty = spark.createDataFrame([], REVIEW_ML)
     rows = scoring.embed(reviews(spark, ["a b a", "b b b"]), empty, scoring.batch_embedding(letter_counts)).collect()

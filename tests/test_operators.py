@@ -129,6 +129,7 @@ def test_connected_components(spark):
     want = sorted((g, n, find((g, n))[1]) for g, n in parent)
     df = spark.createDataFrame(edges, "g string, a bigint, b bigint")
     assert sorted(map(tuple, connected_components(df, ["g"]).collect())) == want
+    assert sorted(map(tuple, connected_components(df, ["g"], hot_rows=2).collect())) == want
 
 
 def test_components_of_nothing(spark):

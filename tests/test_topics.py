@@ -107,6 +107,41 @@ def test_clusters_are_kept_at_any_group_size(spark, clusters, size, strangers):
     assert sum(right.values()) >= 0.95 * clusters * size
 
 
+def test_three_densities_with_one_setting(spark):
+    rng = np.random.default_rng(4)
+    axes = unit(rng.standard_normal((3, DIM)))
+    close = unit(axes[0] + 0.55 * unit(rng.standard_normal(DIM)[None])[0])  # cosine about 0.87
+    kinds = [("tight", axes[0], 0.01, 60), ("twin", close[None][0], 0.01, 50), ("middle", axes[1], 0.05, 70), ("loose", axes[2], 0.1, 90)]
+    rows = [("p", "pos", f"p-pos-{kind}-{i}", unit(centre[None] + noise * rng.standard_normal((1, DIM)))[0].tolist())
+            for kind, centre, noise, size in kinds for i in range(size)]
+    got = found(topics.cluster_reviews(frame(spark, rows), topics.ClusterSettings(levels=(0.06, 0.25, 0.45))))
+    clusters = [v for k, v in got.items() if k[2] >= 0]
+    assert all(len(v) == 1 for v in clusters)
+    assert {next(iter(v)) for v in clusters} == {"tight", "twin", "middle", "loose"} and len(clusters) == 4
+    assert all(sum(v.values()) >= 0.9 * size for kind, _, _, size in kinds for v in clusters if kind in v)
+
+
+def test_most_excess_of_mass_is_selected(spark):
+    """a(100) parts into b(40) and c(50) at once; d(60) lives on as e(55), which parts into f(20) and g(20)."""
+    group = ("p", "pos")
+    rows = [(*group, "a", 100, None, 2), (*group, "b", 40, "a", 1), (*group, "c", 50, "a", 1),
+            (*group, "d", 60, None, 2), (*group, "e", 55, "d", 1), (*group, "f", 20, "e", 0), (*group, "g", 20, "e", 0),
+            (*group, "h", 12, None, 0)]
+    names = {c: i for i, c in enumerate("abcdefgh")}
+    tree = spark.createDataFrame(
+        [(p, q, names[x], n, names.get(up), level) for p, q, x, n, up, level in rows],
+        "product_id string, polarity string, label long, n long, parent long, level int")
+    pick = lambda eps: {("abcdefgh"[r.label], r.level) for r in topics.selected_clusters(tree, eps).collect()}
+    density = lambda e: 1 / e
+    for eps in ((0.1, 0.4, 0.5), (0.3, 0.4, 0.5), (0.3, 0.31, 0.5), (0.05, 0.4, 0.9)):
+        d = [density(e) for e in eps] + [1.0]
+        rise = [d[i] - d[i + 1] for i in range(3)]
+        want = {("h", 0)}
+        want |= {("a", 2)} if 100 * rise[2] >= 90 * rise[1] else {("b", 1), ("c", 1)}
+        want |= {("d", 2)} if 60 * rise[2] + 55 * rise[1] >= 40 * rise[0] else {("f", 0), ("g", 0)}
+        assert pick(eps) == want
+
+
 def test_bad_vectors_are_outliers(spark):
     rows = planted("p", [40, 30], 0)
     bad = [None, [0.0] * DIM, [float("nan")] * DIM, [1.0, 2.0, 3.0], [float("inf")] + [0.0] * (DIM - 1)]
