@@ -420,7 +420,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("__row"))
     kept = without_repeats(packed, length, gram, keep=("doc_id", "__row"), as_text=True)
-    made = kept.select("__row.*", F.col("kept").alias("__kept")).withColumnRenamed("__kept", "text")
-    if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+    made = {
+        "text": F.col("kept"),
+        "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return kept.select(*[
+        (made[c] if c in made else F.col("__row").getField(c)).alias(c) for c in docs.columns])

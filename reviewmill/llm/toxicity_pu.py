@@ -154,9 +154,13 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights(docs, labels).astype(np.float32))
 
+    # Columns go by position meanwhile, so that any name will do.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index('text')}"
+
     def run(batches):
         for batch in batches:
-            offsets, data = utf8(batch.column("text"))
+            offsets, data = utf8(batch.column(text))
             yield batch.filter(pa.array(_scores(data, offsets, shared.value) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
