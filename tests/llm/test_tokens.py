@@ -49,11 +49,51 @@ def test_segment_tree_equals_library(tik):
 
 def test_old_chunks_are_taken_over(tik, monkeypatch):
     monkeypatch.setattr(byte_bpe, "CACHED_PIECES", 4)
+    monkeypatch.setattr(byte_bpe, "CACHED_CHUNKS", 4)
     bpe = ByteBpe(RANKS, P.PATTERN)
     for text in ["a b c d e", "a b f g", "zz a b", "q r s t u v a"]:
         assert bpe.encode_texts([text])[1].tolist() == tik.encode_ordinary(text)
 
 
+def test_long_matches_equal_library(tik):
+    rnd = random.Random(4)
+    bpe = ByteBpe(RANKS, P.PATTERN)
+    for text in ["ab" * 60_000, "a" * 70_001, "".join(rnd.choices("etaoinshr", k=30_000)), "é" * 3000 + "ßa" * 3000]:
+        assert bpe.encode_texts([text])[1].tolist() == tik.encode_ordinary(text)
+    ids = np.frombuffer(bpe._merge_long(b"ab" * 2_000_000), np.int32)  # 4 MB in one match
+    assert b"".join(tik.decode_single_token_bytes(i) for i in ids.tolist()) == b"ab" * 2_000_000
+
+
+def merged_in_turn(piece, ranks):
+    parts = [bytes([b]) for b in piece]
+    while True:
+        best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+        if best is None:
+            return [ranks[p] for p in parts]
+        i = best[1]
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_merges_that_make_lower_ranks(tmp_path, seed):
+    """Ranks in no order of training, so a merge can make a pair that has to go first."""
+    rnd = random.Random(seed)
+    tokens = {bytes([b]) for b in range(256)}
+    for _ in range(60):
+        tokens.add(b"".join(rnd.choices([b"a", b"b", b"c"], k=rnd.randint(2, 6))))
+    shuffled = sorted(tokens - {bytes([b]) for b in range(256)})
+    rnd.shuffle(shuffled)
+    ranks = {**{bytes([b]): b for b in range(256)}, **{t: 256 + i for i, t in enumerate(shuffled)}}
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(r).encode() for t, r in ranks.items()))
+    bpe = ByteBpe(str(path), P.PATTERN)
+    for n in (2, 50, 1500):
+        piece = "".join(rnd.choices("abc", k=n)).encode()
+        want = merged_in_turn(piece, ranks)
+        assert np.frombuffer(bpe._merge_long(piece), np.int32).tolist() == want
+        assert np.frombuffer(bpe._merge([piece], 1 << (n - 1).bit_length())[0], np.int32).tolist() == want
+
+
 def test_encoding_of_awkward_rows(awkward, awkward_rows, nothing, tik):
     want = Counter()
     for doc_id, text, *_ in awkward_rows:
