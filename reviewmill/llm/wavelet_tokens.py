@@ -148,8 +148,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
           shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode every row's whole text and write the ids in ascending doc_id order (null ids first).
 
-    Rows of one doc_id follow in the order of their texts' hashes, so a range can end among
-    them and an id that a third of the rows share, or null, is no single task's work.
+    Rows of one doc_id follow in the order of their texts, and ranges are cut by the texts'
+    beginnings, too, so an id that a third of the rows share, or null, is no single task's work.
 
     Each document ends with `end_id`; null and empty texts consist of it alone. Rows are
     dealt to ranges of doc_id; a range writes a shard whenever `shard_tokens` are together,
@@ -160,9 +160,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
     spark = rows.sparkSession
     kind = rows.schema["doc_id"].dataType.simpleString()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["doc_id", "hash", "number"]
-    marked = rows.withColumn("hash", F.xxhash64("text")).withColumn("number", F.monotonically_increasing_id())
-    ranged = marked.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    marked = rows.withColumn("head", F.substring("text", 1, 64))
+    ranged = marked.repartitionByRange(n, "doc_id", "head").sortWithinPartitions("doc_id", "text")
     ranged = ranged.select("doc_id", "text", F.spark_partition_id().alias("__part"))
     doc_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     schema = pa.schema([
