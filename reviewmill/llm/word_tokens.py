@@ -70,9 +70,10 @@ class WordTokens:
         if len(self.cache) > CACHED_WORDS // 2:  # words in use move on from the older half
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
-        missing = {w for row in words for w in row if w not in cache}
-        cache.update((w, older[w]) for w in missing if w in older)
-        self._learn([w for w in missing if w not in cache])
+        missing = set().union(*words).difference(cache)
+        old = missing.intersection(older)
+        cache.update(zip(old, map(older.__getitem__, old)))
+        self._learn(missing - old)
         return [b"".join(map(cache.__getitem__, row)) for row in words]
 
     @staticmethod
@@ -83,7 +84,7 @@ class WordTokens:
         shown.update((b, chr(256 + i)) for i, b in enumerate(hidden))
         return {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0xC0, 0x250)}
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: set[bytes]) -> None:
         """Ids of new words; Latin ones are lower-cased, split and given to the model directly."""
         rest, hard, plain, letters, tokenize = [], self.hard, self.plain, self.letters, self.tokenizer.model.tokenize
         for raw in words:
@@ -98,7 +99,7 @@ class WordTokens:
                     shown = piece if piece.isascii() else piece.translate(letters)
                     known = plain[piece] = array("I", [t.id for t in tokenize(shown)]).tobytes()
                 ids.append(known)
-            self.cache[raw] = b"".join(ids)
+            self.cache[raw] = ids[0] if len(ids) == 1 else b"".join(ids)
         if len(plain) > CACHED_WORDS // 2:
             plain.clear()
         coded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
