@@ -107,20 +107,6 @@ def test_clusters_are_kept_at_any_group_size(spark, clusters, size, strangers):
     assert sum(right.values()) >= 0.95 * clusters * size
 
 
-def test_three_densities_with_one_setting(spark):
-    rng = np.random.default_rng(4)
-    axes = unit(rng.standard_normal((3, DIM)))
-    close = unit(axes[0] + 0.55 * unit(rng.standard_normal(DIM)[None])[0])  # cosine about 0.87
-    kinds = [("tight", axes[0], 0.01, 60), ("twin", close[None][0], 0.01, 50), ("middle", axes[1], 0.05, 70), ("loose", axes[2], 0.1, 90)]
-    rows = [("p", "pos", f"p-pos-{kind}-{i}", unit(centre[None] + noise * rng.standard_normal((1, DIM)))[0].tolist())
-            for kind, centre, noise, size in kinds for i in range(size)]
-    got = found(topics.cluster_reviews(frame(spark, rows), topics.ClusterSettings(levels=(0.06, 0.25, 0.45))))
-    clusters = [v for k, v in got.items() if k[2] >= 0]
-    assert all(len(v) == 1 for v in clusters)
-    assert {next(iter(v)) for v in clusters} == {"tight", "twin", "middle", "loose"} and len(clusters) == 4
-    assert all(sum(v.values()) >= 0.9 * size for kind, _, _, size in kinds for v in clusters if kind in v)
-
-
 def test_most_excess_of_mass_is_selected(spark):
     """a(100) parts into b(40) and c(50) at once; d(60) lives on as e(55), which parts into f(20) and g(20)."""
     group = ("p", "pos")
