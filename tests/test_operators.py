@@ -80,6 +80,15 @@ def test_salted_join_equals_join(spark, how):
     assert rows(got.select("id", "k", "v")) == rows(big.join(small, "k", how).select("id", "k", "v"))
 
 
+def test_salted_join_does_not_broadcast_a_side_that_is_large_when_repeated(spark, tmp_path):
+    spark.range(300_000).select(F.col("id").alias("k"), F.lit(1).alias("v")).write.parquet(f"{tmp_path}/small")
+    spark.range(1_000).withColumn("k", F.col("id") % 7).write.parquet(f"{tmp_path}/big")
+    small, big = spark.read.parquet(f"{tmp_path}/small"), spark.read.parquet(f"{tmp_path}/big")
+    joined = salted_join(big, small, ["k"], ["id"], "left")  # only `small` could be broadcast
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 1_000
+
+
 def test_hot_key_join_equals_join(spark):
     big = spark.range(1000).select(F.col("id"), F.when(F.col("id") < 700, 0).otherwise(F.col("id")).alias("k"))
     sized = big.groupBy("k").agg(F.count("*").alias("n"))
