@@ -101,6 +101,24 @@ def ngrams(text: Column) -> Column:
     return F.transform(F.array(keyword_tokens(text)), lambda tokens: F.concat(tokens, _pairs(tokens)))[0]
 
 
+def ngram_counts(text: Column) -> Column:
+    """Distinct `term`s of `ngrams` with their number `n`, counted inside the row.
+
+    The sorted terms and the places where a new term starts are bound as lambdas' arguments.
+    """
+    def counts(terms: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda i, k: F.struct(
+            F.get(terms, i).alias("term"),
+            (F.coalesce(F.get(starts, k + 1), F.size(terms)) - i).cast("long").alias("n")))
+
+    def of_sorted(terms: Column) -> Column:
+        places = F.when(F.size(terms) > 0, F.sequence(F.lit(0), F.size(terms) - 1))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+        return F.transform(F.array(starts), lambda found: counts(terms, found))[0]
+
+    return F.transform(F.array(F.sort_array(ngrams(text))), of_sorted)[0]
+
+
 def _pairs(tokens: Column) -> Column:
     return F.transform(
         F.arrays_zip(

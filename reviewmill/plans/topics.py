@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewmill.functions.text import ngrams
+from reviewmill.functions.text import ngram_counts, ngrams
 from reviewmill.operators.components import connected_components
 from reviewmill.operators.skew import HOT_ROWS, hot_key_join, hot_keys, salted_join
 from reviewmill.schema import MIN_CLUSTER_REVIEWS
@@ -355,6 +355,24 @@ def topic_sizes(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy(*GROUP, "topic_no").agg(F.count("*").alias("review_count"))
 
 
+def term_counts(texts: DataFrame, key: str, text: str = "text_clean") -> DataFrame:
+    """`key`, `term` and its number `n` in all texts of the key.
+
+    Terms are counted inside each row. They are grouped over rows only for keys on several
+    rows, which are found from the keys alone.
+    """
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.select(key, F.inline(ngram_counts(F.col(text))))
+
+    sizes = texts.groupBy(key).agg(F.count("*").alias("n"))
+    repeated = staged(sizes.where(F.col("n") > 1).select(F.col(key).alias("__key"), F.lit(True).alias("__repeated")))
+    if repeated.isEmpty():
+        return counted(texts)
+    marked = texts.join(repeated, F.col(key).eqNullSafe(F.col("__key")), "left")
+    several = counted(marked.where(F.col("__repeated"))).groupBy(key, "term").agg(F.sum("n").alias("n"))
+    return counted(marked.where(F.col("__repeated").isNull())).unionByName(several)
+
+
 def term_weights(texts: DataFrame, group: list[str], topic: str, text: str = "text_clean") -> DataFrame:
     """Class-based TF-IDF (Grootendorst 2022) of every term of every topic, -1 included.
 

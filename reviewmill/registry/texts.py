@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.functions import text as tx
 from reviewmill.operators.ranks import dense_positions
-from reviewmill.plans import ingest
+from reviewmill.plans import ingest, topics
 from reviewmill.registry.base import (
     HTML_TAG, KEYED, LETTER, URL, WS, oracle, query, sql_clean, sql_collapse, sql_keywords,
     sql_not_blank, sql_tokens,
@@ -242,5 +242,4 @@ _TERMS = """
 @query("ngrams", oracle(runs=_RUNS, tokens=_TOKENS, terms=_TERMS, select="""
     SELECT doc_id, term, count(*) AS n FROM terms GROUP BY doc_id, term"""))
 def _(spark, d):
-    terms = _documents(spark, d).select("doc_id", F.explode(tx.ngrams(F.col("text"))).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return topics.term_counts(_documents(spark, d), "doc_id", "text")

@@ -158,6 +158,24 @@ def test_keywords_by_brute_force(spark):
     assert {(r.grp, r.topic): r.keywords for r in got.collect()} == want
 
 
+def test_terms_are_counted_in_the_row_unless_keys_repeat(spark):
+    texts = [(1, "red cup red cup"), (2, "one"), (3, None), (4, "1 2"), (None, "cup cup"), (5, "сумка cup")]
+    kind = "id long, text_clean string"
+    def counts(rows):
+        want = Counter()
+        for key, text in rows:
+            words = [w for w in (text or "").split() if len(w) > 2]
+            want.update((key, w) for w in words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+        return {(key, term, n) for (key, term), n in want.items()}
+    single = topics.term_counts(spark.createDataFrame(texts, kind), "id")
+    assert set(map(tuple, single.collect())) == counts(texts)
+    # No hash table over terms that a large partition would have to spill.
+    assert "Aggregate" not in single._jdf.queryExecution().executedPlan().toString()
+    more = [*texts, (1, "cup"), (1, "red cup"), (None, "cup one"), (3, "one")]
+    got = list(map(tuple, topics.term_counts(spark.createDataFrame(more, kind), "id").collect()))
+    assert set(got) == counts(more) and len(got) == len(set(got))
+
+
 def test_topic_table_falls_back_to_other(spark):
     assigned = spark.createDataFrame(
         [("p", "pos", "a", 0), ("p", "pos", "b", -1), ("p", "pos", "c", 1)],
