@@ -19,13 +19,15 @@ def salted_join(
     Rows of `big` with one key go to `salts` partitions, chosen by a hash of the
     `spread` columns; `small` is repeated `salts` times. The salt comes from row
     values, not from a random number, so a retried task gives the same rows.
-    The repeats come from a cross join, as the size estimate counts its rows but not those
-    of an `explode`: a side that is small only before it is repeated never gets broadcast.
+    The repeats come from a hash join with the salts, on a key that is 0 everywhere: the size
+    estimate counts its rows, but not those of an `explode`, so a side that is small only
+    before it is repeated never gets broadcast.
     Sides that measure under the broadcast threshold are still broadcast by AQE.
     """
     left = big.withColumn(_SALT, _salt(spread, salts))
-    numbers = small.sparkSession.range(salts).select(F.col("id").cast("int").alias(_SALT))
-    right = small.crossJoin(numbers)
+    numbers = small.sparkSession.range(salts).select(
+        F.col("id").cast("int").alias(_SALT), F.pmod("id", F.lit(1)).alias("__zero"))
+    right = small.withColumn("__zero", F.pmod(F.xxhash64(*keys), F.lit(1))).join(numbers, "__zero").drop("__zero")
     return left.join(right, [*keys, _SALT], how).drop(_SALT)
 
 
