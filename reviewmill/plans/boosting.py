@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: shrinkage of leaf values in the original booster.
@@ -88,6 +88,17 @@ class Trees:
             out += leaves[leaf]
         return out
 
+    def of_all(self, bins: Bins) -> np.ndarray:
+        """The values of all cells that the bins allow, in their order."""
+        sizes = bins.sizes
+        k = _halves(sizes)
+        grids = [np.indices(part).reshape(len(part), int(np.prod(part))) for part in (sizes[:k], sizes[k:])]
+        out = np.full([grid.shape[1] for grid in grids], self.base)
+        for features, thresholds, leaves in zip(self.features, self.thresholds, self.leaves):
+            high, low = _codes(features, thresholds, grids[0], 0), _codes(features, thresholds, grids[1], k)
+            out += leaves[high[:, None] + low]
+        return out.ravel()
+
     def importances(self, features: int) -> np.ndarray:
         """Share of each feature in the gain of all splits."""
         sums = np.bincount(self.features.ravel(), self.gains.ravel(), features)
@@ -102,46 +113,91 @@ class Trees:
             rows[0]["base"])
 
 
+def _halves(sizes: list[int]) -> int:
+    """Where to part the features, so that the larger of both halves' numbers of cells is least."""
+    return min(range(1, len(sizes) + 1), key=lambda k: max(np.prod(sizes[:k]), np.prod(sizes[k:])))
+
+
+def _codes(features: np.ndarray, thresholds: np.ndarray, digits: np.ndarray, first: int) -> np.ndarray:
+    """The bits of each cell's leaf that the features from `first` on decide, of which `digits` are the bins."""
+    out, depth = np.zeros(digits.shape[1], np.int64), len(features)
+    for level, (f, t) in enumerate(zip(features, thresholds)):
+        if first <= f < first + len(digits):
+            out += (digits[f - first] > t).astype(np.int64) << (depth - 1 - level)
+    return out
+
+
+class _Half:
+    """Distinct vectors of some features' bins, and the part of every leaf that these features decide."""
+
+    def __init__(self, digits: np.ndarray, sizes: list[int], first: int):
+        code = np.zeros(digits.shape[1], np.int64)
+        for d, size in zip(digits, sizes):
+            code = code * size + d
+        _, places, self.of = np.unique(code, return_index=True, return_inverse=True)
+        self.digits, self.sizes, self.first = digits[:, places], sizes, first
+
+    def parts(self, features: list[int], thresholds: list[int]) -> None:
+        self.codes, self.leaf = np.unique(
+            _codes(np.array(features), np.array(thresholds), self.digits, self.first), return_inverse=True)
+        self.member = np.zeros((self.digits.shape[1], len(self.codes)))
+        self.member[np.arange(len(self.leaf)), self.leaf] = 1
+
+    def scores(self, sums: np.ndarray, l2: float) -> list[np.ndarray]:
+        """Per feature the score of every cut; `sums` has residuals and rows per vector and part of the other half."""
+        out, others = [], sums.shape[2]
+        for d, size in zip(self.digits, self.sizes):
+            code = ((self.leaf * size + d)[:, None] * others + np.arange(others)).ravel()
+            shape = (len(self.codes), size, others)
+            g, w = (np.bincount(code, x.ravel(), np.prod(shape)).reshape(shape).cumsum(axis=1) for x in sums)
+            gr, wr = g[:, -1:] - g, w[:, -1:] - w
+            found = (g * g / (w + l2) + gr * gr / (wr + l2)).sum((0, 2))
+            found[-1] = -np.inf  # a cut after a feature's last bin parts nothing
+            out.append(found)
+        return out
+
+
 def boost(digits: np.ndarray, sizes: list[int], n: np.ndarray, total: np.ndarray, rounds: int, depth: int,
           rate: float, l2: float = L2) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]]:
-    """features, thresholds, gains, leaves and start value of one tree after the other."""
+    """features, thresholds, gains, leaves and start value of one tree after the other.
+
+    Cells lie in a matrix: its rows are the vectors of the first features, its columns those of
+    the others. A question concerns rows or columns only, so a leaf is some rows by some columns,
+    and all sums of a level come from two products of the matrix with the leaves' columns and rows.
+    """
     offsets = np.cumsum([0, *sizes])
     feature_of = np.repeat(np.arange(len(sizes)), sizes)
-    last = offsets[1:] - 1  # a cut after a feature's last bin parts nothing
-    columns = (digits + offsets[:-1, None]).astype(np.int64)
-    mean = total / n
+    k = _halves(sizes)
+    high, low = _Half(digits[:k], sizes[:k], 0), _Half(digits[k:], sizes[k:], k)
+    shape = (high.digits.shape[1], low.digits.shape[1])
+    place = high.of * shape[1] + low.of
     base = float(total.sum() / n.sum())
-    predicted = np.full(len(n), base)
-    weights = np.tile(n, len(sizes))
+    matrix = np.stack([np.bincount(place, x, np.prod(shape)).reshape(shape) for x in (total - n * base, n)])
     for _ in range(rounds):
-        residual = n * (mean - predicted)
-        residuals, leaf = np.tile(residual, len(sizes)), np.zeros(len(n), np.int64)
-        features, thresholds, gains, score = [], [], [], residual.sum() ** 2 / (n.sum() + l2)
-        for level in range(depth):
-            code, shape = (columns + leaf * offsets[-1]).ravel(), (1 << level, offsets[-1])
-            cells = (1 << level) * offsets[-1]
-            g = np.bincount(code, residuals, cells).reshape(shape)
-            w = np.bincount(code, weights, cells).reshape(shape)
-            before = lambda x: np.concatenate([np.zeros((len(x), 1)), np.cumsum(x, axis=1)], axis=1)
-            sums, counts = before(g), before(w)
-            start, stop = offsets[feature_of], offsets[feature_of + 1]
-            at = np.arange(offsets[-1]) + 1
-            gl, wl = sums[:, at] - sums[:, start], counts[:, at] - counts[:, start]
-            gr, wr = sums[:, stop] - sums[:, at], counts[:, stop] - counts[:, at]
-            found = (gl * gl / (wl + l2) + gr * gr / (wr + l2)).sum(0)
-            found[last] = -np.inf
+        features, thresholds, gains = [], [], []
+        score = matrix[0].sum() ** 2 / (n.sum() + l2)
+        for _ in range(depth):
+            high.parts(features, thresholds)
+            low.parts(features, thresholds)
+            found = np.concatenate([
+                *high.scores(matrix @ low.member, l2),
+                *low.scores((high.member.T @ matrix).transpose(0, 2, 1), l2)])
             if not np.isfinite(found).any():
                 found[0] = score
-            best = int(found.argmax())
+            top = found.max()
+            best = int(np.argmax(found >= top - 1e-12 * abs(top)))  # the first of equal ones, however they round
             f = int(feature_of[best])
             features.append(f)
             thresholds.append(best - int(offsets[f]))
             gains.append(max(0.0, float(found[best] - score)))
             score = found[best]
-            leaf = 2 * leaf + (digits[f] > thresholds[-1])
-        size = 1 << depth
-        leaves = rate * np.bincount(leaf, residual, size) / (np.bincount(leaf, n, size) + l2)
-        predicted += leaves[leaf]
+        high.parts(features, thresholds)
+        low.parts(features, thresholds)
+        g, w = high.member.T @ matrix @ low.member
+        values = rate * g / (w + l2)
+        leaves = np.zeros(1 << depth)
+        leaves[high.codes[:, None] + low.codes] = values
+        matrix[0] -= matrix[1] * values[high.leaf][:, low.leaf]
         yield np.array(features), np.array(thresholds), np.array(gains), leaves, base
 
 
@@ -178,17 +234,11 @@ def fitted(train: DataFrame, bins: Bins, rounds: int, depth: int, rate: float, h
 
 
 def predictions(cell: Column, bins: Bins, trees: Trees) -> Column:
-    """The trees' value of each row's cell; a task computes each cell once."""
-    known: list[np.ndarray] = []
+    """The trees' value of each row's cell, looked up in the values of all cells, which every task gets."""
+    table = SparkSession.active().sparkContext.broadcast(trees.of_all(bins))
 
     @F.pandas_udf("double")
     def values(cells: pd.Series) -> pd.Series:
-        if not known:
-            known.append(np.full(cells_bound(bins), np.nan))
-        table, numbers = known[0], cells.to_numpy()
-        new = np.unique(numbers[np.isnan(table[numbers])])
-        if len(new):
-            table[new] = trees.predict(bins.digits(new))
-        return pd.Series(table[numbers])
+        return pd.Series(table.value[cells.to_numpy()])
 
     return values(cell)

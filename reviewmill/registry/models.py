@@ -327,7 +327,7 @@ def _in_range():
     SELECT count(*) AS rows, true AS has_rounds, true AS beats_no_model, true AS importances_sum_to_one FROM i"""))
 def _(spark, d):
     """The full number of rounds; on the held-out rows the model errs less than their mean does."""
-    rows = _rating_input(spark, d)
+    rows = staged(_rating_input(spark, d))
     model, scores = rating.train(rows)
     spread = rating.split(rows).where("validation").agg(F.stddev_pop(F.col("rating").cast("double"))).first()[0]
     return rows.agg(
@@ -339,14 +339,14 @@ def _(spark, d):
 @query("rating_predict", oracle("reviews", "review_ml", i=_RATING_INPUT, select="""
     SELECT review_key, true AS in_range FROM i"""))
 def _(spark, d):
-    rows = _rating_input(spark, d)
+    rows = staged(_rating_input(spark, d))
     return rating.train(rows)[0].predict(rows).select("review_key", _in_range())
 
 
 @query("rating_predictions")
 def _(spark, d):
     """The predicted ratings themselves, which SQL can't give; the tests boost row by row in plain Python."""
-    rows = _rating_input(spark, d)
+    rows = staged(_rating_input(spark, d))
     return rating.train(rows)[0].predict(rows)
 
 
@@ -354,7 +354,7 @@ def _(spark, d):
     SELECT review_key, true AS in_range, true AS same_as_before FROM i"""))
 def _(spark, d):
     """Predictions of the stored model, loaded again, equal those of the model in memory."""
-    rows, path = _rating_input(spark, d), shared_folder(spark)
+    rows, path = staged(_rating_input(spark, d)), shared_folder(spark)
     model = rating.train(rows)[0]
     model.save(path)
     before = model.predict(rows).withColumnRenamed("predicted_rating", "before")

@@ -77,6 +77,24 @@ def test_one_cell_and_one_row():
     assert trees.predict(np.zeros((2, 1), np.int32)).tolist() == [4.0]
 
 
+@pytest.mark.parametrize("sizes", [[3], [2, 2], [4, 2, 5], [1, 6, 3, 2]])
+def test_values_of_all_cells_equal_those_of_single_rows(sizes):
+    rng = np.random.default_rng(5)
+    bins = boosting.Bins({f"f{i}": list(range(s - 1)) for i, s in enumerate(sizes)})
+    digits = bins.digits(np.arange(boosting.cells_bound(bins)))
+    some = np.sort(rng.choice(digits.shape[1], max(2, digits.shape[1] // 2), replace=False))
+    labels = rng.integers(1, 6, len(some)).astype(float)
+    trees = trees_of(digits[:, some], sizes, np.ones(len(some)), labels, rounds=5, depth=3, rate=0.3)
+    want = plain_boost(digits[:, some].T.tolist(), labels.tolist(), sizes, 5, 3, 0.3)[-1]
+    assert np.array_equal(trees.of_all(bins), trees.predict(digits))
+    assert np.allclose(trees.of_all(bins)[some], want, atol=1e-9)
+
+
+def test_rows_move_once_for_all_codes(spark):
+    text = rating.ordered(frame(spark), 3.0)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
+
+
 def frame(spark, n=500):
     return spark.range(n).select(
         F.concat(F.lit("k"), "id").alias("review_key"), (F.col("id") % 90).cast("int").alias("review_length"),
