@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewmill.operators.skew import salted_join
+from reviewmill.session import staged
+
 
 def _range_offsets(rows: DataFrame, fan: int) -> DataFrame:
     """Per `__range` its row count `__n` and the rows in lower ranges, `__offset`.
@@ -74,23 +77,21 @@ def lowest_per_group(
     """Flag the rows whose hex `digest` is among the lowest `quota` of their group.
 
     `quota` is an expression over the group size `n`; group columns hold no nulls.
-    The first hex `digits` of the digest put each group into equal slices. Counts
-    per slice give the room left for it, and rows are ranked inside their slice
-    only, so a group of any size is never sorted in one task.
+    The first hex `digits` of the digest put each group into equal slices. Counts per slice
+    give the one slice of a group that its quota ends in; only that one's rows are shuffled
+    and ranked, all others are flagged by their slice. `rows` are read three times.
     """
     sliced = rows.withColumn("__slice", F.conv(F.substring(digest, 1, digits), 16, 10).cast("int"))
     counts = sliced.groupBy(*group, "__slice").agg(F.count("*").alias("__c"))
     by_group = Window.partitionBy(*group)
     running = by_group.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    room = (
-        counts.withColumn("n", F.sum("__c").over(by_group))
-        .withColumn("__room", quota - F.coalesce(F.sum("__c").over(running), F.lit(0)))
-        .select(*group, "__slice", "__room")
-    )
-    # A slice holds 1/16^digits of its group, so neither join nor window has a hot key.
+    room = counts.withColumn("n", F.sum("__c").over(by_group)).withColumn(
+        "__room", quota - F.coalesce(F.sum("__c").over(running), F.lit(0)))
+    cuts = staged(room.where(F.col("__room") < F.col("__c")).groupBy(*group).agg(
+        F.min(F.struct(F.col("__slice").alias("slice"), F.col("__room").alias("room"))).alias("__cut")))
+    marked = salted_join(sliced, cuts, group, [digest], "left")
+    at, cut = F.col("__slice"), F.col("__cut.slice")
     rank = F.row_number().over(Window.partitionBy(*group, "__slice").orderBy(digest))
-    return (
-        sliced.join(room, [*group, "__slice"])
-        .withColumn(out, rank <= F.col("__room"))
-        .select(*rows.columns, out)
-    )
+    whole = marked.where(F.coalesce(at != cut, F.lit(True))).withColumn(out, F.coalesce(at < cut, F.lit(True)))
+    ranked = marked.where(at == cut).withColumn(out, rank <= F.col("__cut.room"))
+    return whole.select(*rows.columns, out).unionByName(ranked.select(*rows.columns, out))

@@ -48,7 +48,8 @@ def encodings(train: DataFrame, mean: float) -> dict[str, DataFrame]:
     """Smoothed mean rating per category value, from training rows only.
 
     A value with n rows and rating sum s gets (s + m * mean) / (n + m). Trees
-    then split on numbers, however many colours there are.
+    then split on numbers, however many colours there are. The tables are staged, as they
+    are read for every row that gets a code.
     """
     rows = prepared(train)
     result = {}
@@ -56,7 +57,7 @@ def encodings(train: DataFrame, mean: float) -> dict[str, DataFrame]:
         sums = rows.groupBy(name).agg(
             F.sum(F.col(TARGET).cast("double")).alias("s"), F.count("*").alias("n")
         )
-        result[name] = sums.select(name, _code(F.col("s"), F.col("n"), mean).alias(f"{name}_code"))
+        result[name] = staged(sums.select(name, _code(F.col("s"), F.col("n"), mean).alias(f"{name}_code")))
     return result
 
 
@@ -66,23 +67,26 @@ def ordered(train: DataFrame, mean: float, seed: int = SEED, digits: int = 3) ->
     So no row's code has seen its own rating, which a rare value's mean would give away. The
     order is that of digests of the review key. Sums are taken per (value, digest slice)
     first and rows are ordered inside their slice only, so a colour with a third of all rows
-    is never sorted in one task.
+    is never sorted in one task. Rows move once, by their slice, for all categories.
     """
     rating = F.col(TARGET).cast("double")
     digest = F.md5(F.concat_ws(":", F.lit(f"order:{seed}"), "review_key"))
-    out = prepared(train).withColumn("__digest", digest).withColumn("__slice", F.substring("__digest", 1, digits))
+    rows = prepared(train).withColumn("__slice", F.substring(digest, 1, digits))
+    out = rows.repartition("__slice").withColumn("__digest", digest)
     earlier = (Window.unboundedPreceding, -1)
     zero = F.lit(0.0)
+    for name in CATEGORICAL:
+        inside = Window.partitionBy(name, "__slice").orderBy("__digest", "review_key").rowsBetween(*earlier)
+        out = out.withColumns({
+            f"__s_{name}": F.coalesce(F.sum(rating).over(inside), zero), f"__n_{name}": F.count("*").over(inside)})
     for name in CATEGORICAL:
         before = Window.partitionBy(name).orderBy("__slice").rowsBetween(*earlier)
-        starts = out.groupBy(name, "__slice").agg(F.sum(rating).alias("s"), F.count("*").alias("n")).select(
+        starts = staged(rows.groupBy(name, "__slice").agg(F.sum(rating).alias("s"), F.count("*").alias("n")).select(
             name, "__slice", F.coalesce(F.sum("s").over(before), zero).alias("__s"),
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"))
-        inside = Window.partitionBy(name, "__slice").orderBy("__digest", "review_key").rowsBetween(*earlier)
-        total = F.col("__s") + F.coalesce(F.sum(rating).over(inside), zero)
-        number = F.col("__n") + F.count("*").over(inside)
-        out = out.join(starts, [name, "__slice"]).withColumn(f"{name}_code", _code(total, number, mean)).drop("__s", "__n")
-    return out.drop("__digest", "__slice")
+            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n")))
+        code = _code(F.col("__s") + F.col(f"__s_{name}"), F.col("__n") + F.col(f"__n_{name}"), mean)
+        out = out.join(starts, [name, "__slice"]).withColumn(f"{name}_code", code).drop("__s", "__n")
+    return out.drop("__digest", "__slice", *[f"__{x}_{name}" for name in CATEGORICAL for x in "sn"])
 
 
 def encoded(rows: DataFrame, codes: dict[str, DataFrame], mean: float) -> DataFrame:
@@ -110,7 +114,7 @@ def split(rows: DataFrame, fraction: float = VALIDATION, seed: int = SEED) -> Da
     If some rating has fewer than two rows the share is taken of all rows at once.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "review_key"))
-    marked = staged(rows.withColumn("__digest", digest))  # counted first, then ranked
+    marked = staged(rows).withColumn("__digest", digest)  # counted first, then ranked
     quota = F.ceil(F.col("n") * fraction)
     if (min_class_count(marked).first()[0] or 0) >= 2:
         return lowest_per_group(marked, [TARGET], "__digest", quota, "validation").drop("__digest")
@@ -168,7 +172,7 @@ class RatingModel:
 def _fit(rows: DataFrame, rounds: int, depth: int, rate: float, held_out: DataFrame | None = None) -> tuple[RatingModel, list]:
     """A model fitted on all `rows`, and its trees with their squared error over the held-out rows."""
     mean = mean_rating(rows)
-    codes = {name: staged(table) for name, table in encodings(rows, mean).items()}
+    codes = encodings(rows, mean)
     own = staged(ordered(rows, mean).select(*BINS, TARGET))
     bins = boosting.Bins.of(own, BINS)
     cells = boosting.grouped(own, bins, TARGET)

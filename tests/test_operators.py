@@ -121,6 +121,21 @@ def test_lowest_per_group(spark):
         assert rows(got) == sorted(want, key=repr)
 
 
+def test_lowest_per_group_ranks_one_slice_of_a_group(spark, tmp_path):
+    data = [("a", f"{i % 16:x}{i:031x}") for i in range(320)] + [("b", "0" * 32), ("b", "0" * 32)]
+    spark.createDataFrame(data, "g string, h string").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    for share, count in ((0.3, 96), (0.25, 80), (0.0, 0), (1.0, 320)):
+        got = lowest_per_group(df, ["g"], "h", F.ceil(F.col("n") * share), "low", digits=1)
+        chosen = sorted(r.h for r in got.where("low AND g = 'a'").collect())
+        assert chosen == sorted(h for g, h in data if g == "a")[:count] and got.count() == 322
+    half = lowest_per_group(df, ["g"], "h", F.ceil(F.col("n") * 0.5), "low", digits=1)
+    assert half.where("low AND g = 'b'").count() == 1  # equal digests do not go over the quota
+    # Rows outside the slice that a quota ends in need no shuffle.
+    text = half._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in text and text.count("Exchange hashpartitioning") == 1
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     edges = [("g", i, i + 1) for i in range(100, 160)] + [("h", 1, 101)]
