@@ -111,11 +111,11 @@ def _(spark, d):
     rows = _documents(spark, d)
     scorer = scoring.model_sentiment(_sentiment_model(spark, d, rows))
     scored = staged(scoring.score_sentiment(rows, _no_outputs(rows), scorer).join(
-        rows.select("review_key", "text_clean"), "review_key"))
+        rows.select("review_key", F.sha2("text_clean", 256).alias("digest")), "review_key"))
     valid = F.col("sentiment_label").isin("positive", "neutral", "negative") & F.col("sentiment_score").between(0, 1)
-    per_text = scored.groupBy("text_clean").agg(
+    per_text = scored.groupBy("digest").agg(
         (F.count_distinct("sentiment_label", "sentiment_score") == 1).alias("same_for_copies"))
-    return scored.join(per_text, "text_clean").select("review_key", valid.alias("valid"), "same_for_copies")
+    return scored.join(per_text, "digest").select("review_key", valid.alias("valid"), "same_for_copies")
 
 
 @query("embed_text", oracle(p=_PENDING, select="""
