@@ -21,6 +21,7 @@ from reviewmill.plans.incremental import pending_embedding, pending_sentiment
 from reviewmill.schema import EMBEDDING_BATCH_SIZE, EMBEDDING_DIM, SENTIMENT_BATCH_SIZE, TOKEN_BUDGET
 
 Scorer = Callable[[DataFrame], DataFrame]
+PIECE_CHARS = 2 << 20
 
 
 def distinct_texts(pending: DataFrame) -> DataFrame:
@@ -72,11 +73,22 @@ def _attempt(predict: Callable, texts: np.ndarray, low: int, high: int, out: lis
             _attempt(predict, texts, middle, high, out, errors)
 
 
+def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows with at most `PIECE_CHARS` in all; a larger row alone."""
+    ends, low = np.cumsum(sizes), 0
+    while low < len(sizes):
+        high = int(np.searchsorted(ends, ends[low] - sizes[low] + PIECE_CHARS, "right"))
+        yield low, max(high, low + 1)
+        low = max(high, low + 1)
+
+
 def _called(texts: DataFrame, make_predict: Callable, batch_size: int, budget: int) -> DataFrame:
     """`texts` with the caller's `raw` output per text, or the `error` its model raised.
 
     Within a task the longest texts come first, so batches hold texts of like length and
-    waste least padding; a batch is bounded by texts and by padded tokens.
+    waste least padding; a batch is bounded by texts and by padded tokens. A frame, which Spark
+    bounds by bytes, is scored and given back in pieces of `PIECE_CHARS`, so Python does not
+    hold its texts a second and a third time.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
@@ -87,11 +99,15 @@ def _called(texts: DataFrame, make_predict: Callable, batch_size: int, budget: i
             def predict(_):
                 raise RuntimeError(message)
         for frame in frames:
-            words = frame["text_clean"].to_numpy()
-            out, errors = [None] * len(words), [None] * len(words)
-            for low, high in padded_batches([len(w.split()) for w in words], batch_size, budget):
-                _attempt(predict, words, low, high, out, errors)
-            yield frame.assign(raw=pd.Series(out, dtype=object), error=pd.Series(errors, dtype=object))
+            for begin, end in _pieces(np.array([len(w) for w in frame["text_clean"]], np.int64)):
+                part = frame.iloc[begin:end]
+                words = part["text_clean"].to_numpy()
+                out, errors = [None] * len(words), [None] * len(words)
+                for low, high in padded_batches([len(w.split()) for w in words], batch_size, budget):
+                    _attempt(predict, words, low, high, out, errors)
+                yield part.assign(
+                    raw=pd.Series(out, part.index, dtype=object), error=pd.Series(errors, part.index, dtype=object))
+            frame = part = words = None  # the next frame is read while these names still hold this one
 
     schema = T.StructType([*texts.schema.fields, T.StructField("raw", T.ArrayType(T.FloatType())),
                            T.StructField("error", T.StringType())])
@@ -119,8 +135,13 @@ def batch_sentiment(make_predict: Callable, labels: list[str], batch_size: int =
 
 
 def train_sentiment(labelled: DataFrame, features: int = 1 << 18, max_iter: int = 50) -> PipelineModel:
-    """Bag-of-words classifier on `text_clean` and `sentiment_label`, for when no model is given."""
-    rows = labelled.select("sentiment_label", F.split("text_clean", " ").alias("tokens"))
+    """Bag-of-words classifier on `text_clean` and `sentiment_label`, for when no model is given.
+
+    Every partition sends its whole gradient (`features` by labels) in every iteration, so
+    there are no more partitions than cores, however many rows there are.
+    """
+    rows = labelled.select("sentiment_label", F.split("text_clean", " ").alias("tokens")).coalesce(
+        labelled.sparkSession.sparkContext.defaultParallelism)
     index = StringIndexer(inputCol="sentiment_label", outputCol="target", stringOrderType="alphabetAsc")
     index_model = index.fit(rows)
     stages = [

@@ -278,6 +278,26 @@ SF = "/root/testdata/sf0.001"
 QUERIES = queries()
 
 
+def test_a_frame_is_scored_in_pieces(monkeypatch):
+    monkeypatch.setattr(scoring, "PIECE_CHARS", 10)
+    assert list(scoring._pieces(np.array([4, 6, 1, 30, 0, 9, 2]))) == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7)]
+    assert list(scoring._pieces(np.array([], int))) == []
+
+
+def test_gradients_are_no_more_than_cores(spark):
+    names = ["positive", "negative", "neutral"]
+    rows = spark.createDataFrame(
+        [(names[i % 3], f"word{i % 3} text{i % 5}") for i in range(300)],
+        "sentiment_label string, text_clean string").repartition(40)
+    tracker, job = spark.sparkContext.statusTracker(), "gradients"
+    spark.sparkContext.setJobGroup(job, job)
+    scoring.train_sentiment(rows, features=16, max_iter=2)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    infos = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(job) for s in tracker.getJobInfo(j).stageIds]
+    passes = [i.numTasks for i in infos if i and i.name.startswith("treeAggregate")]
+    assert passes and max(passes) <= spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("name", [
     "alerts_all", "overview_stats", "impact_summary", "ingest_reviews", "rating_gap", "pending_sentiment",
     "topics_replace", "ml_upsert_sentiment", "stratified_split", "topic_keywords", "gap_histogram",
