@@ -388,15 +388,15 @@ def term_weights(texts: DataFrame, group: list[str], topic: str, text: str = "te
     per_group = per_class.groupBy(*group).agg(F.avg("class_terms").alias("mean_terms")) if group else (
         per_class.agg(F.avg("class_terms").alias("mean_terms"))
     )
-    per_term = counted.groupBy(*group, "term").agg(F.sum("tf").alias("term_tf"))
     if group:
         scale = per_class.join(per_group, group)
     else:
         scale = per_class.withColumn("mean_terms", per_group.scalar())
-    # One topic may hold most terms, so its scale row is spread; a term's row is not hot,
-    # as a term occurs once per topic here.
-    joined = salted_join(counted.join(per_term, [*group, "term"]), scale, classes, ["term"])
-    weight = F.col("tf") / F.col("class_terms") * F.log(1 + F.col("mean_terms") / F.col("term_tf"))
+    # One topic may hold most terms, so its scale row is spread; staged, as the few rows of most
+    # scales then need no shuffle of the terms. A term is not hot, as it occurs once per topic here.
+    joined = salted_join(counted, staged(scale), classes, ["term"])
+    term_tf = F.sum("tf").over(Window.partitionBy(*group, "term"))
+    weight = F.col("tf") / F.col("class_terms") * F.log(1 + F.col("mean_terms") / term_tf)
     return joined.select(*classes, "term", weight.alias("weight"))
 
 

@@ -158,6 +158,12 @@ def test_keywords_by_brute_force(spark):
     assert {(r.grp, r.topic): r.keywords for r in got.collect()} == want
 
 
+def test_counted_terms_move_once_for_their_weights(spark):
+    rows = spark.createDataFrame([("g", i % 3, f"red cup{i % 4} lid") for i in range(40)], "grp string, topic int, text_clean string")
+    text = topics.term_weights(rows, ["grp"], "topic")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
+
+
 def test_terms_are_counted_in_the_row_unless_keys_repeat(spark):
     texts = [(1, "red cup red cup"), (2, "one"), (3, None), (4, "1 2"), (None, "cup cup"), (5, "сумка cup")]
     kind = "id long, text_clean string"
