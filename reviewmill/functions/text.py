@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,25 +28,44 @@ KEYWORD = (
 
 
 def strip_nul(df: DataFrame) -> DataFrame:
-    """Remove NUL characters from every string column."""
+    """Remove NUL characters from every string column; values without one are not rewritten."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({n: F.translate(F.col(n), "\x00", "") for n in names})
+    return df.withColumns({
+        n: F.when(F.contains(F.col(n), F.lit("\x00")), F.translate(F.col(n), "\x00", "")).otherwise(F.col(n))
+        for n in names})
+
+
+def _bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """`made` of a value that it uses several times; a lambda's argument is computed once."""
+    return F.transform(F.array(value), made)[0]
 
 
 def strip_html(text: Column) -> Column:
-    return F.regexp_replace(text, HTML_TAG, " ")
+    """Tags become a space; texts without a `<` are not searched by the pattern."""
+    return _bound(text, lambda t: F.when(
+        F.contains(t, F.lit("<")), F.regexp_replace(t, HTML_TAG, " ")).otherwise(t))
 
 
 def strip_urls(text: Column) -> Column:
-    return F.regexp_replace(text, URL, " ")
+    """Links become a space; texts that hold no beginning of one are not searched by the pattern."""
+    return _bound(text, lambda t: F.when(
+        F.contains(t, F.lit("://")) | F.contains(F.lower(t), F.lit("www.")),
+        F.regexp_replace(t, URL, " ")).otherwise(t))
 
 
-def collapse_ws(text: Column) -> Column:
-    """Every whitespace run becomes one space; none at either end.
+def tokens(text: Column) -> Column:
+    """The parts of a text between whitespace.
 
-    Single spaces, nearly all runs, are not matched and so not rewritten.
+    Other whitespace becomes a space first. Splitting at a literal space is several times
+    cheaper than at the class, whose many ranges are tried for non-ASCII characters only here.
     """
-    return F.trim(F.regexp_replace(text, f"(?: [{WS}]|[{WS_NOT_SPACE}])[{WS}]*", " "))
+    spaced = F.regexp_replace(text, f"[^ -~](?<=[{WS_NOT_SPACE}])", " ")
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def collapse_ws(text: Column) -> Column:
+    """Every whitespace run becomes one space; none at either end."""
+    return F.array_join(tokens(text), " ")
 
 
 def truncate_tokens(text: Column, limit: int = MAX_TOKENS) -> Column:
@@ -60,8 +81,7 @@ def clean_text(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     """Number of whitespace-separated tokens of a raw text; null counts as empty."""
-    parts = F.split(F.coalesce(text, F.lit("")), f"[{WS}]+")
-    return F.size(F.filter(parts, lambda part: part != ""))
+    return F.size(tokens(F.coalesce(text, F.lit(""))))
 
 
 def has_enough_tokens(clean: Column, least: int = MIN_TOKENS) -> Column:
@@ -119,11 +139,13 @@ def ngram_counts(text: Column) -> Column:
     return F.transform(F.array(F.sort_array(ngrams(text))), of_sorted)[0]
 
 
-def _pairs(tokens: Column) -> Column:
-    return F.transform(
-        F.arrays_zip(
-            F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("a"),
-            F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("b"),
-        ),
-        lambda p: F.concat_ws(" ", p["a"], p["b"]),
+def neighbours(tokens: Column) -> Column:
+    """Structs `a`, `b` of each token and the next."""
+    return F.arrays_zip(
+        F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("a"),
+        F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("b"),
     )
+
+
+def _pairs(tokens: Column) -> Column:
+    return F.transform(neighbours(tokens), lambda p: F.concat_ws(" ", p["a"], p["b"]))

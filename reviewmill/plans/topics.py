@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewmill.functions.text import ngram_counts, ngrams
+from reviewmill.functions.text import keyword_tokens, neighbours, ngram_counts, ngrams
 from reviewmill.operators.components import connected_components
 from reviewmill.operators.skew import HOT_ROWS, hot_key_join, hot_keys, salted_join
 from reviewmill.schema import MIN_CLUSTER_REVIEWS
@@ -385,26 +385,83 @@ def term_weights(texts: DataFrame, group: list[str], topic: str, text: str = "te
     terms = texts.select(*classes, F.explode(ngrams(F.col(text))).alias("term"))
     counted = staged(terms.groupBy(*classes, "term").agg(F.count("*").alias("tf")))
     per_class = counted.groupBy(*classes).agg(F.sum("tf").alias("class_terms"))
-    per_group = per_class.groupBy(*group).agg(F.avg("class_terms").alias("mean_terms")) if group else (
-        per_class.agg(F.avg("class_terms").alias("mean_terms"))
-    )
+    return _weighted(counted, _scale(per_class, group), group, classes)
+
+
+def _scale(per_class: DataFrame, group: list[str]) -> DataFrame:
+    """`class_terms` of every topic and `mean_terms` of its group, staged."""
     if group:
-        scale = per_class.join(per_group, group)
-    else:
-        scale = per_class.withColumn("mean_terms", per_group.scalar())
+        means = per_class.groupBy(*group).agg(F.avg("class_terms").alias("mean_terms"))
+        return staged(per_class.join(means, group))
+    return staged(per_class.withColumn("mean_terms", per_class.agg(F.avg("class_terms")).scalar()))
+
+
+def _weighted(counted: DataFrame, scale: DataFrame, group: list[str], classes: list[str]) -> DataFrame:
     # One topic may hold most terms, so its scale row is spread; staged, as the few rows of most
     # scales then need no shuffle of the terms. A term is not hot, as it occurs once per topic here.
-    joined = salted_join(counted, staged(scale), classes, ["term"])
-    term_tf = F.sum("tf").over(Window.partitionBy(*group, "term"))
+    joined = salted_join(counted, scale, classes, ["term"])
+    # Rows are sorted by the term first: its first bytes decide, those of a group are all alike.
+    term_tf = F.sum("tf").over(Window.partitionBy("term", *group))
     weight = F.col("tf") / F.col("class_terms") * F.log(1 + F.col("mean_terms") / term_tf)
     return joined.select(*classes, "term", weight.alias("weight"))
 
 
+def _often(words: DataFrame, scale: DataFrame, group: list[str], classes: list[str], top: int) -> DataFrame:
+    """Words of a group that alone or in a pair may be among the `top` heaviest terms of a topic.
+
+    A weight grows with tf and falls with the term's number in the group, which lies between tf
+    and the sum of the topics' most frequent words. So the `top` most frequent words weigh at
+    least `floor`, and what would not reach it were it in this topic alone is left out; a pair is
+    not more frequent than its words. Topics of fewer words than `top` keep all.
+    """
+    levels = words.groupBy(*classes, "tf").agg(F.count("*").alias("n"))
+    falling = Window.partitionBy(*classes).orderBy(F.col("tf").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    first = levels.withColumn("before", F.coalesce(F.sum("n").over(falling), F.lit(0))).where(F.col("before") < top)
+    ends = first.groupBy(*classes).agg(
+        F.min("tf").alias("least"), F.max("tf").alias("most"), F.sum("n").alias("found"))
+    most = ends.groupBy(*group).agg(F.sum("most").alias("term_most"))
+    ends = (ends.join(most, group) if group else ends.crossJoin(most)).join(scale, classes)
+
+    def weight(tf: Column, term_tf: Column) -> Column:
+        return tf / F.col("class_terms") * F.log(1 + F.col("mean_terms") / term_tf)
+
+    floor = F.when(F.col("found") >= top, weight(F.col("least"), F.col("term_most"))).otherwise(F.lit(0.0))
+    floors = staged(ends.select(*classes, "class_terms", "mean_terms", floor.alias("floor")))
+    best = weight(F.col("tf"), F.col("tf")) * (1 + 1e-9) + 1e-11  # weights are ranked to 12 digits
+    return staged(salted_join(words, floors, classes, ["term"]).where(best >= F.col("floor")).select(
+        *group, "term").distinct())
+
+
+def _leading_terms(texts: DataFrame, group: list[str], topic: str, text: str, top: int) -> tuple[DataFrame, DataFrame]:
+    """Counts of all terms that may be among the `top` of a topic, in every topic, and the scale of all terms.
+
+    Words are counted first. Pairs of words, of which there are many more, are only counted if
+    both words are frequent enough, unless that leaves out little.
+    """
+    classes = [*group, topic]
+    rows = staged(texts.select(*classes, keyword_tokens(F.col(text)).alias("tokens")))
+    terms = F.size("tokens") + F.greatest(F.size("tokens") - 1, F.lit(0))
+    per_class = rows.groupBy(*classes).agg(F.sum(terms).alias("class_terms")).where(F.col("class_terms") > 0)
+    scale = _scale(per_class, group)
+    words = staged(rows.select(*classes, F.explode("tokens").alias("term")).groupBy(*classes, "term").agg(
+        F.count("*").alias("tf")))
+    pairs = rows.select(*classes, F.inline(neighbours(F.col("tokens"))))
+    often = _often(words, scale, group, classes, top)
+    if often.count() * 4 < words.count():
+        words = words.join(often, [*group, "term"], "left_semi")
+        for side in ("a", "b"):
+            pairs = pairs.join(often.withColumnRenamed("term", side), [*group, side], "left_semi")
+    counted = pairs.groupBy(*classes, "a", "b").agg(F.count("*").alias("tf")).select(
+        *classes, F.concat_ws(" ", "a", "b").alias("term"), "tf")
+    return words.unionByName(counted), scale
+
+
 def topic_keywords(texts: DataFrame, group: list[str], topic: str, text: str = "text_clean",
                    top: int = 10) -> DataFrame:
-    """The `top` heaviest terms of every topic in one text; ties in term order."""
-    weights = term_weights(texts, group, topic, text)
+    """The `top` heaviest terms of every topic in one text, by `term_weights`; ties in term order."""
     classes = [*group, topic]
+    counted, scale = _leading_terms(texts, group, topic, text, top)
+    weights = _weighted(counted, scale, group, classes)
     order = Window.partitionBy(*classes).orderBy(F.round("weight", 12).desc(), "term")
     best = weights.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     listed = F.sort_array(F.collect_list(F.struct("rank", "term")))

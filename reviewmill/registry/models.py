@@ -82,13 +82,23 @@ def _documents(spark, d):
     ))
 
 
-def _sentiment_model(spark, d, rows):
+def _weak_labels(spark, d):
     label = (
         F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive")
         .otherwise("neutral").alias("sentiment_label")
     )
-    weak = t.table(spark, d, "labels").select(F.col("doc_id").alias("review_key"), label)
-    return scoring.train_sentiment(rows.join(weak, "review_key"))
+    return t.table(spark, d, "labels").select(F.col("doc_id").alias("review_key"), label)
+
+
+def _sentiment_model(spark, d, rows):
+    return scoring.train_sentiment(rows.join(_weak_labels(spark, d), "review_key"))
+
+
+def _labelled_documents(spark, d):
+    """What the sentiment model learns from; only documents with labels are cleaned."""
+    rows = t.table(spark, d, "documents").select(F.col("doc_id").alias("review_key"), "text").join(
+        _weak_labels(spark, d), "review_key").repartition(spark.sparkContext.defaultParallelism, "review_key")
+    return staged(rows.select("sentiment_label", tx.clean_text(F.col("text")).alias("text_clean")))
 
 
 def _no_outputs(rows):
@@ -382,7 +392,7 @@ def _(spark, d):
     """Both stages over the documents: every review has all outputs, and its topic is in the topics table."""
     store = jobs.ReviewStore(spark, shared_folder(spark))
     jobs.ingest_job(store, t.feedback(spark, d))
-    sentiment = scoring.model_sentiment(_sentiment_model(spark, d, _documents(spark, d)))
+    sentiment = scoring.model_sentiment(scoring.train_sentiment(_labelled_documents(spark, d)))
     embedding = scoring.model_embedding(scoring.train_embedding(store.reviews.read()))
     jobs.enrich(store, sentiment, embedding, topics.ClusterSettings(eps=0.5))
     found = store.topics.read().select("topic_id", F.lit(True).alias("known"))

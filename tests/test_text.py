@@ -76,3 +76,12 @@ def test_enough_tokens(spark):
     assert column(spark, ["", "a", "a b", "a b c", "a b c d"], tx.has_enough_tokens) == [
         False, False, False, True, True,
     ]
+
+
+def test_whitespace_is_split_off_without_a_class_of_ranges(spark):
+    """Runs of mixed whitespace against Python; the pattern that is tried at every character is one range."""
+    texts = ["  a\t  b 　　c\u0085", "   ", "é é  \x1f", "x", "\n"]
+    assert column(spark, texts, tx.collapse_ws) == [" ".join(x.split()) for x in texts]
+    assert column(spark, texts, tx.token_count) == [len(x.split()) for x in texts]
+    plan = spark.range(1).select(tx.token_count(F.lit("a").cast("string") + F.col("id")))
+    assert "[^ -~]" in plan._jdf.queryExecution().analyzed().toString()

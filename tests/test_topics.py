@@ -191,3 +191,32 @@ def test_topic_table_falls_back_to_other(spark):
     rows = {r.topic_no: (r.keywords, r.review_count, r.topic_id) for r in topics.topic_table(assigned, texts).collect()}
     assert rows == {
         0: ("good, good shoes, shoes", 1, "p|pos|0"), -1: ("other", 1, "p|pos|-1"), 1: ("other", 1, "p|pos|1")}
+
+
+def test_rare_terms_are_left_out_before_pairs_are_counted(spark):
+    """Keywords as by all terms, in groups with many rare words, tiny topics, and ties; few terms reach the weights."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghij"))
+    words = ["".join(letters[rng.integers(0, 10, 5)]) for _ in range(4000)]
+    often = [w + "x" for w in words[:40]]
+    rows = []
+    for i in range(600):
+        picked = [often[j] for j in rng.integers(0, 8 + i % 3 * 14, 12)] + [words[j] for j in rng.integers(0, 4000, 25)]
+        rng.shuffle(picked)
+        rows.append(("g" if i % 2 else "h", i % 3, " ".join(picked)))
+    rows += [("g", 7, "one two"), ("g", 8, "12 34"), ("k", 0, "aaa bbb aaa bbb ccc"), ("k", 1, None)]
+    texts = spark.createDataFrame(rows, "grp string, topic int, text_clean string")
+    tf = defaultdict(Counter)
+    for g, t, text in rows:
+        found = [w for w in (text or "").split() if w.isalpha()]
+        tf[(g, t)].update(found + [f"{a} {b}" for a, b in zip(found, found[1:])])
+    want = {}
+    for (g, t), counts in tf.items():
+        peers = [c for (x, _), c in tf.items() if x == g and c]
+        weight = {w: n / sum(counts.values()) * math.log(
+            1 + sum(sum(c.values()) for c in peers) / len(peers) / sum(c[w] for c in peers)) for w, n in counts.items()}
+        if weight:
+            want[(g, t)] = ", ".join(sorted(weight, key=lambda w: (-round(weight[w], 12), w))[:10])
+    assert {(r.grp, r.topic): r.keywords for r in topics.topic_keywords(texts, ["grp"], "topic").collect()} == want
+    counted, _ = topics._leading_terms(texts, ["grp"], "topic", "text_clean", 10)
+    assert counted.count() * 5 < sum(map(len, tf.values()))
