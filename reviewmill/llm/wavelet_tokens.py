@@ -30,6 +30,7 @@ from reviewmill.session import shared_folder
 
 END_ID = 1
 SHARD_TOKENS = 2_000_000
+SLICE = 1 << 22  # bytes of text encoded together
 _BLOCK = 512
 SCHEMA = (
     "part int, seq int, n bigint, n_docs bigint, bits int, zeros array<bigint>, "
@@ -47,7 +48,7 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros, ranks, rest = [], [], [], ids
         for level in range(bits - 1, -1, -1):
-            ones = (rest >> level & 1).astype(bool)
+            ones = (rest & rest.dtype.type(1 << level)) != 0
             plane = np.packbits(ones, bitorder="little")
             padded = np.zeros(-(-max(1, len(plane)) // (_BLOCK // 8)) * (_BLOCK // 8), np.uint8)
             padded[:len(plane)] = plane
@@ -153,7 +154,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
 
     Each document ends with `end_id`; null and empty texts consist of it alone. Rows are
     dealt to ranges of doc_id; a range writes a shard whenever `shard_tokens` are together,
-    so memory is bounded by a shard and one document. Repeated rows are written as often as
+    so memory is bounded by a shard and one slice of texts or one document. Repeated rows are written as often as
     they occur.
     """
     rows = texts_of(docs, "doc_id")
@@ -169,8 +170,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
         ("bits", pa.int32()), ("zeros", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())),
         ("ranks", pa.list_(pa.binary())), ("doc_ids", pa.list_(doc_type)), ("doc_lengths", pa.list_(pa.int64()))])
 
-    def shard(part: int, seq: int, ids: list, held: list[bytes], lengths: list[int]) -> pa.RecordBatch:
-        tokens = np.frombuffer(b"".join(held), "<u4")
+    def shard(part: int, seq: int, ids: list, held: list[np.ndarray], lengths: list[int]) -> pa.RecordBatch:
+        tokens = np.concatenate(held)
         bits = max(1, int(tokens.max()).bit_length())
         small = tokens.astype(np.uint16) if bits <= 16 else tokens
         matrix = WaveletMatrix.build(small, bits)
@@ -179,19 +180,28 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordTokens.load(tokenizer), int(end_id).to_bytes(4, "little")
+        words = WordTokens.load(tokenizer)
         ids, held, lengths, size, seq, part = [], [], [], 0, 0, 0
         for batch in batches:
             offsets, data = utf8(batch.column("text"))
             keys = batch.column("doc_id").to_pylist()
             part = batch.column("__part")[0].as_py() if batch.num_rows else part
-            for low, high in slices(offsets, 1 << 20):
-                texts = [data[a:b].tobytes() for a, b in zip(offsets[low:high], offsets[low + 1:high + 1])]
-                for key, coded in zip(keys[low:high], words.encode(texts)):
-                    ids.append(key)
-                    held.append(coded + end)
-                    lengths.append(len(held[-1]) // 4)
-                    size += lengths[-1]
+            for low, high in slices(offsets, SLICE):
+                coded, counts = words.joined(offsets[low:high + 1], data)
+                counts = counts + 1
+                ends = np.cumsum(counts)
+                tokens = np.full(ends[-1], end_id, np.uint32)
+                inner = np.ones(len(tokens), bool)
+                inner[ends - 1] = False
+                tokens[inner] = coded
+                done, row = 0, 0  # ids and rows of this slice that are in a shard
+                while row < len(ends):
+                    stop = min(len(ends), int(np.searchsorted(ends, done + shard_tokens - size)) + 1)
+                    ids += keys[low + row:low + stop]
+                    held.append(tokens[done:ends[stop - 1]])
+                    lengths += counts[row:stop].tolist()
+                    size += int(ends[stop - 1]) - done
+                    done, row = int(ends[stop - 1]), stop
                     if size >= shard_tokens:
                         yield shard(part, seq, ids, held, lengths)
                         ids, held, lengths, size, seq = [], [], [], 0, seq + 1

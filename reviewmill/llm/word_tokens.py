@@ -12,6 +12,12 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
+from itertools import compress
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHED_WORDS = 400_000
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -67,14 +73,41 @@ class WordTokens:
             coded = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [array("I", c.ids).tobytes() for c in coded]
         words = [t.split() for t in texts]
-        if len(self.cache) > CACHED_WORDS // 2:  # words in use move on from the older half
+        known = self._known(set().union(*words))
+        return [b"".join(map(known, row)) for row in words]
+
+    def joined(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, which lie one after another, and how many each text has.
+
+        Arrow splits the texts and numbers their words, so Python meets a word once, however
+        often it occurs; the words' ids are put together by their numbers.
+        """
+        if not self.by_word:
+            coded = self.encode([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])])
+            return np.frombuffer(b"".join(coded), np.uint32), np.array([len(c) // 4 for c in coded], np.int64)
+        begins = np.ascontiguousarray(offsets - offsets[0], np.int64)
+        held = np.ascontiguousarray(data[offsets[0]:offsets[-1]])
+        parts = pc.ascii_split_whitespace(
+            pa.LargeStringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(held)))
+        found = parts.flatten().dictionary_encode()
+        words = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        coded = list(map(self._known(set(words)), words))
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4))
+        by_word = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.uint32)))
+        lists = by_word.take(found.indices)
+        at = lists.offsets.to_numpy()[parts.offsets.to_numpy()]
+        return lists.flatten().to_numpy(), np.diff(at)
+
+    def _known(self, words: set[bytes]) -> Callable[[bytes], bytes]:
+        """The ids of these words by word; new ones are learned, words in use move on from the older half."""
+        if len(self.cache) > CACHED_WORDS // 2:
             self.cache, self.older = {}, self.cache
         cache, older = self.cache, self.older
-        missing = set().union(*words).difference(cache)
+        missing = words.difference(cache)
         old = missing.intersection(older)
         cache.update(zip(old, map(older.__getitem__, old)))
         self._learn(missing - old)
-        return [b"".join(map(cache.__getitem__, row)) for row in words]
+        return cache.__getitem__
 
     @staticmethod
     def _byte_letters() -> dict[int, str]:
@@ -86,20 +119,19 @@ class WordTokens:
 
     def _learn(self, words: set[bytes]) -> None:
         """Ids of new words; Latin ones are lower-cased, split and given to the model directly."""
-        rest, hard, plain, letters, tokenize = [], self.hard, self.plain, self.letters, self.tokenizer.model.tokenize
-        for raw in words:
-            word = raw.decode()
-            if hard(word):
-                rest.append(raw)
-                continue
-            ids = []
-            for piece in _PIECES(word.lower()):
-                known = plain.get(piece)
-                if known is None:
-                    shown = piece if piece.isascii() else piece.translate(letters)
-                    known = plain[piece] = array("I", [t.id for t in tokenize(shown)]).tobytes()
-                ids.append(known)
-            self.cache[raw] = ids[0] if len(ids) == 1 else b"".join(ids)
+        if not words:
+            return
+        plain, letters, tokenize = self.plain, self.letters, self.tokenizer.model.tokenize
+        raw = list(words)
+        text = b"\n".join(raw).decode()  # words hold no white space
+        rest = list(compress(raw, map(self.hard, text.split("\n"))))
+        easy = list(words.difference(rest))
+        pieces = list(map(_PIECES, b"\n".join(easy).decode().lower().split("\n"))) if easy else []
+        for piece in set().union(*pieces).difference(plain):
+            shown = piece if piece.isascii() else piece.translate(letters)
+            plain[piece] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+        known = plain.__getitem__
+        self.cache.update(zip(easy, [b"".join(map(known, p)) for p in pieces]))
         if len(plain) > CACHED_WORDS // 2:
             plain.clear()
         coded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)

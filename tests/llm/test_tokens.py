@@ -8,12 +8,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from reviewmill.llm import byte_bpe, token_counts, wavelet_tokens
 from reviewmill.llm.byte_bpe import ByteBpe
+from reviewmill.llm.common import utf8
 from reviewmill.llm.word_tokens import WordTokens
 
 RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -161,3 +163,18 @@ def test_counts_of_awkward_rows(awkward, awkward_rows, nothing, words):
     for chunk in (300, 65_536):
         assert Counter(map(tuple, token_counts.counts(awkward, WORDS, chunk=chunk).collect())) == want
     assert token_counts.counts(nothing, WORDS).count() == 0
+
+
+def test_words_are_met_once_and_put_together_by_number():
+    """Ids of joined texts against the library, text by text; a word that is repeated is looked up once."""
+    words = WordTokens(WORDS)
+    texts = ["", "the cat  the\tcat\n", " ", "a\x1cb a\xa0b\x85c", "naïve 学 naïve", "don't 12 x", "the " * 500, "\x00"]
+    offsets, data = utf8(pa.array(["cut off", *texts]))
+    looked, known = [], words._known
+    words._known = lambda found: looked.append(found) or known(found)
+    ids, lengths = words.joined(offsets[1:], data)
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert lengths.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert len(looked) == 1 and len(looked[0]) < 20
+    ids, lengths = words.joined(offsets[1:2], data)
+    assert not len(ids) and not len(lengths)
