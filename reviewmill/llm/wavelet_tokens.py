@@ -32,12 +32,23 @@ END_ID = 1
 SHARD_TOKENS = 2_000_000
 SLICE = 1 << 22  # bytes of text encoded together
 _BLOCK = 512
+_STRETCH = 1 << 16
 SCHEMA = (
     "part int, seq int, n bigint, n_docs bigint, bits int, zeros array<bigint>, "
     "planes array<binary>, ranks array<binary>, doc_ids {}, doc_lengths array<bigint>"
 )
 
 
+def _halves(ones: np.ndarray, zeros: int) -> Iterator[tuple[slice, np.ndarray, slice, np.ndarray, slice]]:
+    """Stretches of a plane: the places of their clear bits and marked bits, and where these go in the next order."""
+    low, high = 0, zeros
+    for begin in range(0, len(ones), _STRETCH):
+        at = slice(begin, begin + _STRETCH)
+        clear, marked = np.flatnonzero(~ones[at]), np.flatnonzero(ones[at])
+        yield at, clear, slice(low, low + len(clear)), marked, slice(high, high + len(marked))
+        low, high = low + len(clear), high + len(marked)
+
+
 class WaveletMatrix:
     """Succinct bit planes of an array of ids with rank and select support."""
 
@@ -56,7 +67,10 @@ class WaveletMatrix:
             sums = np.bitwise_count(padded.view(np.uint64)).reshape(-1, _BLOCK // 64).sum(1, dtype=np.uint32)
             ranks.append(np.append(np.uint32(0), np.cumsum(sums, dtype=np.uint32)))
             zeros.append(len(ids) - int(ranks[-1][-1]))
-            rest = np.concatenate([rest[~ones], rest[ones]])
+            below = np.empty_like(rest)
+            for at, clear, low, marked, high in _halves(ones, zeros[-1]):
+                below[low], below[high] = rest[at][clear], rest[at][marked]
+            rest = below
         return cls(len(ids), planes, zeros, ranks)
 
     def _bit(self, level: int, at: int) -> int:
@@ -127,8 +141,11 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(out)
-            above[~ones] = out[:self.zeros[level]]
-            above[ones] = out[self.zeros[level]:] | np.uint32(1 << (len(self.planes) - 1 - level))
+            bit = np.uint32(1 << (len(self.planes) - 1 - level))
+            for at, clear, low, marked, high in _halves(ones, self.zeros[level]):
+                part = above[at]
+                part[clear] = out[low]
+                part[marked] = out[high] | bit
             out = above
         return out
 

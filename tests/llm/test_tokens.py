@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from reviewmill.llm import byte_bpe, token_counts, wavelet_tokens
+from reviewmill.llm import byte_bpe, token_counts, wavelet_tokens, word_tokens
 from reviewmill.llm.byte_bpe import ByteBpe
 from reviewmill.llm.common import utf8
 from reviewmill.llm.word_tokens import WordTokens
@@ -178,3 +178,30 @@ def test_words_are_met_once_and_put_together_by_number():
     assert len(looked) == 1 and len(looked[0]) < 20
     ids, lengths = words.joined(offsets[1:2], data)
     assert not len(ids) and not len(lengths)
+
+
+def test_letters_whose_lower_case_lies_elsewhere(words):
+    """The lower case of Ɓ, Ɔ or Ⱥ is a letter of another block, so the library has to encode them."""
+    texts = [t for c in map(chr, range(0xC0, 0x250)) for t in (c, f"a{c}b", f"{c}{c}!")] + ["KÅẞ", "aÅ"]
+    want = [words.encode(t, add_special_tokens=False).ids for t in texts]
+    got = WordTokens(WORDS)
+    assert [np.frombuffer(i, "<u4").tolist() for i in got.encode([t.encode() for t in texts])] == want
+    offsets, data = utf8(pa.array(texts))
+    ids, lengths = got.joined(offsets, data)
+    assert lengths.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_parts_of_words_are_met_once(words, monkeypatch):
+    """Words that differ by case, marks or digits are put together from the same parts, also after parts were dropped."""
+    monkeypatch.setattr(word_tokens, "CACHED_WORDS", 8)
+    own = WordTokens(WORDS)
+    met, known = [], own._known
+    own._known = lambda found: met.append(found) or known(found)
+    first = ["The the, (THE) the! the?!", "naïve Naïve. NAÏVE42 24the", "it's 'TIS ''ll x'", "a<|endoftext|>the"]
+    for texts in (first, first, random_texts(300), first):
+        offsets, data = utf8(pa.array(texts))
+        ids, lengths = own.joined(offsets, data)
+        want = [words.encode(t, add_special_tokens=False).ids for t in texts]
+        assert lengths.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert {b"the", "naïve".encode(), b"4", b"2", b"it's", b"a<|endoftext|>the"} <= met[0]
+    assert not met[0] & {b"The", b"the,", b"(THE)", "Naïve.".encode()} and not met[1]
