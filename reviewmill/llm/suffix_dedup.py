@@ -215,7 +215,7 @@ class InducedSorter:
         if column >= 0:
             return data[at].astype(np.uint16)
         inside = column >= -back[items]
-        return np.where(inside, data[np.where(inside, at, 0)], _DEAD).astype(np.uint16)
+        return np.where(inside, data[np.where(inside, at, 0)].astype(np.uint16), np.uint16(_DEAD))
 
     @staticmethod
     def _induce(symbols: np.ndarray, common: np.ndarray, carry: np.ndarray | None):

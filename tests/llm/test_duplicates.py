@@ -147,6 +147,18 @@ def test_repeated_bytes(spark, length, gram, limits):
     assert [got[i] for i in range(len(texts))] == repeats(texts, length)
 
 
+@pytest.mark.parametrize("limits", [(), (1, 10)])
+def test_window_left_of_a_shorter_run_is_no_repeat(limits):
+    """What lies left of a run's first byte equals no byte, not even a comma (300 in eight bits)."""
+    shared = bytes(range(60, 108))
+    for mark in range(256):
+        runs = [b"zz" + bytes([mark]) + shared, shared]  # aligned at the eighth byte of what they share
+        more, back = np.array([11, 8]), np.array([11, 8])
+        items, windows = suffix_dedup.InducedSorter(40, *limits).repeated(iter([(b"".join(runs), more, back)]))
+        assert sorted(zip(items.tolist(), windows.tolist())) == [
+            *((0, w) for w in range(3, 12)), *((1, w) for w in range(9))], mark
+
+
 def test_repeated_bytes_of_awkward_rows(awkward, awkward_rows, nothing):
     want = Counter((r[0], *w) for r, w in zip(awkward_rows, repeats([r[1] for r in awkward_rows], 400)))
     got = suffix_dedup.without_repeats(awkward).collect()
