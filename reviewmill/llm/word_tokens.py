@@ -70,6 +70,7 @@ class WordTokens:
         self.older: dict[bytes, bytes] = {}
         self.parts = pa.array([], pa.large_binary())
         self.part_ids = pa.array([], pa.large_list(pa.uint32()))
+        self.uses = np.zeros(0, np.int32)
 
     @staticmethod
     def _drops_space(config: dict) -> bool:
@@ -112,23 +113,32 @@ class WordTokens:
         numbers = self._numbers(parts)
         lists = self.part_ids.take(pa.array(numbers))
         at = lists.offsets.to_numpy()[np.searchsorted(starts, begins)]
-        if len(self.parts) > CACHED_WORDS:
-            used = np.zeros(len(self.parts), bool)
-            used[numbers] = True
-            self.parts, self.part_ids = self.parts.filter(pa.array(used)), self.part_ids.filter(pa.array(used))
+        self._drop_rare(numbers)
         return lists.flatten().to_numpy(), np.diff(at)
 
+    def _drop_rare(self, numbers: np.ndarray) -> None:
+        """Count the parts in use; if there are too many, those met once before go."""
+        used = np.zeros(len(self.parts), bool)
+        used[numbers] = True
+        self.uses += used
+        if len(self.parts) > CACHED_WORDS:
+            kept = used | (self.uses > 1)
+            self.parts, self.part_ids = self.parts.filter(pa.array(kept)), self.part_ids.filter(pa.array(kept))
+            self.uses = self.uses[kept] // 2
+
     def _numbers(self, parts: pa.Array) -> np.ndarray:
         """Each part's place among the numbered ones; new ones are learned and added."""
         found = pc.index_in(parts, value_set=self.parts)
         new = parts.filter(found.is_null()).dictionary_encode()
         words = new.dictionary.to_numpy(zero_copy_only=False).tolist()
         coded = list(map(self._known(set(words)), words))
+        self.cache, self.older, self.plain = {}, {}, {}  # what is numbered needs no second place
         ends = np.append(0, np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4))
         ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.uint32)))
         out = found.fill_null(-1).to_numpy(zero_copy_only=False).copy()
         out[out < 0] = len(self.parts) + new.indices.to_numpy()
         self.parts, self.part_ids = pa.concat_arrays([self.parts, new.dictionary]), pa.concat_arrays([self.part_ids, ids])
+        self.uses = np.append(self.uses, np.zeros(len(words), np.int32))
         return out
 
     def _parts(self, begins: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
