@@ -50,8 +50,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_suffix_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.without_repeats(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = _table(spark, sf_dir, "documents")
+    return suffix_dedup.without_repeats(docs, gram=suffix_dedup.BOTH_GRAM, passage=suffix_dedup.PASSAGE).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        "n_passage_bytes", "n_passages")
 
 
 @query("op5_byte_bpe")

@@ -14,6 +14,9 @@ the queue is a row of first-in-first-out lists, one per byte, that are written t
 a shard exceeds its memory budget; common prefixes follow as one more than the least value
 between two tuples of a list. The recursion runs from the last column of the runs to their
 first. A window is repeated if its common prefix with a neighbour reaches `LENGTH`.
+
+One sort can answer two lengths: windows then have the shorter one, runs hold the bytes that
+the longer one needs to the right of them, and a common prefix is held against both.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ LENGTH = 400
 GRAM = 250
 # Passages of over 50 words have at least about this many bytes; their anchors are shorter, too.
 PASSAGE, PASSAGE_GRAM = 200, 75
+BOTH_GRAM = 50  # anchors where both lengths are asked for: as many as GRAM makes for LENGTH
 SORT_ITEMS = 2_000_000
 TEXT_BYTES = 256_000_000
 _PIECE = 1 << 18
@@ -53,12 +57,13 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:n], before[width - 1:width - 1 + n])
 
 
-def _runs_of_piece(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def _runs_of_piece(data: np.ndarray, ends: np.ndarray, length: int, gram: int,
+                   reach: int) -> tuple[np.ndarray, ...]:
     """first window, last window, anchor and the two hashes of each run in a piece of texts.
 
-    `ends` has for each byte the end of its text.
+    `ends` has for each byte the end of its text; windows begin in the first `_PIECE` bytes.
     """
-    n = len(data) - length + 1
+    n = min(len(data) - length + 1, _PIECE)
     if n <= 0:
         return tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
     sums = prefix_sums(data)
@@ -66,21 +71,23 @@ def _runs_of_piece(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -
     hashes = substring_hashes(sums, at, at + gram)
     low_bits = np.uint64(_PIECE * 2 - 1)
     least = _sliding_min(hashes & ~low_bits | at.astype(np.uint64), length - gram + 1)
-    anchor = (least & low_bits).astype(np.int64)
+    anchor = (least[:n] & low_bits).astype(np.int64)
     valid = np.arange(n) + length <= ends[:n]
     starts = valid.copy()
     starts[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
     stops = valid.copy()
     stops[:-1] &= (anchor[1:] != anchor[:-1]) | ~valid[1:]
     first, last = np.flatnonzero(starts), np.flatnonzero(stops)
-    return first, last, anchor[first], hashes[anchor[first]], substring_hashes(sums, first, last + length)
+    whole = substring_hashes(sums, first, np.minimum(last + reach, ends[first]))
+    return first, last, anchor[first], hashes[anchor[first]], whole
 
 
-def runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def runs(texts: DataFrame, length: int, gram: int, reach: int) -> DataFrame:
     """core, run (hashes of the anchor and of the whole run), k0, k1, first, more, back.
 
     `texts` has the row keys k0, k1 and `text`. A run's windows begin at bytes `first` to
-    `first + more`; its anchor begins at `first + back`.
+    `first + more`; its anchor begins at `first + back`. The run holds `reach` bytes, at
+    least `length`, from its last window on, or those that its text has.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,10 +96,10 @@ def runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
             for low, high in slices(offsets, _PIECE):
                 begin, end = int(offsets[low]), int(offsets[high])
                 for at in range(begin, max(begin + 1, end - length + 1), _PIECE):
-                    part = data[at:min(end, at + _PIECE + length - 1)]
+                    part = data[at:min(end, at + _PIECE + reach - 1)]
                     bounds = np.clip(offsets[low:high + 1] - at, 0, len(part))
                     ends = np.repeat(bounds[1:], np.diff(bounds))
-                    first, last, anchor, core, whole = _runs_of_piece(part, ends, length, gram)
+                    first, last, anchor, core, whole = _runs_of_piece(part, ends, length, gram, reach)
                     row = np.searchsorted(offsets, first + at, "right") - 1
                     yield pa.RecordBatch.from_arrays([
                         pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)),
@@ -134,19 +141,28 @@ class _Lists:
 class InducedSorter:
     """Sorts aligned runs column by column and reports the windows that occur twice."""
 
-    def __init__(self, length: int, most_items: int = SORT_ITEMS, most_bytes: int = TEXT_BYTES):
+    def __init__(self, length: int, most_items: int = SORT_ITEMS, most_bytes: int = TEXT_BYTES,
+                 longer: int | None = None):
         self.length, self.most_items, self.most_bytes = length, most_items, most_bytes
+        self.lengths = [length] if longer in (None, length) else [length, longer]
+
+    def repeated(self, chunks: Iterator[tuple[np.ndarray | bytes, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        """Item and window number of every repeated window; `chunks` as in `repeated_by_length`."""
+        return self.repeated_by_length(chunks)[0]
 
-    def repeated(self, chunks: Iterator[tuple[bytes, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Item and window number of every repeated window.
+    def repeated_by_length(self, chunks: Iterator[tuple[np.ndarray | bytes, ...]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length, item and number of every window that begins so many repeated bytes.
 
-        `chunks` gives the runs' bytes joined, and `more` and `back` of each run.
+        `chunks` gives the runs' bytes joined, `more` and `back` of each run and, if runs
+        hold more than their windows, their sizes.
         """
         with tempfile.TemporaryDirectory() as folder:  # scratch of this task alone, gone when it ends
-            held, size, more, back, file = [], 0, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], None
-            for text, m, b in chunks:
+            held, size, file = [], 0, None
+            more, back, sizes = ([np.zeros(0, np.int64)] for _ in range(3))
+            for text, m, b, *own in chunks:
                 more.append(m.astype(np.int64))
                 back.append(b.astype(np.int64))
+                sizes.append(own[0].astype(np.int64) if own else more[-1] + self.length)
                 size += len(text)
                 held.append(text)
                 if size > self.most_bytes:
@@ -159,17 +175,17 @@ class InducedSorter:
                 data = np.memmap(file, np.uint8, "r")
             else:
                 data = np.frombuffer(b"".join(held), np.uint8)
-            return self._sort(data, np.concatenate(more), np.concatenate(back), folder)
+            return self._sort(data, *(np.concatenate(x) for x in (more, back, sizes)), folder)
 
-    def _sort(self, data, more: np.ndarray, back: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    def _sort(self, data, more: np.ndarray, back: np.ndarray, sizes: np.ndarray,
+              folder: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = [([np.zeros(0, np.int64)], [np.zeros(0, np.int64)]) for _ in self.lengths]
         if not len(more):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sizes = more + self.length
+            return [(items[0], windows[0]) for items, windows in found]
         zero = np.cumsum(sizes) - sizes + back  # where column 0, the anchor, stands in `data`
         last = sizes - 1 - back
         enter = np.argsort(last, kind="stable")
         bounds = np.searchsorted(last[enter], np.arange(last.max() + 2))
-        found_item, found_window = [], []
         external = len(more) > self.most_items
         items, common = np.zeros(0, np.int64), np.zeros(0, np.int32)
         queue = _Lists(folder, "0")
@@ -192,8 +208,8 @@ class InducedSorter:
                         queue.push(int(symbols[order[low]]), part[order[low:high]], near[low:high])
                 stream = self._kept(queue, folder, column) if column <= 0 else []
             if column <= 0:
-                self._report(stream, -column, back, more, found_item, found_window)
-        return np.concatenate([enter[:0], *found_item]), np.concatenate([enter[:0], *found_window])
+                self._report(stream, -column, back, more, found)
+        return [(np.concatenate(items), np.concatenate(windows)) for items, windows in found]
 
     def _with(self, fresh, old) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for low in range(0, len(fresh[0]), self.most_items):
@@ -242,17 +258,19 @@ class InducedSorter:
             carry[kinds] = from_here[order[final] + 1]
         return order, out, carry
 
-    def _report(self, stream, distance: int, back, more, found_item: list, found_window: list) -> None:
-        """Items whose window `distance` bytes left of the anchor shares `length` bytes with a neighbour's."""
-        before, pending = np.zeros(0, np.int64), False
+    def _report(self, stream, distance: int, back, more, found: list) -> None:
+        """Items whose window `distance` bytes left of the anchor shares a length's bytes with a neighbour's."""
+        before, pending = np.zeros(0, np.int64), [False] * len(self.lengths)
         for items, common in stream:
-            long = common >= self.length
-            twice = long.copy()
-            twice[:-1] |= long[1:]
-            if len(before) and long[0] and not pending:
-                self._add(before, distance, back, more, found_item, found_window)
-            self._add(items[twice], distance, back, more, found_item, found_window)
-            before, pending = items[-1:], bool(twice[-1])
+            for i, length in enumerate(self.lengths):
+                long = common >= length
+                twice = long.copy()
+                twice[:-1] |= long[1:]
+                if len(before) and long[0] and not pending[i]:
+                    self._add(before, distance, back, more, *found[i])
+                self._add(items[twice], distance, back, more, *found[i])
+                pending[i] = bool(twice[-1])
+            before = items[-1:]
 
     @staticmethod
     def _add(items, distance, back, more, found_item, found_window) -> None:
@@ -270,7 +288,7 @@ def _intervals(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.n
     return code[begin] >> 20, code[begin] & 0xFFFFF, code[end] & 0xFFFFF
 
 
-def _cut_runs(asked: DataFrame, length: int) -> DataFrame:
+def _cut_runs(asked: DataFrame, reach: int) -> DataFrame:
     """core, run, single, more, back and the run's bytes, for rows of `text` and the `runs` in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,7 +298,8 @@ def _cut_runs(asked: DataFrame, length: int) -> DataFrame:
             fields = wanted.flatten().flatten()
             first, more = (fields[i].to_numpy().astype(np.int64) for i in (3, 4))
             low = offsets[owner] + first
-            texts = [data[a:b].tobytes() for a, b in zip(low.tolist(), (low + more + length).tolist())]
+            high = np.minimum(low + more + reach, offsets[owner + 1])
+            texts = [data[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist())]
             for at in range(0, len(texts), 10_000):
                 part = slice(at, at + 10_000)
                 yield pa.RecordBatch.from_arrays(
@@ -291,8 +310,11 @@ def _cut_runs(asked: DataFrame, length: int) -> DataFrame:
         run, "core bigint, run bigint, single boolean, more smallint, back smallint, bytes binary")
 
 
-def _sorted_shards(cut: DataFrame, length: int, most_items: int, most_bytes: int) -> DataFrame:
-    """core, run, low, high: rows of repeated windows of each single run, from one sort per partition."""
+def _sorted_shards(cut: DataFrame, length: int, reach: int, most_items: int, most_bytes: int) -> DataFrame:
+    """core, run, low, high, longer: rows of repeated windows of each single run, from one sort per partition.
+
+    Those with `longer` begin `reach` repeated bytes each.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, single = [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)]
 
@@ -300,35 +322,44 @@ def _sorted_shards(cut: DataFrame, length: int, most_items: int, most_bytes: int
             for batch in batches:
                 names.append(np.stack([batch.column(c).to_numpy() for c in ("core", "run")], axis=1))
                 single.append(batch.column("single").to_numpy(zero_copy_only=False))
-                yield (b"".join(batch.column("bytes").to_pylist()),
-                       batch.column("more").to_numpy(), batch.column("back").to_numpy())
+                texts = batch.column("bytes").to_pylist()
+                yield (b"".join(texts), batch.column("more").to_numpy(), batch.column("back").to_numpy(),
+                       np.fromiter(map(len, texts), np.int64, len(texts)))
 
-        items, windows = InducedSorter(length, most_items, most_bytes).repeated(chunks())
+        sorter = InducedSorter(length, most_items, most_bytes, reach)
+        found = sorter.repeated_by_length(chunks())
         keys, alone = np.concatenate(names), np.concatenate(single)
-        item, low, high = _intervals(items[alone[items]], windows[alone[items]])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[item, 0]), pa.array(keys[item, 1]), pa.array(low), pa.array(high)],
-            ["core", "run", "low", "high"])
+        for size, (items, windows) in zip(sorter.lengths, found):
+            item, low, high = _intervals(items[alone[items]], windows[alone[items]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[item, 0]), pa.array(keys[item, 1]), pa.array(low), pa.array(high),
+                 pa.array(np.full(len(item), size == reach))],
+                ["core", "run", "low", "high", "longer"])
 
-    return cut.mapInArrow(run, "core bigint, run bigint, low bigint, high bigint")
+    return cut.mapInArrow(run, "core bigint, run bigint, low bigint, high bigint, longer boolean")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with row keys; rows that agree in doc_id and text have the same result."""
+    """`docs` with row keys and no null text; rows that agree in doc_id and text have the same result."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)).cast("long"))
-    return docs.withColumn("k0", key).withColumn("k1", F.xxhash64(F.coalesce("text", F.lit(""))))
+    filled = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    return filled.withColumn("k0", key).withColumn("k1", F.xxhash64("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
-                   most_items: int = SORT_ITEMS, most_bytes: int = TEXT_BYTES) -> DataFrame:
-    """k0, k1 and `spans`, an array of (start, end) bytes: windows that begin elsewhere too.
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM,
+                   most_items: int = SORT_ITEMS, most_bytes: int = TEXT_BYTES,
+                   passage: int | None = None) -> DataFrame:
+    """k0, k1 and `spans`, an array of (start, stop, longer): windows of `_keyed` rows that begin elsewhere too.
 
+    Windows beginning at bytes `start` to `stop` have `passage` bytes, `length` if that is
+    None; with `longer`, `length` bytes from there are repeated too, where the text has them.
     One row per text with such windows; spans may overlap. Documents that are copies of one
     another, in rows or in texts, count as often as they occur.
     """
-    texts = _keyed(docs).where(F.octet_length("text") >= length).select("k0", "k1", "text")
-    found = staged(runs(texts, length, gram))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reach, length = length, passage or length
+    texts = rows.where(F.octet_length("text") >= length).select("k0", "k1", "text")
+    found = staged(runs(texts, length, gram, reach))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Staged, so that both sides of the join come from a shuffle that AQE can split at a hot anchor.
     cores = staged(
         found.groupBy("core").agg(F.count("*").alias("n"), F.min("run").alias("a"), F.max("run").alias("b"))
@@ -345,22 +376,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         .agg(F.collect_list(F.struct(
             "core", "run", (F.col("n") == 1).alias("single"), "at.first", "at.more", "at.back")).alias("runs"))
     )
-    cut = _cut_runs(texts.join(asked, ["k0", "k1"]).select("text", "runs"), length)
-    sorted_ = _sorted_shards(cut.repartition(n, "core"), length, most_items, most_bytes)
-    whole = (F.lit(0).cast("long").alias("low"), F.col("more").cast("long").alias("high"))
+    # All columns of all rows, so that the caller's join of rows and spans uses the same exchange again.
+    cut = _cut_runs(rows.join(asked, ["k0", "k1"]), reach)
+    sorted_ = _sorted_shards(cut.repartition(n, "core"), length, reach, most_items, most_bytes)
+    whole = (F.lit(0).cast("long").alias("low"), F.col("more").cast("long").alias("high"), F.lit(True).alias("longer"))
     ranges = sorted_.unionByName(counted.where("n > 1").select("core", "run", *[
-        whole[0], F.col("at.more").cast("long").alias("high")]))
+        whole[0], F.col("at.more").cast("long").alias("high"), whole[2]]))
     spans = (
         candidates.where("mixed").join(ranges, ["core", "run"])
         .unionByName(candidates.where("NOT mixed").select("*", *whole))
     )
     return spans.groupBy("k0", "k1").agg(F.collect_list(F.struct(
         (F.col("first") + F.col("low")).alias("start"),
-        (F.col("first") + F.col("high") + length).alias("end"))).alias("spans"))
+        (F.col("first") + F.col("high")).alias("stop"), "longer")).alias("spans"))
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of covered bytes."""
+    if not len(starts):
+        return starts, ends
     order = np.argsort(starts, kind="stable")
     starts, reach = starts[order], np.maximum.accumulate(ends[order])
     begin = np.flatnonzero(np.append(True, starts[1:] > reach[:-1]))
@@ -369,22 +403,25 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
                     most_items: int = SORT_ITEMS, most_bytes: int = TEXT_BYTES,
-                    keep: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
+                    keep: tuple[str, ...] = ("doc_id",), as_text: bool = False,
+                    passage: int | None = None) -> DataFrame:
     """`keep` columns, n_bytes, n_removed, n_spans and `kept`, the bytes that remain, of every row.
 
+    With `passage`, a shorter length, also n_passage_bytes and n_passages: the bytes that
+    strings of that length cover in the same way, and their maximal runs; they are not removed.
     With `as_text` the bytes are decoded; halves of characters at cut ends go.
     A byte goes if any `length`-byte string over it begins anywhere else too, in this row or
     another, as judged on the input. Null texts are empty; texts shorter than `length` lose
     nothing; a repeated row loses all its bytes if it has `length` of them.
     """
-    if not 0 < gram < length:
-        raise ValueError("the anchor must be shorter than the string")
-    spans = repeated_spans(docs, length, gram, most_items, most_bytes)
+    if not 0 < gram < (passage or length) <= length:
+        raise ValueError("the anchor must be shorter than the string, and a passage no longer")
     rows = _keyed(docs.select("doc_id", *[c for c in keep if c not in ("doc_id", "text")], "text"))
-    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    spans = repeated_spans(rows, length, gram, most_items, most_bytes, passage)
     joined = rows.join(spans, ["k0", "k1"], "left").select(
         *[F.col(c) for c in keep if c != "text"], "text", "spans")
-    numbers = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    extra = ("n_passage_bytes", "n_passages") if passage else ()
+    numbers = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans", *extra)]
     kind = T.StructField("kept", T.StringType() if as_text else T.BinaryType())
     schema = T.StructType([*(rows.schema[c] for c in keep if c != "text"), *numbers, kind])
 
@@ -394,19 +431,25 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
             spans = batch.column("spans")
             counts = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             cuts = np.append(0, np.cumsum(counts))
-            starts, ends = (f.to_numpy().astype(np.int64) for f in spans.flatten().flatten())
-            kept, removed, number = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            starts, stops, longer = (f.to_numpy(zero_copy_only=False) for f in spans.flatten().flatten())
+            kept, found = [], np.zeros((2 + len(extra), batch.num_rows), np.int64)
             for i in range(batch.num_rows):
                 text = data[offsets[i]:offsets[i + 1]]
                 if counts[i]:
-                    low, high = _merged(starts[cuts[i]:cuts[i + 1]], ends[cuts[i]:cuts[i + 1]])
-                    removed[i], number[i] = (high - low).sum(), len(low)
+                    start, stop = starts[cuts[i]:cuts[i + 1]], stops[cuts[i]:cuts[i + 1]]
+                    if passage:
+                        low, high = _merged(start, stop + passage)
+                        found[2:, i] = (high - low).sum(), len(low)
+                    stop = np.minimum(stop, len(text) - length)
+                    own = longer[cuts[i]:cuts[i + 1]] & (start <= stop)
+                    low, high = _merged(start[own], stop[own] + length)
+                    found[:2, i] = (high - low).sum(), len(low)
                     text = np.concatenate([text[a:b] for a, b in zip([0, *high], [*low, len(text)])])
                 kept.append(text.tobytes().decode(errors="ignore") if as_text else text.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep if c != "text"), pa.array(np.diff(offsets)), pa.array(removed),
-                 pa.array(number), pa.array(kept, pa.string() if as_text else pa.binary())],
-                [*(c for c in keep if c != "text"), "n_bytes", "n_removed", "n_spans", "kept"])
+                [*(batch.column(c) for c in keep if c != "text"), pa.array(np.diff(offsets)), *map(pa.array, found),
+                 pa.array(kept, pa.string() if as_text else pa.binary())],
+                [*(c for c in keep if c != "text"), "n_bytes", "n_removed", "n_spans", *extra, "kept"])
 
     return joined.mapInArrow(run, schema)
 

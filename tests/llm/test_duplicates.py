@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from reviewmill.llm import embedding_graph, fingerprints, simhash_tiles, suffix_dedup
+from reviewmill.llm import embedding_graph, fingerprints, queries, simhash_tiles, suffix_dedup
 
 
 def least_reachable(n, pairs, names):
@@ -147,6 +147,35 @@ def test_repeated_bytes(spark, length, gram, limits):
     assert [got[i] for i in range(len(texts))] == repeats(texts, length)
 
 
+@pytest.mark.parametrize("length, passage, gram, limits", [
+    (64, 40, 25, {}), (64, 40, 25, {"most_items": 50, "most_bytes": 1000}), (100, 30, 8, {}), (41, 40, 39, {})])
+def test_passages_beside_repeated_bytes(spark, length, passage, gram, limits):
+    texts = passages(length)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in suffix_dedup.without_repeats(docs, length, gram, passage=passage, **limits).collect()}
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for _, r in sorted(got.items())] == repeats(texts, length)
+    assert [(r.n_passage_bytes, r.n_passages) for _, r in sorted(got.items())] == [
+        w[1:3] for w in repeats(texts, passage)]
+
+
+def test_query_shows_passages_under_its_length(spark, tmp_path):
+    """A repeated passage of over 50 words may have less than 400 bytes: nothing is removed, but it is found."""
+    rnd = random.Random(4)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    short, long, far = words(52), words(80), words(50_000)  # the last is read in two pieces
+    texts = [words(70), f"{words(40)} {short} {words(40)}", f"{words(30)} {short}", f"{long} {words(20)}",
+             f"{words(9)} {long}", short, None, "", far[:300_000], f"{words(9)} {far[261_700:262_700]}"]
+    assert len(short) < 400 < len(long)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    rows = sorted(queries.QUERIES["op4_suffix_dedup"](spark, str(tmp_path)).collect())
+    assert [r[1:5] for r in rows] == [
+        (n, removed, spans, hashlib.sha256(rest).hexdigest()) for n, removed, spans, rest in repeats(texts, 400)]
+    assert [(r.n_passage_bytes, r.n_passages) for r in rows] == [w[1:3] for w in repeats(texts, 200)]
+    assert [r.n_passage_bytes > 0 for r in rows] == [False, True, True, True, True, True, False, False, True, True]
+    assert [r.n_removed > 0 for r in rows] == [False, False, False, True, True, False, False, False, True, True]
+
+
 @pytest.mark.parametrize("limits", [(), (1, 10)])
 def test_window_left_of_a_shorter_run_is_no_repeat(limits):
     """What lies left of a run's first byte equals no byte, not even a comma (300 in eight bits)."""
