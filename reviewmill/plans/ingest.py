@@ -62,8 +62,11 @@ def keyed(raw: DataFrame) -> DataFrame:
 
 def with_keys(usable_rows: DataFrame) -> DataFrame:
     """Features and keys of usable rows that name a product."""
-    rows = with_features(usable_rows.where(F.col("nmId").isNotNull()))
-    return rows.withColumn("review_key", tx.review_key(F.col("nmId"), F.col("text")))
+    return _with_features_and_key(usable_rows.where(F.col("nmId").isNotNull()))
+
+
+def _with_features_and_key(rows: DataFrame) -> DataFrame:
+    return with_features(rows).withColumn("review_key", tx.review_key(F.col("nmId"), F.col("text")))
 
 
 def product_keys(rows: DataFrame, marketplace: str = MARKETPLACE) -> DataFrame:
@@ -105,14 +108,19 @@ def last_batch_wins(rows: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
     sequence numbers are ranked; whole rows are then kept by a semi-join. The
     winner is a plain aggregate, so a review copied a billion times is reduced
     before the shuffle. A null `seq` is an error. Rows that repeat both key and
-    `seq` count as one: the least of them is kept.
+    `seq` count as one: the least of them is kept; whether there are such rows is counted
+    first, as whole rows move a second time for it.
     """
     rows = checked_seq(rows)  # both sides of the semi-join read it
     at = dense_positions(rows.select("review_key", "seq"), "seq")
     batch = F.floor(F.col("position") / batch_size)
     precedence = batch * batch_size + (batch_size - 1 - F.col("position") % batch_size)
-    winners = at.groupBy("review_key").agg(F.max_by("seq", precedence).alias("seq"))
-    kept = rows.join(winners, ["review_key", "seq"], "left_semi")
+    per_seq = at.groupBy("review_key", "seq").agg(F.count("*").alias("rows"), F.max(precedence).alias("precedence"))
+    last = per_seq.groupBy("review_key").agg(F.max_by(F.struct("seq", "rows"), "precedence").alias("last"))
+    winners = staged(last.select("review_key", "last.*"))
+    kept = rows.join(winners, ["review_key", "seq"], "left_semi").select(*rows.columns)
+    if winners.where(F.col("rows") > 1).isEmpty():
+        return kept
     others = [c for c in rows.columns if c != "review_key"]
     least = kept.groupBy("review_key").agg(F.min(F.struct(*others)).alias("row"))
     return least.select("review_key", "row.*").select(*rows.columns)
@@ -156,11 +164,15 @@ def usable(raw: DataFrame) -> DataFrame:
 
 
 def usable_observed(raw: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    """`usable` rows, and rows_read, rows_kept and rows_rejected as seen by the pass that writes them."""
+    """`usable` rows, and rows_read, rows_kept and rows_rejected as seen by the pass that writes them.
+
+    Features and keys are written too, as several steps read them; a key means nothing
+    where there is no product.
+    """
     read, written = Observation(), Observation()
     kept = F.col("nmId").isNotNull()
     cleaned_rows = cleaned(raw.observe(read, F.count(F.lit(1)).alias("rows_read")))
-    rows = staged(checked_seq(normalise_ids(drop_blank(cleaned_rows))).observe(
+    rows = staged(_with_features_and_key(checked_seq(normalise_ids(drop_blank(cleaned_rows)))).observe(
         written, F.count_if(kept).alias("rows_kept"), F.count_if(~kept).alias("rows_rejected")))
     return rows, {**read.get, **written.get}
 

@@ -57,7 +57,7 @@ def ingest_job(store: ReviewStore, raw: DataFrame, marketplace: str = MARKETPLAC
     All of it becomes current in one commit, so a load that dies can be run again.
     """
     usable, observed = ingest.usable_observed(raw)
-    rows = ingest.with_keys(usable)
+    rows = usable.where("nmId IS NOT NULL")
     source = ingest.review_rows(ingest.last_batch_wins(rows, batch_size), marketplace)
     store.manifest.commit({
         store.products: store.products.stage(ingest.new_products(rows, store.products.read(), marketplace)),
@@ -81,7 +81,7 @@ def _keep_scores(store: ReviewStore, stage: str, scored: DataFrame, update: list
     failed = scored.where("error IS NOT NULL").select(
         F.col("review_key").alias("subject"), F.col("error").alias("message"))
     store.manifest.commit({
-        store.review_ml: store.review_ml.stage_merge(scored.where("error IS NULL").drop("error"), update),
+        store.review_ml: store.review_ml.stage_merge(scored.where("error IS NULL").drop("error"), update, stored=True),
         store.errors: store.errors.stage(_errors(store, stage, failed)),
     })
 
@@ -121,7 +121,7 @@ def rating_job(store: ReviewStore, model_path: str | None = None, **settings) ->
         return None
     path = model_path or f"{store.root}/rating_model"
     predictions = staged(rating.predicted_ratings(store.spark, rows, path, **settings))
-    store.review_ml.merge(predictions, ["predicted_rating"])
+    store.review_ml.merge(predictions, ["predicted_rating"], stored=True)
     return rating.prediction_stats(predictions)
 
 

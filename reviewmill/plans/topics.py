@@ -11,10 +11,12 @@ until what it holds is coherent or too little.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ KEYS = 8
 KEY_BITS = 48
 KEY_STEP = 24  # keys begin this many planes apart, and reach into the next one's
 FIRST_BITS, MORE_BITS = 8, 4
+FILTER_BITS = 27  # a filter of cells has at most 2 ** 27 bits, 16 MB
 GROUP = ["product_id", "polarity"]
 OTHER = "other"
 
@@ -108,13 +111,17 @@ def _full_cells(cells: DataFrame, min_samples: int, widest: float) -> DataFrame:
     """Cells with enough points and their centre: the majority side of every plane.
 
     A cell that two clusters share has a centre between them and a large mean
-    distance to it. It is not `coherent`, as it would chain the clusters.
+    distance to it. It is not `coherent`, as it would chain the clusters. A sum counts two
+    planes, 32 bits apart, as Spark does not compile aggregates of over 100 columns; in a cell
+    of over 2 ** 31 points it would fail by overflow.
     """
-    counts = [F.sum(F.getbit(f"sig{i // 64}", F.lit(i % 64))).alias(f"b{i}") for i in range(SIGNATURE_BITS)]
+    two = F.lit(1 << 32 | 1).cast("long")
+    counts = [F.sum(F.shiftright(f"sig{w}", i).bitwiseAND(two)).alias(f"b{w}_{i}") for w in (0, 1) for i in range(32)]
     sums = cells.groupBy(*GROUP, "node").agg(F.count("*").alias("size"), *counts)
     centres, apart = [F.lit(0).cast("long")] * 2, F.lit(0).cast("long")
     for i in range(SIGNATURE_BITS):
-        ones, bit = F.col(f"b{i}"), F.shiftleft(F.lit(1).cast("long"), i % 64)
+        both, bit = F.col(f"b{i // 64}_{i % 32}"), F.shiftleft(F.lit(1).cast("long"), i % 64)
+        ones = F.shiftrightunsigned(both, 32) if i % 64 >= 32 else both.bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
         centres[i // 64] = centres[i // 64].bitwiseOR(F.when(ones * 2 > F.col("size"), bit).otherwise(F.lit(0)))
         apart = apart + F.least(ones, F.col("size") - ones)
     return sums.where(F.col("size") >= min_samples).select(
@@ -162,6 +169,64 @@ def _within(radius: int, flipped: int = 0) -> Column:
     return (F.col("distance") + flipped) * SIGNATURE_BITS <= bits * radius
 
 
+def _slots(home: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a filter of 2 ** `bits` that a cell has, by the hash of its group and its name."""
+    mixed = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + home.view(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed >> np.uint64(64 - bits)
+
+
+def _cell_filter(cells: DataFrame) -> tuple[np.ndarray, int]:
+    """Words in which every cell has its bit set, and the logarithm of the number of bits, about 64 a cell."""
+    bits = min(FILTER_BITS, max(10, (64 * cells.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = _slots(*(c.to_numpy(zero_copy_only=False) for c in batch.columns), bits)
+            words, at = np.unique(slots >> np.uint64(6), return_inverse=True)
+            made = np.zeros(len(words), np.uint64)
+            np.bitwise_or.at(made, at, np.uint64(1) << (slots & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(made.view(np.int64))], ["word", "held"])
+
+    found = cells.select(F.xxhash64(*GROUP).alias("home"), "node").mapInArrow(run, "word long, held long")
+    table = found.groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()  # at most 2 ** 21 words
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[table.column("word").to_numpy()] = table.column("held").to_numpy().view(np.uint64)
+    return out, bits
+
+
+def _one_bit_away(points: DataFrame, cells: DataFrame, depths: list[int]) -> DataFrame:
+    """`points` once per `node` that differs from a cell of theirs in one bit of a key and may be among `cells`.
+
+    A point has over a thousand such names at a few depths, nearly all of cells that do not
+    exist. Names are looked up in a filter of the existing ones first, which may let some more
+    through but none fall, so only few are moved for the join.
+    """
+    words, bits = _cell_filter(cells)
+    shared = points.sparkSession.sparkContext.broadcast(words)
+    kept = [*GROUP, "review_key", "sig0", "sig1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            keys = batch.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, KEYS)
+            home = batch.column("home").to_numpy(zero_copy_only=False)[:, None]
+            for depth in depths:
+                flips = np.int64(1) << np.arange(depth, dtype=np.int64)
+                for tree in range(KEYS):
+                    name = np.int64(((depth - FIRST_BITS) // MORE_BITS * KEYS + tree) << KEY_BITS)
+                    away = (name + (keys[:, tree] & np.int64((1 << depth) - 1)))[:, None] ^ flips
+                    slots = _slots(home, away, bits)
+                    hits = held[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)
+                    rows, places = np.nonzero(hits)
+                    if len(rows):
+                        picked = batch.select(kept).take(pa.array(rows))
+                        yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(away[rows, places])], [*kept, "node"])
+
+    schema = points.select(*kept).schema.add("node", "long")
+    return points.select(*kept, "keys", F.xxhash64(*GROUP).alias("home")).mapInArrow(run, schema)
+
+
 def _nearest(found: DataFrame) -> DataFrame:
     """Per review the component of the closest cell centre, ties to the smallest label."""
     packed = F.min(F.col("distance").cast("long") * (1 << 56) + F.col("label"))
@@ -215,12 +280,9 @@ def level_clusters(points: DataFrame, s: ClusterSettings) -> DataFrame:
 
     # Border points look into the cells that differ in one bit of a key.
     rest = points.join(core.select(*GROUP, "review_key"), [*GROUP, "review_key"], "left_anti")
-    flipped = F.array(*[
-        _node(bits).bitwiseXOR(F.lit(1 << i).cast("long")) for bits in depths for i in range(bits)])
-    near = _keyed(rest).withColumn("node", F.explode(flipped)).drop("key", "tree")
-    targets = labelled.join(kept, [*GROUP, "label"], "left_semi")
+    targets = labelled.join(kept, [*GROUP, "label"], "left_semi").checkpoint()
     border = _nearest(
-        hot_key_join(near, targets, [*GROUP, "node"], hot, ["review_key"])
+        hot_key_join(_one_bit_away(rest, targets, depths), targets, [*GROUP, "node"], hot, ["review_key"])
         .withColumn("distance", _distance())
         .where(_within(s.radius, flipped=1))
     )

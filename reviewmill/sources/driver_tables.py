@@ -19,9 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str, partitions: int = 0) -> DataFrame:
     """A table whose texts take long to process, dealt to `partitions`, or to all cores.
 
-    The test tables may be a single row group, hence one task for all texts.
+    The test tables may be a single row group, hence one task for all texts. Texts that the
+    scan itself deals to all cores are not moved.
     """
-    return table(spark, sf_dir, name).repartition(partitions or spark.sparkContext.defaultParallelism, *keys)
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    if not partitions and well_dealt(rows, cores):
+        return rows
+    return rows.repartition(partitions or cores, *keys)
+
+
+def well_dealt(files: DataFrame, cores: int) -> bool:
+    """Whether no scan task has over twice a core's share of the rows, as the footers tell."""
+    sizes = [r["count"] for r in files.groupBy(F.spark_partition_id()).count().collect()]  # one per scan task
+    return max(sizes, default=0) * cores <= 2 * sum(sizes)
 
 
 def _line_key():

@@ -136,17 +136,23 @@ class BucketTable(SnapshotTable):
         """Write a whole new state."""
         return {**{b: None for b in self.parts()}, **self._write(df)}
 
-    def stage_merge(self, source: DataFrame, update: list[str]) -> dict[int, int | None]:
-        """Write the buckets that an upsert of `source` touches; see `merge_columns`."""
-        source = staged(source)
+    def stage_merge(self, source: DataFrame, update: list[str], stored: bool = False) -> dict[int, int | None]:
+        """Write the buckets that an upsert of `source` touches; see `merge_columns`.
+
+        The source is read twice, so it is staged unless it is `stored` already. The first rows
+        of a table need no merge: they are read once and move once.
+        """
+        if not self.parts():
+            return self._write(merge_columns(self.read().limit(0), source, self.key, update))
+        source = source if stored else staged(source)
         touched = sorted(r[0] for r in source.select(self.bucket()).distinct().collect())  # at most `buckets`
         if not touched:
             return {}
         return self._write(merge_columns(self.read(touched), source, self.key, update))
 
-    def merge(self, source: DataFrame, update: list[str]) -> None:
+    def merge(self, source: DataFrame, update: list[str], stored: bool = False) -> None:
         """Upsert `source`, whose keys are unique, and make the result current."""
-        self.manifest.commit({self: self.stage_merge(source, update)})
+        self.manifest.commit({self: self.stage_merge(source, update, stored)})
 
     def sweep(self) -> None:
         """Delete the buckets of versions that the current state does not use."""

@@ -166,3 +166,19 @@ def test_job_keeps_rejects_and_counters(spark, tmp_path):
     assert [r.text for r in store.rejects.read().collect()] == ["a b c"]
     assert [tuple(r) for r in store.loads.read().collect()] == [(4, 2, 1, 1, 1)]
     assert store.reviews.read().count() == 1
+
+
+def test_texts_that_the_scan_deals_to_all_cores_are_not_moved(spark, tmp_path):
+    from reviewmill.sources import driver_tables as t
+
+    rows = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    for name, files in (("even", 32), ("single", 1)):
+        rows.repartition(files).write.parquet(str(tmp_path / name / "documents.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a task per file
+    try:
+        even, single = (t.texts(spark, str(tmp_path / name), "documents", "doc_id") for name in ("even", "single"))
+        assert even.rdd.getNumPartitions() == 32 and even.count() == 4000
+        assert single.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and single.count() == 4000
+        assert t.texts(spark, str(tmp_path / "even"), "documents", "doc_id", partitions=5).rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.plans import ingest, jobs, reports
 from reviewmill.schema import FEEDBACK, PRODUCTS, REVIEW_ML, REVIEWS
+from reviewmill.sources import snapshots
 
 
 def ml(spark, n, label="neutral"):
@@ -145,3 +146,18 @@ def test_a_listing_of_one_product_opens_few_files(spark, tmp_path):
     store.sweep()
     assert store.listing.read_where(product_id="017").count() == 20
     assert not files(tmp_path / "s" / "listing" / "version=0")
+
+
+def test_the_first_rows_of_a_table_are_not_staged_for_a_merge(spark, tmp_path, monkeypatch):
+    seen, keep = [], snapshots.staged
+    monkeypatch.setattr(snapshots, "staged", lambda df: seen.append(df.columns) or keep(df))
+    store = jobs.ReviewStore(spark, str(tmp_path / "s"), buckets=3)
+    jobs.ingest_job(store, raw_rows(spark, 20))
+    first = sorted(map(repr, store.reviews.read().collect()))
+    assert not seen and first
+    jobs.ingest_job(store, raw_rows(spark, 20))
+    assert len(seen) == 1 and sorted(map(repr, store.reviews.read().collect())) == first
+    scores = keep(ml(spark, 5).select("review_key", "sentiment_label"))
+    for _ in range(2):
+        store.review_ml.merge(scores, ["sentiment_label"], stored=True)
+    assert len(seen) == 1 and store.review_ml.read().count() == 5

@@ -220,3 +220,39 @@ def test_rare_terms_are_left_out_before_pairs_are_counted(spark):
     assert {(r.grp, r.topic): r.keywords for r in topics.topic_keywords(texts, ["grp"], "topic").collect()} == want
     counted, _ = topics._leading_terms(texts, ["grp"], "topic", "text_clean", 10)
     assert counted.count() * 5 < sum(map(len, tf.values()))
+
+
+def test_names_one_bit_away_are_those_of_existing_cells(spark):
+    """Brute force over all names; next to none of the names without a cell are moved for the join."""
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << topics.KEY_BITS, (300, topics.KEYS))
+    depths = [8, 12, 16]
+
+    def name(key, tree, depth):
+        return ((depth - 8) // 4 * topics.KEYS + tree) * (1 << topics.KEY_BITS) + (int(key) & (1 << depth) - 1)
+
+    points = spark.createDataFrame(
+        [(f"p{i % 2}", "pos", f"r{i}", i, -i, k.tolist()) for i, k in enumerate(keys)],
+        "product_id string, polarity string, review_key string, sig0 long, sig1 long, keys array<long>")
+    taken = {(f"p{i % 2}", name(keys[i][t] ^ (1 << i % d), t, d)) for i in range(0, 300, 30) for t in (0, 5) for d in depths}
+    cells = spark.createDataFrame([(p, "pos", n) for p, n in taken], "product_id string, polarity string, node long")
+    near = topics._one_bit_away(points, cells, depths)
+    got = [(r.product_id, r.review_key, r.sig0, r.sig1, r.node) for r in near.collect()]
+    want = {(f"p{i % 2}", f"r{i}", i, -i, n) for i, k in enumerate(keys) for d in depths for t in range(topics.KEYS)
+            for b in range(d) if (f"p{i % 2}", n := name(int(k[t]) ^ 1 << b, t, d)) in taken}
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert len(set(got) - want) < 0.05 * len(keys) * topics.KEYS * sum(depths)
+
+
+def test_cells_count_their_points_planes(spark):
+    rng = np.random.default_rng(5)
+    sigs = rng.integers(-1 << 63, 1 << 63, (40, 2), dtype=np.int64)
+    rows = [("p", "pos", i % 3, *map(int, s)) for i, s in enumerate(sigs)]
+    cells = spark.createDataFrame(rows, "product_id string, polarity string, node long, sig0 long, sig1 long")
+    found = topics._full_cells(cells, 1, 44.0)
+    for r in found.collect():
+        bits = np.unpackbits(sigs[r.node::3].view(np.uint8), axis=1, bitorder="little")
+        centre = np.packbits(bits.sum(0) * 2 > len(bits), bitorder="little").view(np.int64)
+        assert (r.size, r.centre0, r.centre1) == (len(bits), *centre)
+        assert r.coherent == (np.minimum(bits.sum(0), len(bits) - bits.sum(0)).sum() <= len(bits) * 44.0)
+    assert len(found.select("*").schema) == 7
