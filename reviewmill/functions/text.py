@@ -74,9 +74,28 @@ def truncate_tokens(text: Column, limit: int = MAX_TOKENS) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Drop tags and links, lower, collapse whitespace, keep the first 512 tokens."""
-    plain = strip_urls(strip_html(F.coalesce(text, F.lit(""))))
-    return truncate_tokens(collapse_ws(F.lower(plain)))
+    """Drop tags and links, lower, collapse whitespace, keep the first 512 tokens.
+
+    Of a long text only the part before a space is cleaned if it holds enough tokens, as no
+    token or link reaches over a space. A text with a `<`, whose tag may have any length, is
+    cleaned as a whole.
+    """
+    def found(part: Column) -> Column:
+        lowered = F.lower(F.when(F.contains(part, F.lit("<")), F.regexp_replace(part, HTML_TAG, " ")).otherwise(part))
+        return tokens(_bound(lowered, lambda t: F.when(
+            F.contains(t, F.lit("://")) | F.contains(t, F.lit("www.")), F.regexp_replace(t, URL, " ")).otherwise(t)))
+
+    def joined(part: Column, whole: Column) -> Column:
+        return _bound(found(part), lambda first: F.array_join(F.slice(F.when(
+            (F.size(first) >= MAX_TOKENS) | (F.octet_length(part) == F.octet_length(whole)), first,
+        ).otherwise(found(whole)), 1, MAX_TOKENS), " "))
+
+    def cleaned(whole: Column) -> Column:
+        head = F.substring_index(whole, " ", MAX_TOKENS + MAX_TOKENS // 8)
+        part = F.when(F.contains(whole, F.lit("<")), whole).otherwise(head)
+        return _bound(part, lambda p: joined(p, whole))
+
+    return _bound(F.coalesce(text, F.lit("")), cleaned)
 
 
 def token_count(text: Column) -> Column:

@@ -100,8 +100,8 @@ def cluster_job(store: ReviewStore, settings: topics.ClusterSettings = topics.Cl
     """Replace the topics of every (product, polarity) that was clustered; others stay."""
     review_ml, old = store.review_ml.read(), store.topics.read()
     rows = incremental.cluster_input(store.reviews.read(), review_ml)
-    assigned = topics.cluster_reviews(rows, settings).checkpoint()
-    new = topics.topic_table(assigned, rows.select("review_key", "text_clean")).checkpoint()
+    assigned = staged(topics.cluster_reviews(rows, settings))
+    new = staged(topics.topic_table(assigned, rows.select("review_key", "text_clean")))
     replaced = old.join(new.select(*topics.GROUP).distinct(), topics.GROUP, "left_semi")
     moved = assigned.select("review_key", topics.topic_id().alias("topic_id"))
     before = review_ml.select("review_key", "topic_id", F.col("topic_id").alias("was"))

@@ -19,6 +19,7 @@ from reviewmill.functions.vectors import argmax, l2_normalise, normalise_label,
 from reviewmill.operators.skew import HOT_ROWS, hot_key_join, hot_keys
 from reviewmill.plans.incremental import pending_embedding, pending_sentiment
 from reviewmill.schema import EMBEDDING_BATCH_SIZE, EMBEDDING_DIM, SENTIMENT_BATCH_SIZE, TOKEN_BUDGET
+from reviewmill.session import staged
 
 Scorer = Callable[[DataFrame], DataFrame]
 PIECE_CHARS = 2 << 20
@@ -35,12 +36,12 @@ def score_once(pending: DataFrame, scorer: Scorer, hot_rows: int = HOT_ROWS) ->
     Texts are shuffled once, to find the distinct ones; from there a 128-bit digest
     stands for them. The scored side is about as long as the reviews, and one text
     may be on a third of them: only texts with that many copies are repeated for the
-    join. They are found from the counts, so the scorer runs in one branch only.
+    join. They are found from the digests of the reviews, so the scorer runs in one branch only.
     """
     digest = F.md5("text_clean")
     texts = distinct_texts(pending).withColumn("digest", digest)
-    hot = hot_keys(texts, ["digest"], "copies", hot_rows)
     rows = pending.withColumn("digest", digest).drop("text_clean")
+    hot = hot_keys(rows.groupBy("digest").agg(F.count("*").alias("copies")), ["digest"], "copies", hot_rows)
     joined = hot_key_join(rows, scorer(texts).drop("text_clean", "copies"), ["digest"], hot, ["review_key"])
     return joined.drop("digest")
 
@@ -138,21 +139,23 @@ def train_sentiment(labelled: DataFrame, features: int = 1 << 18, max_iter: int
     """Bag-of-words classifier on `text_clean` and `sentiment_label`, for when no model is given.
 
     Every partition sends its whole gradient (`features` by labels) in every iteration, so
-    there are no more partitions than cores, however many rows there are.
+    there are no more partitions than cores, however many rows there are. Texts are hashed
+    once, as all steps of the fit read the hashed terms.
     """
-    rows = labelled.select("sentiment_label", F.split("text_clean", " ").alias("tokens")).coalesce(
-        labelled.sparkSession.sparkContext.defaultParallelism)
+    hashing = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features)
+    hashed = hashing.transform(labelled.select("sentiment_label", F.split("text_clean", " ").alias("tokens")))
+    cores = labelled.sparkSession.sparkContext.defaultParallelism
+    rows = staged(hashed.select("sentiment_label", "tf").repartition(cores)).coalesce(cores)
     index = StringIndexer(inputCol="sentiment_label", outputCol="target", stringOrderType="alphabetAsc")
     index_model = index.fit(rows)
     stages = [
         index_model,
-        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features),
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(labelCol="target", maxIter=max_iter, regParam=0.01),
         IndexToString(inputCol="prediction", outputCol="predicted", labels=index_model.labels),
     ]
     fitted = Pipeline(stages=stages).fit(rows)
-    return PipelineModel(fitted.stages[1:])
+    return PipelineModel([hashing, *fitted.stages[1:]])
 
 
 def model_sentiment(model: PipelineModel) -> Scorer:

@@ -11,7 +11,7 @@ until what it holds is coherent or too little.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -20,18 +20,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewmill.functions.text import keyword_tokens, neighbours, ngram_counts, ngrams
+from reviewmill.functions.text import keyword_tokens, ngram_counts, ngrams
 from reviewmill.operators.components import connected_components
 from reviewmill.operators.skew import HOT_ROWS, hot_key_join, hot_keys, salted_join
 from reviewmill.schema import MIN_CLUSTER_REVIEWS
-from reviewmill.session import ensure_checkpoint_dir, staged
+from reviewmill.session import staged
 
 SIGNATURE_BITS = 128  # of the part that distances are read from, two longs
 KEYS = 8
 KEY_BITS = 48
 KEY_STEP = 24  # keys begin this many planes apart, and reach into the next one's
 FIRST_BITS, MORE_BITS = 8, 4
-FILTER_BITS = 27  # a filter of cells has at most 2 ** 27 bits, 16 MB
+FILTER_BITS = 27  # a filter of cells or words has at most 2 ** 27 bits, 16 MB
+PIECE_TOKENS = 1 << 20  # Python counts the pairs of about so many tokens at a time
 GROUP = ["product_id", "polarity"]
 OTHER = "other"
 
@@ -118,29 +119,37 @@ def _full_cells(cells: DataFrame, min_samples: int, widest: float) -> DataFrame:
     two = F.lit(1 << 32 | 1).cast("long")
     counts = [F.sum(F.shiftright(f"sig{w}", i).bitwiseAND(two)).alias(f"b{w}_{i}") for w in (0, 1) for i in range(32)]
     sums = cells.groupBy(*GROUP, "node").agg(F.count("*").alias("size"), *counts)
-    centres, apart = [F.lit(0).cast("long")] * 2, F.lit(0).cast("long")
-    for i in range(SIGNATURE_BITS):
-        both, bit = F.col(f"b{i // 64}_{i % 32}"), F.shiftleft(F.lit(1).cast("long"), i % 64)
-        ones = F.shiftrightunsigned(both, 32) if i % 64 >= 32 else both.bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
-        centres[i // 64] = centres[i // 64].bitwiseOR(F.when(ones * 2 > F.col("size"), bit).otherwise(F.lit(0)))
-        apart = apart + F.least(ones, F.col("size") - ones)
-    return sums.where(F.col("size") >= min_samples).select(
-        *GROUP, "node", "size", centres[0].alias("centre0"), centres[1].alias("centre1"),
-        (apart <= F.col("size") * widest).alias("coherent"))
+    kept = [*GROUP, "node", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = _longs(batch.column("size"))[:, None]
+            both = np.stack([_longs(c).view(np.uint64) for c in batch.columns[len(kept):]], axis=1)
+            parts = [(both[:, w:w + 32] >> np.uint64(s)) & np.uint64(0xFFFFFFFF) for w in (0, 32) for s in (0, 32)]
+            ones = np.concatenate(parts, axis=1).astype(np.int64)
+            centres = np.packbits(ones * 2 > size, axis=1, bitorder="little").view("<i8")
+            coherent = np.minimum(ones, size - ones).sum(axis=1) <= size[:, 0] * widest
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(kept).columns, *(pa.array(np.ascontiguousarray(c)) for c in centres.T), pa.array(coherent)],
+                [*kept, "centre0", "centre1", "coherent"])
+
+    schema = sums.select(*kept).schema.add("centre0", "long").add("centre1", "long").add("coherent", "boolean")
+    return sums.where(F.col("size") >= min_samples).mapInArrow(run, schema)
 
 
 def _members(points: DataFrame, s: ClusterSettings) -> tuple[DataFrame, DataFrame, list[int]]:
     """Points in coherent cells with the cell's centre, those cells, and the depths they are at.
 
     Each depth takes one aggregate over the points whose cells were still mixed; cells
-    under `min_samples` hold no cluster and go.
+    under `min_samples` hold no cluster and go. Steps are staged, not checkpointed, as the size
+    estimates that checkpoints keep multiply with every depth.
     """
     left, found, cells, depths = _keyed(points), [], [], []
     for bits in range(FIRST_BITS, KEY_BITS + 1, MORE_BITS):
         at = left.withColumn("node", _node(bits))
-        full = _full_cells(at, s.min_samples, s.cohesion * s.radius).checkpoint()
+        full = staged(_full_cells(at, s.min_samples, s.cohesion * s.radius))
         hot = hot_keys(full, [*GROUP, "node"], "size", s.hot_rows)
-        placed = hot_key_join(at, full, [*GROUP, "node"], hot, ["review_key"]).checkpoint()
+        placed = staged(hot_key_join(at, full, [*GROUP, "node"], hot, ["review_key"]))
         inside = placed.where("coherent").withColumn("distance", _distance())
         found.append(inside.where(_within(s.radius)).drop("coherent", "key", "tree"))
         cells.append(full.where("coherent").drop("coherent"))
@@ -151,7 +160,7 @@ def _members(points: DataFrame, s: ClusterSettings) -> tuple[DataFrame, DataFram
     members, dense = found[0], cells[0]
     for more, further in zip(found[1:], cells[1:]):
         members, dense = members.unionByName(more), dense.unionByName(further)
-    return members.checkpoint(), dense.checkpoint(), depths
+    return staged(members), staged(dense), depths
 
 
 def _distance() -> Column:
@@ -170,31 +179,47 @@ def _within(radius: int, flipped: int = 0) -> Column:
 
 
 def _slots(home: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """The bit of a filter of 2 ** `bits` that a cell has, by the hash of its group and its name."""
+    """The bit of a filter of 2 ** `bits` that a name in a group has; `home` is a hash of the group."""
     mixed = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + home.view(np.uint64)
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return mixed >> np.uint64(64 - bits)
 
 
-def _cell_filter(cells: DataFrame) -> tuple[np.ndarray, int]:
-    """Words in which every cell has its bit set, and the logarithm of the number of bits, about 64 a cell."""
-    bits = min(FILTER_BITS, max(10, (64 * cells.count()).bit_length()))
+def _held(words: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (words[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _text_hashes(column: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(column.to_numpy(zero_copy_only=False), categorize=False).view(np.int64)
+
+
+def _filter(rows: DataFrame, group: list[str], name: str, number: Callable[[pa.Array], np.ndarray]) -> tuple[np.ndarray, int]:
+    """Words in which the `name` of every row has its bit set, and the logarithm of the number of bits, about 64 a row."""
+    bits = min(FILTER_BITS, max(10, (64 * rows.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = _slots(*(c.to_numpy(zero_copy_only=False) for c in batch.columns), bits)
+            slots = _slots(_longs(batch.column(0)), number(batch.column(1)), bits)
             words, at = np.unique(slots >> np.uint64(6), return_inverse=True)
             made = np.zeros(len(words), np.uint64)
             np.bitwise_or.at(made, at, np.uint64(1) << (slots & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(made.view(np.int64))], ["word", "held"])
 
-    found = cells.select(F.xxhash64(*GROUP).alias("home"), "node").mapInArrow(run, "word long, held long")
+    found = rows.select(_home(group), name).mapInArrow(run, "word long, held long")
     table = found.groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()  # at most 2 ** 21 words
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[table.column("word").to_numpy()] = table.column("held").to_numpy().view(np.uint64)
     return out, bits
 
 
+def _home(group: list[str]) -> Column:
+    return F.xxhash64(F.lit(0), *group).alias("home")
+
+
 def _one_bit_away(points: DataFrame, cells: DataFrame, depths: list[int]) -> DataFrame:
     """`points` once per `node` that differs from a cell of theirs in one bit of a key and may be among `cells`.
 
@@ -202,29 +227,26 @@ def _one_bit_away(points: DataFrame, cells: DataFrame, depths: list[int]) -> Dat
     exist. Names are looked up in a filter of the existing ones first, which may let some more
     through but none fall, so only few are moved for the join.
     """
-    words, bits = _cell_filter(cells)
+    words, bits = _filter(cells, GROUP, "node", _longs)
     shared = points.sparkSession.sparkContext.broadcast(words)
     kept = [*GROUP, "review_key", "sig0", "sig1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
         for batch in batches:
-            keys = batch.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, KEYS)
-            home = batch.column("home").to_numpy(zero_copy_only=False)[:, None]
+            keys = _longs(batch.column("keys").flatten()).reshape(-1, KEYS)
+            home = _longs(batch.column("home"))[:, None]
             for depth in depths:
                 flips = np.int64(1) << np.arange(depth, dtype=np.int64)
                 for tree in range(KEYS):
                     name = np.int64(((depth - FIRST_BITS) // MORE_BITS * KEYS + tree) << KEY_BITS)
                     away = (name + (keys[:, tree] & np.int64((1 << depth) - 1)))[:, None] ^ flips
-                    slots = _slots(home, away, bits)
-                    hits = held[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)
-                    rows, places = np.nonzero(hits)
+                    rows, places = np.nonzero(_held(shared.value, _slots(home, away, bits)))
                     if len(rows):
                         picked = batch.select(kept).take(pa.array(rows))
                         yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(away[rows, places])], [*kept, "node"])
 
     schema = points.select(*kept).schema.add("node", "long")
-    return points.select(*kept, "keys", F.xxhash64(*GROUP).alias("home")).mapInArrow(run, schema)
+    return points.select(*kept, "keys", _home(GROUP)).mapInArrow(run, schema)
 
 
 def _nearest(found: DataFrame) -> DataFrame:
@@ -235,13 +257,12 @@ def _nearest(found: DataFrame) -> DataFrame:
 
 def signed_points(rows: DataFrame, s: ClusterSettings) -> DataFrame:
     """Group, review_key, signature and keys of every review in a large enough group; written once for all levels."""
-    ensure_checkpoint_dir(rows.sparkSession)
     vectors = rows.where(F.col("polarity").isNotNull()).select(*GROUP, "review_key", "embedding")
     signed = vectors.select(*GROUP, "review_key", signature(F.col("embedding"), s.seed).alias("sides"))
-    return eligible(signed, s.min_reviews).select(
+    return staged(eligible(signed, s.min_reviews).select(
         *GROUP, "review_key", F.element_at("sides", 1).alias("sig0"),
         F.element_at("sides", 2).alias("sig1"), F.slice("sides", 3, KEYS).alias("keys"),
-    ).checkpoint()
+    ))
 
 
 def level_clusters(points: DataFrame, s: ClusterSettings) -> DataFrame:
@@ -266,27 +287,27 @@ def level_clusters(points: DataFrame, s: ClusterSettings) -> DataFrame:
             link -> link.apart <= {s.radius // 2}))""")
     edges = together.select(*GROUP, links).select(*GROUP, "a", "b").distinct()
     roots = connected_components(edges, GROUP)
-    labelled = dense.join(roots, [*GROUP, "node"], "left").select(
+    labelled = staged(dense.join(roots, [*GROUP, "node"], "left").select(
         *GROUP, "node", "centre0", "centre1", F.coalesce("label", "node").alias("label")
-    ).checkpoint()
+    ))
 
-    named = hot_key_join(
+    named = staged(hot_key_join(
         members, labelled.drop("centre0", "centre1"), [*GROUP, "node"], hot, ["review_key"]
-    ).checkpoint()
+    ))
     sizes = _nearest(named).groupBy(*GROUP, "label").agg(F.count("*").alias("reviews"))
-    kept = sizes.where(F.col("reviews") >= s.min_cluster_size).drop("reviews").checkpoint()
+    kept = staged(sizes.where(F.col("reviews") >= s.min_cluster_size).drop("reviews"))
     # Reviews nearest to a component that is too small go to the nearest one that is not.
-    core = _nearest(named.join(kept, [*GROUP, "label"], "left_semi")).checkpoint()
+    core = staged(_nearest(named.join(kept, [*GROUP, "label"], "left_semi")))
 
     # Border points look into the cells that differ in one bit of a key.
     rest = points.join(core.select(*GROUP, "review_key"), [*GROUP, "review_key"], "left_anti")
-    targets = labelled.join(kept, [*GROUP, "label"], "left_semi").checkpoint()
+    targets = staged(labelled.join(kept, [*GROUP, "label"], "left_semi"))
     border = _nearest(
         hot_key_join(_one_bit_away(rest, targets, depths), targets, [*GROUP, "node"], hot, ["review_key"])
         .withColumn("distance", _distance())
         .where(_within(s.radius, flipped=1))
     )
-    return core.unionByName(border).checkpoint()
+    return staged(core.unionByName(border))
 
 
 def _cluster_tree(levels: list[DataFrame], s: ClusterSettings) -> DataFrame:
@@ -310,7 +331,7 @@ def _cluster_tree(levels: list[DataFrame], s: ClusterSettings) -> DataFrame:
     tree = nodes[0]
     for more in nodes[1:]:
         tree = tree.unionByName(more)
-    return tree.checkpoint()
+    return staged(tree)
 
 
 def selected_clusters(tree: DataFrame, eps: tuple[float, ...]) -> DataFrame:
@@ -341,7 +362,7 @@ def selected_clusters(tree: DataFrame, eps: tuple[float, ...]) -> DataFrame:
                 (own + F.when(alone, F.col("only_own")).otherwise(0.0)).alias("own"),
                 F.coalesce(F.when(alone, F.col("only_parts")).otherwise(F.col("best")), F.lit(0.0)).alias("parts"),
                 F.coalesce("children", F.lit(0)).alias("children"))
-        worth.append(found.checkpoint())
+        worth.append(staged(found))
     chosen, above = [], None
     for i in reversed(range(len(eps))):
         rows = worth[i]
@@ -354,11 +375,11 @@ def selected_clusters(tree: DataFrame, eps: tuple[float, ...]) -> DataFrame:
         taken = (F.col("open") == "whole") & (F.col("own") >= F.col("parts"))
         chosen.append(rows.where(taken).select(*key, F.lit(i).alias("level")))
         state = F.when(taken | (F.col("open") == "closed"), "closed").when(F.col("children") >= 2, "whole").otherwise("passed")
-        above = rows.select(*GROUP, F.col("label").alias("parent"), state.alias("open")).checkpoint()
+        above = staged(rows.select(*GROUP, F.col("label").alias("parent"), state.alias("open")))
     out = chosen[0]
     for more in chosen[1:]:
         out = out.unionByName(more)
-    return out.checkpoint()
+    return staged(out)
 
 
 def _over_levels(points: DataFrame, s: ClusterSettings) -> DataFrame:
@@ -374,7 +395,7 @@ def _over_levels(points: DataFrame, s: ClusterSettings) -> DataFrame:
             *GROUP, "review_key", "level", named.alias("label"))
         found = hits if found is None else found.unionByName(hits)
     # A review that parents by majority left in two selected clusters goes to the narrower one.
-    return found.groupBy(*GROUP, "review_key").agg(F.min_by("label", "level").alias("label")).checkpoint()
+    return staged(found.groupBy(*GROUP, "review_key").agg(F.min_by("label", "level").alias("label")))
 
 
 def cluster_reviews(rows: DataFrame, settings: ClusterSettings = ClusterSettings()) -> DataFrame:
@@ -494,6 +515,60 @@ def _often(words: DataFrame, scale: DataFrame, group: list[str], classes: list[s
         *group, "term").distinct())
 
 
+def _class_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's distinct values, and a row that has them for each number."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        coded = column.dictionary_encode(null_encoding="encode")
+        _, code = np.unique(code * len(coded.dictionary) + _longs(coded.indices), return_inverse=True)
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, first
+
+
+def _pair_counts(rows: DataFrame, often: DataFrame | None, group: list[str], classes: list[str],
+                 most: int = PIECE_TOKENS) -> DataFrame:
+    """`classes`, `a`, `b` and `tf` of neighbouring `tokens`, counted within pieces of a batch of rows.
+
+    Pairs are counted as numbers, and what moves on is each distinct one of a piece. Words are
+    looked up in a filter of those that are `often`, if given, which lets a few others through.
+    """
+    shared, bits = None, 0
+    if often is not None:
+        words, bits = _filter(often, group, "term", _text_hashes)
+        shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def counted(part: pa.RecordBatch, lengths: np.ndarray) -> pa.RecordBatch | None:
+        coded = part.column("tokens").flatten().dictionary_encode()
+        word, row = _longs(coded.indices).astype(np.int64), np.repeat(np.arange(part.num_rows), lengths)
+        pair = row[:-1] == row[1:]
+        if shared is not None and len(word):
+            held = _held(shared.value, _slots(_longs(part.column("home"))[row], _text_hashes(coded.dictionary)[word], bits))
+            pair &= held[:-1] & held[1:]
+        if not pair.any():
+            return None
+        number, first = _class_of(part.select(classes))
+        size = len(coded.dictionary)
+        codes, tf = np.unique((number[row[:-1][pair]] * size + word[:-1][pair]) * size + word[1:][pair], return_counts=True)
+        at, a, b = codes // (size * size), codes // size % size, codes % size
+        return pa.RecordBatch.from_arrays(
+            [*part.select(classes).take(pa.array(first[at])).columns, coded.dictionary.take(pa.array(a)),
+             coded.dictionary.take(pa.array(b)), pa.array(tf.astype(np.int64))], [*classes, "a", "b", "tf"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = _longs(batch.column("tokens").value_lengths().fill_null(0))
+            ends, low = np.cumsum(lengths), 0
+            while low < len(lengths):
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] - lengths[low] + most, "right")))
+                found = counted(batch.slice(low, high - low), lengths[low:high])
+                low = high
+                if found is not None:
+                    yield found
+
+    schema = rows.select(*classes).schema.add("a", "string").add("b", "string").add("tf", "long")
+    return rows.select(*classes, "tokens", _home(group)).mapInArrow(run, schema)
+
+
 def _leading_terms(texts: DataFrame, group: list[str], topic: str, text: str, top: int) -> tuple[DataFrame, DataFrame]:
     """Counts of all terms that may be among the `top` of a topic, in every topic, and the scale of all terms.
 
@@ -507,13 +582,14 @@ def _leading_terms(texts: DataFrame, group: list[str], topic: str, text: str, to
     scale = _scale(per_class, group)
     words = staged(rows.select(*classes, F.explode("tokens").alias("term")).groupBy(*classes, "term").agg(
         F.count("*").alias("tf")))
-    pairs = rows.select(*classes, F.inline(neighbours(F.col("tokens"))))
     often = _often(words, scale, group, classes, top)
-    if often.count() * 4 < words.count():
+    few = often.count() * 4 < words.count()
+    pairs = _pair_counts(rows, often if few else None, group, classes)
+    if few:
         words = words.join(often, [*group, "term"], "left_semi")
         for side in ("a", "b"):
             pairs = pairs.join(often.withColumnRenamed("term", side), [*group, side], "left_semi")
-    counted = pairs.groupBy(*classes, "a", "b").agg(F.count("*").alias("tf")).select(
+    counted = pairs.groupBy(*classes, "a", "b").agg(F.sum("tf").alias("tf")).select(
         *classes, F.concat_ws(" ", "a", "b").alias("term"), "tf")
     return words.unionByName(counted), scale
 

@@ -98,7 +98,7 @@ def _labelled_documents(spark, d):
     """What the sentiment model learns from; only documents with labels are cleaned."""
     rows = t.texts(spark, d, "documents", "doc_id").select(F.col("doc_id").alias("review_key"), "text").join(
         _weak_labels(spark, d), "review_key")
-    return staged(rows.select("sentiment_label", tx.clean_text(F.col("text")).alias("text_clean")))
+    return rows.select("sentiment_label", tx.clean_text(F.col("text")).alias("text_clean"))
 
 
 def _no_outputs(rows):

@@ -202,3 +202,11 @@ def test_scan_limit_takes_the_lowest(spark):
         assert sorted(r.seq for r in got.collect()) == sorted(picked)[:n]
     assert scan_limit(df, 7).count() == 7
     assert scan_limit(df.where("false"), 7, "seq").count() == 0
+
+
+def test_size_estimates_do_not_grow_with_the_rounds(spark):
+    """A checkpoint keeps the product of the joined sizes, so planning took ever longer with every round."""
+    edges = spark.createDataFrame([("g", i, i + 1) for i in range(70)], "g string, a long, b long")
+    labels = connected_components(edges, ["g"])
+    assert rows(labels.select("label").distinct()) == [(0,)] and labels.count() == 71
+    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 40

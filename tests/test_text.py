@@ -1,5 +1,6 @@
 """Text rules against Python's own, character by character and on real texts."""
 
+import random
 import re
 
 import pytest
@@ -85,3 +86,16 @@ def test_whitespace_is_split_off_without_a_class_of_ranges(spark):
     assert column(spark, texts, tx.token_count) == [len(x.split()) for x in texts]
     plan = spark.range(1).select(tx.token_count(F.lit("a").cast("string") + F.col("id")))
     assert "[^ -~]" in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_the_head_of_a_long_text_is_cleaned_like_the_whole(spark):
+    """Tags over the end of the head, links at its end, runs of spaces, other whitespace, few tokens in many spaces."""
+    rng = random.Random(1)
+    parts = ["a", "Bc", "www.x", "https://Y", "<b", "c>", "\n", "\t", "Σ", "", " ", "WWW.", "http://", "x\x85y", " ", "ÉΣ.", "İ"]
+    rows = [(" ".join(rng.choice(parts if rng.random() < p else ["word"]) for _ in range(rng.randrange(0, 1500))),)
+            for p in (0.02, 0.2, 0.6, 1) for _ in range(100)] + [(None,), (" " * 2000 + "a b c",), ("w " * 575 + "http://",)]
+    x = F.col("text")
+    plain = tx.strip_urls(tx.strip_html(F.coalesce(x, F.lit(""))))
+    whole = tx.truncate_tokens(tx.collapse_ws(F.lower(plain)))
+    df = spark.createDataFrame(rows, "text string")
+    assert df.where(~whole.eqNullSafe(tx.clean_text(x))).count() == 0

@@ -59,6 +59,13 @@ def test_planted_clusters_are_recovered(spark):
     assert negative == {0: Counter(c0=40), 1: Counter(c1=20)}
 
 
+def test_size_estimates_do_not_grow_with_the_depths(spark):
+    points = topics.signed_points(frame(spark, planted("p", [30, 30, 30], 5)), topics.ClusterSettings())
+    found = topics.level_clusters(points.where("sig0 IS NOT NULL"), topics.ClusterSettings())
+    assert found.count() == 90
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 40
+
+
 def test_one_vector_on_most_rows(spark):
     copies = [("p", "pos", f"p-pos-same-{i}", [1.0] + [0.0] * (DIM - 1)) for i in range(400)]
     rows = copies + planted("p", [0, 30, 30], 3)
@@ -255,4 +262,21 @@ def test_cells_count_their_points_planes(spark):
         centre = np.packbits(bits.sum(0) * 2 > len(bits), bitorder="little").view(np.int64)
         assert (r.size, r.centre0, r.centre1) == (len(bits), *centre)
         assert r.coherent == (np.minimum(bits.sum(0), len(bits) - bits.sum(0)).sum() <= len(bits) * 44.0)
-    assert len(found.select("*").schema) == 7
+
+
+@pytest.mark.parametrize("only", [None, {("x", "a"), ("x", "b"), ("y", "б")}])
+def test_pairs_are_counted_within_pieces(spark, only):
+    rng = np.random.default_rng(9)
+    rows = [("xy"[i % 2], [None, 1, 2][i % 3], [str(w) for w in rng.choice(list("abcбß"), i % 40)]) for i in range(200)] + [("x", 1, None)]
+    often = None if only is None else spark.createDataFrame(list(only), "g string, term string")
+    df = spark.createDataFrame(rows, "g string, topic int, tokens array<string>").coalesce(2)
+    made = topics._pair_counts(df, often, ["g"], ["g", "topic"], most=64).collect()
+    got, want = Counter(), Counter()
+    for r in made:
+        if only is None or {(r.g, r.a), (r.g, r.b)} <= only:
+            got[r.g, r.topic, r.a, r.b] += r.tf
+    for g, t, words in rows:
+        for a, b in zip(words or [], (words or [])[1:]):
+            if only is None or {(g, a), (g, b)} <= only:
+                want[g, t, a, b] += 1
+    assert got == want and len(made) < sum(want.values())
