@@ -209,4 +209,4 @@ def test_size_estimates_do_not_grow_with_the_rounds(spark):
     edges = spark.createDataFrame([("g", i, i + 1) for i in range(70)], "g string, a long, b long")
     labels = connected_components(edges, ["g"])
     assert rows(labels.select("label").distinct()) == [(0,)] and labels.count() == 71
-    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 40
+    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40

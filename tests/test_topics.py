@@ -63,7 +63,7 @@ def test_size_estimates_do_not_grow_with_the_depths(spark):
     points = topics.signed_points(frame(spark, planted("p", [30, 30, 30], 5)), topics.ClusterSettings())
     found = topics.level_clusters(points.where("sig0 IS NOT NULL"), topics.ClusterSettings())
     assert found.count() == 90
-    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 40
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 40
 
 
 def test_one_vector_on_most_rows(spark):
